@@ -82,8 +82,12 @@ def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text (plus one past the last) the index of its first word."""
+def word_hashes(texts: list[str | None], stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hashes of all words in order, and for each text (plus one past the last) the index of its first word.
+
+    For each length in ``stems`` an array follows with the hashes of the words'
+    first so many bytes, and of the whole word where it is shorter.
+    """
     parts = [(t or "").lower().encode("utf-8", "replace") for t in texts]
     at = np.zeros(len(parts) + 1, dtype=np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=at[1:])
@@ -95,8 +99,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return h, np.searchsorted(start, at)
+    inverse, size = down[start], end - start
+    h = mix((total[end] - total[start]) * inverse + size.astype(np.uint64))
+    led = [mix((total[start + np.minimum(size, k)] - total[start]) * inverse + np.uint64(k << 32)) for k in stems]
+    return h, np.searchsorted(start, at), *led
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import packing, quality_rules, secret_scan
+from parley.llm import decontamination, packing, quality_classifier, quality_rules, secret_scan
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -27,6 +27,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, quality_classifier.grades(_read(spark, sf_dir, "labels")))
+    return quality_classifier.score(docs, model).withColumn("kept", F.col("p_top") >= quality_classifier.LEAST)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -78,6 +88,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_decontamination": op4_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op10_quality_rules": op10_quality_rules,
 }
