@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, packing, quality_classifier, quality_rules, secret_scan
+from parley.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, secret_scan
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality_classifier.train(docs, quality_classifier.grades(_read(spark, sf_dir, "labels")))
@@ -89,6 +93,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_near_dedup": op5_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op10_quality_rules": op10_quality_rules,
