@@ -14,8 +14,10 @@ ignored. A group holds about ``group_rows`` descriptors whatever the input.
 
 from __future__ import annotations
 
-import re
+import base64
+import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,63 +30,55 @@ from pyspark.sql import functions as F
 from parley.llm.common import columns, durable
 
 CAPACITY = 1024
-_UNEVEN = re.compile(r" (?:\s|\Z)")
-_CUT = re.compile(r"(?= \S)")
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-class WordEncoder:
-    """Ids of whole texts from ids of their space-led words, which the tokenizer is asked for once each.
+class Encoder:
+    """Ids of whole texts by the tokenizer file at ``path``.
 
-    The vocabulary's splitting pattern always cuts before a space that a
-    non-space follows, so a text's ids are those of these pieces in order.
-    Texts that hold a special token's string go to the tokenizer whole.
+    If ``ranks`` and ``pattern`` are given (the same vocabulary as merge ranks,
+    and its splitting pattern), they encode the texts several times faster. The
+    tokenizer then encodes one text of every call too, takes over the call if
+    the ids ever differ, and gets every text that holds a special token's string.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
-        import os
-
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.most = most
+        self.quick = None
+        if ranks and pattern:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.quick = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-    def _ask(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        pieces: list[list[str]] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                pieces.append([])
-            elif _UNEVEN.search(text):
-                pieces.append(_CUT.split(text))
-            else:
-                first, *rest = text.split(" ")
-                pieces.append([first, *map(" ".__add__, rest)])
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*pieces) - self.known.keys())
-        self.known.update(zip(new, self._ask(new), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) if p else self._ask([t])[0] for p, t in zip(pieces, texts, strict=True)]
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+        if self.quick is None or not texts:
+            return self._slow(texts)
+        out = [self._slow([t])[0] if any(s in t for s in self.special) else array("I", self.quick.encode_ordinary(t)).tobytes() for t in texts]
+        probe = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
+        return out if out[probe] == self._slow([texts[probe]])[0] else self._slow(texts)
+
+
+def _encoder(*files: str | None) -> Encoder:
+    if files not in _encoders:
+        _encoders[files] = Encoder(*files)
+    return _encoders[files]
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, closing = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, closing = _encoder(tokenizer, ranks, pattern), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo in range(0, len(texts), 256):
@@ -144,9 +138,9 @@ def fill_windows(lengths: list[int], capacity: int) -> list[tuple[int, dict[int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0, group_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end_id: int = 0, group_rows: int = 50_000) -> DataFrame:
     """Every piece of every text with the sequence and the offset where it lies."""
-    pieces = durable(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id))
+    pieces = durable(token_pieces(docs, tokenizer, ranks=ranks, pattern=pattern, capacity=capacity, end_id=end_id))
     n_groups = max(1, -(-pieces.count() // group_rows))
     # a row's own place takes part: equal rows hash alike, and any even spread gives a right result
     dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(n_groups)))

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from parley.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, secret_scan
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def tokenizer_files() -> dict[str, str]:
+    """The tokenizer, and the same vocabulary as merge ranks with its splitting pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return {"tokenizer": public_tokenizers.path(TOKENIZER), "ranks": public_tokenizers.path(RANKS), "pattern": public_tokenizers.PATTERN}
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+    packed = packing.pack(_read(spark, sf_dir, "documents"), **tokenizer_files())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
