@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, near_dedup, packing, quality_classifier, quality_rules, secret_scan
+from parley.llm import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, warc_zip
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -28,6 +28,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -47,10 +51,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.train(pages))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+_OP2_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+lead as (select payload_digest, min(page_id) as lead from p where payload_bytes >= 100 group by all)
+select page_id, payload_bytes, payload_digest, case when lead <> page_id then 'revisit' else 'response' end as record_type,
+  case when lead <> page_id then lead end as refers_to
+from p left join lead using (payload_digest)"""
+
+
 def _op10_sql() -> str:
     rules = {k: f"coalesce(1000.0 * {a} / nullif({b}, 0), 0)" for k, (a, b) in quality_rules.RULES.items()}
     grid = ", ".join(f"{c}.0" for c in quality_rules.GRID)
@@ -93,10 +111,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_warc": op2_warc,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op10_quality_rules": _op10_sql()}
+ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql()}
