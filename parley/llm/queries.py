@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, warc_zip
+from parley.llm import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_tree_lm, warc_zip
+from parley.llm.common import shared_folder
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
@@ -32,6 +34,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -56,6 +62,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(pages, html_extraction.train(pages))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = sharding.shard_and_compact(_read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    return table.read().select("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.crc32("text").alias("text_crc32"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -112,11 +123,13 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_html_extraction": op8_html_extraction,
+    "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql()}
