@@ -1,8 +1,60 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: five stages over ``documents``, each on all that the one before it kept.
 
-STAGES = []
+1. quality classifier: documents whose top grade is unlikely go;
+2. MinHash near-dedup: one document of each class stays, the one of least id;
+3. benchmark decontamination: documents that hold a benchmark item go;
+4. secret scans: every reported span is replaced by a mark, ``n_chars`` follows;
+5. packing: the texts become token pieces placed in sequences.
+
+All but the last return the columns of ``documents``. Each stage has its
+operator's treatment of nulls, empty texts and repeated rows, except that
+packing and decontamination keep rows with a null id, and near-dedup keeps all of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parley.llm import decontamination, near_dedup, packing, quality_classifier, secret_scan
+from parley.llm.common import durable
+from parley.llm.queries import tokenizer_files
+
+#: The classifier's training and near-dedup's iterations have no SQL form; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.select_rows(docs, quality_classifier.train(docs, quality_classifier.grades(labels)))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact_counted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, **tokenizer_files())
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", dedup),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
