@@ -8,6 +8,7 @@ separate near copies. All hashes are 64 bit and depend on the word alone.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,14 @@ def shared_folder(df_or_spark) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df))
-    return df.checkpoint(eager=True)
+    """Cut lineage: write ``df`` as a table of the shared folder and read it from there.
+
+    Other than a checkpoint, a table carries no constraints of the plan that
+    made it; in loops those grow until planning takes longer than the work.
+    """
+    path = f"{shared_folder(df)}/parley-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
