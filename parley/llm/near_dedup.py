@@ -11,16 +11,19 @@ drawn in order of time up to a horizon that fills all slots; only a few per
 text are needed, whatever its length.
 
 Texts with equal word sequences are collapsed first. Signatures are banded;
-each round compares the members of every bucket with a few pivots of the
-bucket, first by signature, then by exact multiset overlap. Pivots have then
-met all members and leave; a bucket is done when its members are in one class
-or one is left. So every pair that shares a bucket is either compared or
-already in one class, without all pairs of a bucket being made. Classes are
-the connected components of the verified links.
+texts that share a bucket, directly or through others, form a candidate
+cluster (found by linking every member of a bucket to its first). Inside a
+cluster every pair is compared by sketch, and pairs that may reach the
+similarity are verified by exact multiset overlap unless links already join
+them. That work stays in the task: only the links come out, no pairs. A large
+cluster is first compared with its most central text; those linked to it are
+its core and need not meet each other. It is then cut into blocks of bounded size, and each
+pair of blocks, but for two of the core, is one task's group. Classes are the
+connected components of the links.
 
 Recall: with 30 bands of 6 slots a pair of similarity 0.8 shares a bucket with
-probability 0.9999. The signature filter drops pairs whose estimate from 180
-slots is below 0.6, six standard errors under 0.8.
+probability 0.9999. The sketch filter drops pairs whose estimate from 180
+slots is below 0.65, five standard errors under 0.8.
 
 Defined cases: texts without words are in no class but their own; texts of 1 to
 4 words are one shingle; equal and repeated rows share a class; rows with a null id are
@@ -42,7 +45,7 @@ from parley.llm.common import SHINGLE, columns, durable, groups, mix, rolling, w
 
 BANDS, ROWS = 30, 6
 SIMILARITY = 0.8
-ESTIMATE = 0.6
+ESTIMATE = 0.65
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,50 +151,92 @@ def sketches(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS) -> DataFr
     return columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, key binary, bands array<long>, sketch binary")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs whose sketches agree in enough slots (chance agreement of a byte taken off)."""
-    a = reps.select(F.col("key").alias("a"), F.col("sketch").alias("sketch_a"))
-    b = reps.select(F.col("key").alias("b"), F.col("sketch").alias("sketch_b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-                share = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-                yield batch.select(["a", "b"]).filter(pa.array(share >= least))
-
-    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a binary, b binary")
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose shingle multisets overlap enough. Texts travel only for texts that are in a pair."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps.select("key", F.col("rep").alias("doc_id")), "key")
-    texts = columns(docs, doc_id="long", text="string").join(wanted, "doc_id").select("key", "text")
+def _cluster_texts(reps: DataFrame, coarse: DataFrame, docs: DataFrame) -> DataFrame:
+    """cluster, key, sketch and text of every text in a candidate cluster."""
+    wanted = reps.select("key", "sketch", F.col("rep").alias("doc_id")).join(coarse.select("key", F.col("class").alias("cluster")), "key")
+    texts = columns(docs, doc_id="long", text="string").join(wanted, "doc_id").select("cluster", "key", "sketch", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # an id may stand for several texts; only the text with that key counts
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            keys, texts = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             for lo, hi in groups(texts):
                 h, first = word_hashes(texts[lo:hi])
-                right = [k == _key(h[i:j]) for k, i, j in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                right = [k == _key(h[i:j]) for k, i, j in zip(keys[lo:hi], first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield batch.slice(lo, hi - lo).filter(pa.array(right, pa.bool_()))
 
-    texts = texts.mapInArrow(own, "key binary, text string").dropDuplicates(["key"])
+    return texts.mapInArrow(own, "cluster binary, key binary, sketch binary, text string").dropDuplicates(["key"])
+
+
+def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarities of sketch rows; chance agreement of a byte is taken off."""
+    return ((x == y).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _group_links(keys: list[bytes], sketches_: list[bytes], texts: list[str], sides: list[int], estimate: float, similarity: float) -> list[tuple[bytes, bytes]]:
+    """A spanning set of the links among the texts of one group; sides 0 and 1 are compared with each other, or all if there is one side."""
+    n = len(keys)
+    sketch = np.frombuffer(b"".join(sketches_), dtype=np.uint8).reshape(n, -1)
+    side, parent, out, bags = np.array(sides), list(range(n)), [], {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def bag(i: int) -> np.ndarray:
+        if i not in bags:
+            bags[i] = _shingles(word_hashes([texts[i]])[0])
+        return bags[i]
+
+    two, found = len(set(sides)) > 1, []
+    for i in range(n - 1):
+        close = _may_link(sketch[i], sketch[i + 1 :])
+        at = np.flatnonzero((close >= estimate) & (side[i + 1 :] != side[i] if two else True))
+        found += zip((-close[at]).tolist(), [i] * len(at), (at + i + 1).tolist(), strict=True)
+    for _, i, j in sorted(found):
+        a, b = root(i), root(j)
+        if a != b:
+            x, y = bag(i), bag(j)
+            if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and weighted_jaccard(x, y) >= similarity:
+                parent[a] = b
+                out.append((keys[i], keys[j]))
+    return out
+
+
+def _links(rows: DataFrame, estimate: float, similarity: float) -> DataFrame:
+    """Links of all groups; ``rows``: group, side, key, sketch, text. Groups are streamed one by one from sorted partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, bag = None, np.empty(0, dtype=np.uint64)
-        for batch in batches:
-            keep = []
-            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
-                if a != last:
-                    last, bag = a, _shingles(word_hashes([x])[0])
-                keep.append(weighted_jaccard(bag, _shingles(word_hashes([y])[0])) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        at, held, out = None, ([], [], [], []), []  # keys, sketches, texts, sides
 
-    with_b = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+        def close() -> None:
+            if len(held[0]) > 1:
+                out.extend(_group_links(*held, estimate, similarity))
+            for part in held:
+                part.clear()
+
+        def emit() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+            out.clear()
+            return done
+
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in ("group", "key", "sketch", "text", "side")}
+            for group, *row in zip(*cols.values(), strict=True):
+                if group != at:
+                    close()
+                    at = group
+                for part, x in zip(held, row, strict=True):
+                    part.append(x)
+            if out:
+                yield emit()
+        close()
+        yield emit()
+
+    dealt = rows.select("group", "side", "key", "sketch", "text").repartition("group").sortWithinPartitions("group", "key")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,37 +253,54 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, estimate: float = ESTIMATE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _block_groups(texts: DataFrame, sizes: DataFrame, block_rows: int, block_bytes: int, estimate: float, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of every group to compare, and links found on the way."""
+    sized = texts.join(sizes, "cluster")
+    one = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes))
+    small = sized.filter(one == 1).select(F.col("cluster").alias("group"), F.lit(0).alias("side"), "key", "sketch", "text")
+    large = sized.filter(one > 1)
+    if large.isEmpty():
+        return small, []
+    # compare with the central text: one row for each member, the two of them as a group
+    central = large.filter("key = central").select("cluster", F.struct("key", "sketch", "text").alias("c"))
+    met = large.filter("key != central").join(central, "cluster")
+    pairs = met.select(F.sha2(F.concat("cluster", "key"), 256).cast("binary").alias("group"), F.explode(F.array(F.struct(F.lit(0).alias("side"), "key", "sketch", "text"), F.struct(F.lit(1).alias("side"), F.col("c.key"), F.col("c.sketch"), F.col("c.text")))).alias("x")).select("group", "x.*")
+    star = durable(_links(pairs, estimate, similarity))
+    core = star.select(F.col("a").alias("key")).union(star.select("b")).distinct().withColumn("core", F.lit(True))
+    marked = durable(large.join(core, "key", "left").select("cluster", "key", "sketch", "text", F.coalesce("core", F.lit(False)).alias("core")))
+    share = marked.groupBy("cluster", "core").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum(F.length("text")) / block_bytes)).cast("int").alias("blocks"))
+    both = share.groupBy("cluster").agg(F.coalesce(F.max(F.when(~F.col("core"), F.col("blocks"))), F.lit(0)).alias("loose"), F.coalesce(F.max(F.when(F.col("core"), F.col("blocks"))), F.lit(0)).alias("firm"))
+    own = marked.join(both, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("core"), F.col("firm")).otherwise(F.col("loose"))).cast("int"))
+    # a block of the core meets every loose block; a loose block meets every loose block, itself included, and the core's
+    loose, firm = F.sequence(F.lit(0), F.col("loose") - 1), F.sequence(F.lit(0), F.col("firm") - 1)
+    name = lambda kind, x, y: F.concat_ws(":", F.hex("cluster"), F.lit(kind), x, y).cast("binary")
+    with_loose = F.transform(loose, lambda j: F.struct(name("l", F.least(F.col("block"), j).cast("string"), F.greatest(F.col("block"), j).cast("string")).alias("group"), F.when(F.col("block") > j, 1).otherwise(0).alias("side")))
+    with_core = F.transform(firm, lambda j: F.struct(name("c", F.col("block").cast("string"), j.cast("string")).alias("group"), F.lit(0).alias("side")))
+    from_core = F.transform(loose, lambda j: F.struct(name("c", j.cast("string"), F.col("block").cast("string")).alias("group"), F.lit(1).alias("side")))
+    none = F.array().cast("array<struct<group:binary,side:int>>")
+    meets = F.when(F.col("core"), F.when(F.col("loose") > 0, from_core).otherwise(none)).otherwise(F.concat(with_loose, F.when(F.col("firm") > 0, with_core).otherwise(none)))
+    cut = own.withColumn("g", F.explode(meets)).select("g.group", "g.side", "key", "sketch", "text")
+    return small.unionByName(cut), [star]
+
+
+def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, estimate: float = ESTIMATE, bands: int = BANDS, rows: int = ROWS, block_rows: int = 512, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, class_id of every row; class_id is the least doc_id of the class."""
     sketch = durable(sketches(docs, bands=bands, rows=rows))
     named = sketch.filter("key is not null and doc_id is not null")
     reps = durable(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     member = reps.select("key", F.explode("bands").alias("bucket"))
-    crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    active = durable(member.join(crowded.select("bucket"), "bucket"))
-    links: list[DataFrame] = []
-    classes, salts = None, 1
-    while not active.isEmpty():
-        # the least key of each of a few salted parts of a bucket is a pivot; salting keeps hot buckets out of one task
-        part = F.pmod(F.xxhash64("key", F.lit(salts)), F.lit(salts)).alias("part")
-        pivots = active.groupBy("bucket", part).agg(F.min("key").alias("a")).select("bucket", "a")
-        met = active.join(pivots, "bucket").filter("a != key")
-        if classes is not None:
-            met = met.join(classes.select("key", F.col("class").alias("class_b")), "key", "left").join(classes.select(F.col("key").alias("a"), F.col("class").alias("class_a")), "a", "left")
-            met = met.filter("class_a is null or class_b is null or class_a != class_b")
-        pairs = durable(met.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct())
-        close = durable(_estimated(pairs, reps, estimate))
-        if not close.isEmpty():
-            links.append(durable(_verified(close, reps, docs, similarity)))
-            classes = components(reduce(DataFrame.union, links))
-        rest = active.join(pivots.select("bucket", F.col("a").alias("key")), ["bucket", "key"], "left_anti")
-        if classes is not None:
-            rest = rest.join(classes, "key", "left")
-        else:
-            rest = rest.withColumn("class", F.lit(None).cast("binary"))
-        own = F.coalesce("class", "key")
-        left = rest.groupBy("bucket").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo != hi").select("bucket")
-        active, salts = durable(rest.select("bucket", "key").join(left, "bucket")), min(salts * 4, 256)
+    crowded = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a")).filter("n > 1")
+    shared = durable(member.join(crowded, "bucket").groupBy("a", F.col("key").alias("b")).agg(F.sum("n").alias("n")))
+    classes = None
+    if not shared.isEmpty():
+        coarse = components(shared.filter("a != b"))
+        texts = durable(_cluster_texts(reps, coarse, docs))
+        weight = shared.groupBy(F.col("b").alias("key")).agg(F.sum("n").alias("w"))
+        sizes = durable(texts.select("cluster", "key", F.length("text").alias("bytes")).join(weight, "key").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max_by("key", F.struct("w", "key")).alias("central")))
+        compared, links = _block_groups(texts, sizes, block_rows, block_bytes, estimate, similarity)
+        found = durable(reduce(DataFrame.union, [_links(compared, estimate, similarity), *links]))
+        if not found.isEmpty():
+            classes = components(found)
     found = sketch.select("doc_id", "key")
     if classes is None:
         by_class = reps.select("key", F.col("rep").alias("class_id"))
