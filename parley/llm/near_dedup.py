@@ -240,17 +240,22 @@ def _links(rows: DataFrame, estimate: float, similarity: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """key, class (its component's least key) of every key in a link, by label spreading with pointer jumps."""
-    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("class")))
-    while True:
-        near = both.join(labels.select(F.col("key").alias("b"), "class"), "b").groupBy(F.col("a").alias("key")).agg(F.min("class").alias("near"))
-        spread = labels.join(near, "key").select("key", F.least("class", "near").alias("next"), "class")
-        jump = labels.select(F.col("key").alias("next"), F.col("class").alias("far"))
-        moved = durable(spread.join(jump, "next").select("key", F.least("next", "far").alias("class"), (F.least("next", "far") != F.col("class")).alias("moved")))
-        labels = moved.select("key", "class")
-        if moved.filter("moved").isEmpty():
-            return labels
+    """key, class (one key of its component) of every key in a link.
+
+    Every round each key takes the least name next to it, and that one's; the links
+    are then rewritten between names, and those within a name or repeated vanish.
+    """
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges = durable(links.filter("a != b").select(*ends).distinct())
+    names = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct().withColumn("class", F.col("key"))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        up = durable(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p")))
+        up = durable(up.join(up.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p")))
+        names = durable(names.join(up.withColumnRenamed("v", "class"), "class", "left").select("key", F.coalesce("p", "class").alias("class")))
+        moved = edges.join(up.select(F.col("v").alias("a"), F.col("p").alias("x")), "a").join(up.select(F.col("v").alias("b"), F.col("p").alias("y")), "b")
+        edges = durable(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a != b").select(*ends).distinct())
+    return names
 
 
 def _block_groups(texts: DataFrame, sizes: DataFrame, block_rows: int, block_bytes: int, estimate: float, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
