@@ -321,6 +321,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of every class, that of the least id; rows with a null id all stay."""
     classes = near_duplicates(docs, **options).filter("doc_id is not null")
     # an id stays if one of its rows leads its class
-    lead = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_lead")).distinct()
-    with_id = docs.filter("doc_id is not null").join(lead, F.col("doc_id").cast("long") == F.col("_lead"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter("doc_id is null"))
+    lead = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    with_id = docs.filter("doc_id is not null").join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return with_id.select(docs.columns).unionByName(docs.filter("doc_id is null"))
