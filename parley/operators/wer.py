@@ -59,6 +59,8 @@ def align_pairs(pairs: DataFrame, key: str, ref: Column, hyp: Column) -> DataFra
         for batch in batches:
             for k, a, b in zip(batch[key], batch["_ref"], batch["_hyp"], strict=True):
                 steps = align(list(a), list(b))
+                if not steps:
+                    continue  # two empty texts have no steps
                 yield pd.DataFrame({key: [k] * len(steps), "step": range(len(steps)), "op": [s[0] for s in steps], "ref_idx": [s[1] for s in steps], "hyp_idx": [s[2] for s in steps]})
 
     given = pairs.select(key, F.coalesce(ref, F.array().cast("array<string>")).alias("_ref"), F.coalesce(hyp, F.array().cast("array<string>")).alias("_hyp"))
