@@ -32,7 +32,7 @@ from parley.llm.common import columns, groups, word_hashes
 
 BITS = 18
 #: Least probability of the top grade for a row to be kept.
-LEAST = 0.6
+LEAST = 0.65
 STEMS = (4, 5, 6)
 SHAPES, BINS = 6, 12
 _KINDS = np.zeros((4, 256), dtype=np.int64)
@@ -120,7 +120,7 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, size: int, *, epochs: i
     return Ordinal(np.where(w != 0, mean_w / n, 0.0), raw[0] + np.r_[0.0, np.cumsum(np.exp(raw[1:]))])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, *, bits: int = BITS, epochs: int = 60, step: float = 0.1, select: float = 4e-3, penalty: float = 1e-3, batch: int = 512, least_rows: int = 8) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, *, bits: int = BITS, epochs: int = 60, step: float = 0.2, select: float = 4e-3, penalty: float = 1e-3, batch: int = 512, least_rows: int = 8) -> Ordinal:
     """Two fits of the cumulative-link likelihood: the first (penalty ``select``) chooses features, the second weighs them.
 
     Features of fewer than ``least_rows`` rows keep weight 0.
