@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from parley.functions import strings, times, vectors
 from parley.operators import relational, talk, timeline, voices, wer
+from parley.plans import ingest
 from parley.plans.frames import Frames, with_frames
 from parley.schema import source_url, violations, watch_url, words_end, words_start, words_text
-from parley.sources import psv, snapshot
+from parley.sources import psv, sinks, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -645,3 +646,79 @@ def _(x: Frames) -> DataFrame:
     from parley.streaming.arrivals import talk_by_window
 
     return talk_by_window(x.table("events").withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# --- further rows of the inventory ------------------------------------------------------------
+
+
+@query("prj2_exclude_columns", None, "select doc_id, lang, source from documents")
+def _(x: Frames) -> DataFrame:
+    return x.table("documents").drop("text", "n_chars")
+
+
+@query("o5_top_k", None, "select event_id, user_id from events order by event_id desc limit 50")
+def _(x: Frames) -> DataFrame:
+    return x.table("events").orderBy(F.col("event_id").desc()).limit(relational.SEARCH_LIMIT).select("event_id", "user_id")
+
+
+@query("o9_longest_turns", "turns", """
+select meeting_id, turn_idx, n from (select *, row_number() over (partition by meeting_id order by round("end" - start, 3) desc, turn_idx)::int as n from turns where "end" - start >= 5400) where n <= 3""")
+def _(x: Frames) -> DataFrame:
+    whole = x.turns.withColumns({"end": F.round(F.col("end") - F.col("start"), 3), "start": F.lit(0.0)})
+    found = voices.longest_turns(whole, ["meeting_id"], least_secs=5400.0)
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("meeting_id").orderBy(F.col("end").desc(), "turn_idx")
+    return found.select("meeting_id", "turn_idx", F.row_number().over(order).alias("n"))
+
+
+@query("w10_playback_status", "words", """
++ a as (select meeting_id, count(*) filter (where start <= 864000) - 1 as active from words group by 1)
+select meeting_id, word_idx, case when word_idx < active then 'past' when word_idx = active then 'active' else 'future' end as status from words join a using (meeting_id)""")
+def _(x: Frames) -> DataFrame:
+    at = x.words.groupBy("meeting_id").agg(timeline.active_index(F.sort_array(F.collect_list("start")), F.lit(864000.0)).alias("active"))
+    return x.words.join(at, "meeting_id").select("meeting_id", "word_idx", timeline.playback_status(F.col("word_idx"), F.col("active")).alias("status"))
+
+
+@query("d13_timeline_text", None, """
+with t as (select o_orderkey, round(o_totalprice / 10, 3) as s from orders)
+select o_orderkey, case when s >= 3600 then floor(s / 3600)::int || ':' || lpad(floor((s % 3600) / 60)::int::varchar, 2, '0') || ':' || printf('%06.3f', s % 60) else floor((s % 3600) / 60)::int || ':' || printf('%06.3f', s % 60) end as shown from t""")
+def _(x: Frames) -> DataFrame:
+    return x.table("orders").select("o_orderkey", times.timeline_text(F.round(F.col("o_totalprice") / 10, 3)).alias("shown"))
+
+
+@query("j22_hits_per_segment", "talk", """
+select meeting_id, seg_idx, ((length(s) - length(replace(s, 'th', ''))) // 2)::int as hits from (select *, array_to_string(list_transform(texts, lambda w: lower(w) || ' '), '') as s from talk) where contains(s, 'th')""")
+def _(x: Frames) -> DataFrame:
+    keys = ["meeting_id", "seg_idx"]
+    found = talk.hits_per_segment(talk.find_matches(x.talk, " TH ", keys), keys)
+    return found.select(*keys, F.size("hits").alias("hits"))
+
+
+@query("snk10_json_lines", None, """select '{"id":' || n_nationkey || ',"name":"' || n_name || '"}' as value from nation""")
+def _(x: Frames) -> DataFrame:
+    return sinks.json_lines(x.bodies.select("id", "name"))
+
+
+@query("snk10_padded_table", None, "select rtrim(rpad(n_nationkey::varchar, 2, ' ') || '  ' || rpad(n_name, (select max(length(n_name)) from nation)::int, ' ')) as value from nation")
+def _(x: Frames) -> DataFrame:
+    return sinks.padded_table(x.bodies, ["id", "name"])
+
+
+@query("t17_ingest")
+def _(x: Frames) -> DataFrame:
+    key = F.concat(F.lit("v"), F.col("meeting_id")).alias("meeting_id")
+    of = lambda rows: rows.withColumn("meeting_id", key)
+    videos = x.words.select(key.alias("id"), F.concat(F.lit("c"), F.col("meeting_id") % 4).alias("channel_id"), F.lit("t").alias("title"), F.lit("").alias("description"), F.lit(60.0).alias("duration")).distinct()
+    e = x.table("embeddings")
+    centroids = voices.speaker_centroids(e.select((F.col("vec_id") % 5).alias("meeting_id"), (F.col("vec_id") % 4).cast("int").alias("speaker_num"), F.col("vec_id").alias("turn_idx"), F.lit(0.0).alias("start"), F.lit(2.0).alias("end"), "embedding"))
+    tables = {
+        "meetings": x.spark.createDataFrame([(1, 1, "v3")], "id int, body_id int, youtube_id string"),
+        "people": e.filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("id"), F.lit("p").alias("name"), F.col("embedding").alias("voice_embedding")),
+        "segments": x.spark.createDataFrame([(1, 1)], "id int, meeting_id int"),
+        "video_sources": x.spark.createDataFrame([(i, i + 1, f"c{i}") for i in range(3)], "id int, body_id int, youtube_id string"),
+    }
+    new, status = ingest.ingest(ingest.Batch(videos, of(x.words.drop("speaker_num")), of(x.turns), of(centroids)), tables)
+    counts = new["segments"].groupBy("meeting_id").agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("person_id").alias("people"))
+    named = new["meetings"].select(F.col("youtube_id").alias("id"), F.col("id").alias("meeting_id"))
+    return status.join(named, "id", "left").join(counts, "meeting_id", "left").select("id", "status", "segments", "people")

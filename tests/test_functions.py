@@ -127,3 +127,34 @@ def test_vectors(spark):
         one(spark, vectors.slice_wave(v(0, 1), F.lit(1), F.lit(1.0), F.lit(1.0)))
     with pytest.raises(Exception, match="sample rate"):
         one(spark, vectors.checked_rate(F.lit(8000)))
+
+
+def test_intervals_and_clips(spark):
+    from datetime import timedelta
+
+    assert one(spark, times.interval_of(F.lit(1.2345678))) == timedelta(seconds=1.235)
+    assert one(spark, times.interval_of(F.lit(None).cast("double"))) is None
+    assert one(spark, times.naive_to_instant(F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).cast("string")) == "2026-01-01 00:00:00"
+    r = one(spark, vectors.tail_clip(F.lit(0.0), F.lit(20.0)))
+    assert (r["from"], r["to"]) == (192_000, 320_000)
+    assert one(spark, vectors.sample_secs(F.lit(8000))) == 0.5
+    assert one(spark, times.seek_target(F.lit(5.0), F.lit(-15.0), F.lit(None).cast("double"))) == 0.0
+    assert one(spark, times.seek_target(F.lit(95.0), F.lit(15.0), F.lit(100.0))) == 100.0
+
+
+def test_playback(spark):
+    from parley.operators import timeline
+
+    row = spark.range(1).select(*[timeline.playback_status(F.lit(p), F.lit(1)).alias(f"s{p}") for p in range(3)], timeline.cyclic_step(F.lit(0), F.lit(-1), F.lit(5)).alias("c")).first()
+    assert tuple(row) == ("past", "active", "future", 4)
+    spans = spark.createDataFrame([(1, 0.0, 2.0), (1, 1.0, 3.0), (2, 0.0, 1.0), (2, 1.0, 2.0)], "k int, start double, end double")
+    assert {r.k: r.overlaps for r in timeline.any_overlap(spans, "k").collect()} == {1: True, 2: False}
+
+
+def test_hits_per_segment(spark):
+    from parley.operators import talk
+    from parley.schema import WORDS
+
+    rows = spark.createDataFrame([(1, 0, [("lala", 0.0, 0.1)])], f"meeting_id int, seg_idx int, words {WORDS}")
+    got = talk.hits_per_segment(talk.find_matches(rows, "la", ["meeting_id", "seg_idx"]), ["meeting_id", "seg_idx"]).first()
+    assert [h["at"] for h in got.hits] == [0, 2]
