@@ -49,8 +49,9 @@ AWAY_WORDS = set(
     "topbar toolbar cookie cookies consent gdpr notice notices alert warning disclaimer popup modal overlay newsletter subscribe subscription signup login search form share sharing social "
     "related recommended recommendations widget comment comments disqus reply replies respond pagination pager skip copyright legal".split()
 )
-MAIN_WORDS = {"article", "post", "entry", "story", "content", "main", "body", "text"}
-NEUTRAL_WORDS = {"page", "wrapper", "wrap", "container", "layout", "has", "with", "no", "without", "grid", "row", "site"}
+MAIN_WORDS = {"article", "post", "entry", "story", "content", "main"}
+#: A name with one of these tells about the page's layout, not about the element ("has-sidebar").
+LAYOUT_WORDS = {"has", "with", "no", "without", "layout", "grid"}
 #: Log-odds that the innermost main element or any boilerplate element around a block adds.
 EVIDENCE = {"main": 6.0, "away": -14.0}
 #: Starting weights of the classifier: one for each feature of ``Block.vector``.
@@ -80,13 +81,14 @@ def _kind(tag: str, attributes: str, inside_main: bool) -> int:
         if given.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"):
             return -1
         if tag not in ("html", "body"):
-            words = {w.lower() for k in ("class", "id") for w in _NAME.findall(given.get(k, ""))}
-            away = words & AWAY_WORDS
+            names = [{w.lower() for w in _NAME.findall(name)} for k in ("class", "id") for name in given.get(k, "").split()]
+            words = set().union(*(n for n in names if not n & LAYOUT_WORDS))
+            away, main = words & AWAY_WORDS, words & MAIN_WORDS
             if inside_main:
                 away -= {"header", "side"}
-            if away and not words & NEUTRAL_WORDS and not (away <= {"header", "side", "foot"} and words & MAIN_WORDS):
+            if away and not (away <= {"header", "side", "foot"} and main):
                 return -1
-            if tag not in MAIN and words & MAIN_WORDS and not away and tag in ("div", "section", "td"):
+            if main and not away and tag in ("div", "section", "td"):
                 return 1
         if given.get("role") == "main":
             return 1

@@ -17,6 +17,8 @@ WANT = "A title & more\n\nThe first paragraph is long enough, and has commas.\n\
         f"<div class='cookie-notice'>We use cookies, as all do.</div><div id=main-content>{STORY}</div><div class=sidebar><p>Popular now, and before.</p></div>",
         f"<article>{STORY}<div class=ad>Buy this now, it is cheap.</div><section id=comments><p>Great post, thank you for it all.</p></section></article>",
         f"<article><script>var t='</p><p>not text';</script><!-- <p>no</p> -->{STORY}<p hidden>secret</p><p style='display: none'>gone</p></article><div role=navigation>Next</div>",
+        f"<body class='page has-sidebar no-comments'><div class='ad-container'>Buy it, it is cheap, and good.</div><div class='page-wrapper'><div class='entry-content'>{STORY}</div></div><div class='sidebar-wrapper'>Most read, this week.</div></body>",
+        f"<article><header class='post-header'><h1>A title &amp; more</h1></header>{STORY.split('</h1>')[1]}<div class='comment no-print'>I agree, and so should you.</div></article>",
         f"<ARTICLE>{STORY}</ARTICLE><DIV CLASS='Newsletter Signup'>Subscribe to our list, it is free.</DIV>",
     ],
 )
