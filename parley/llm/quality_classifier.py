@@ -80,7 +80,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
 
-def _descend(rows: list[np.ndarray], grades: np.ndarray, size: int, *, epochs: int, step: float, penalty: float, batch: int) -> Ordinal:
+def _descend(flat: np.ndarray, at: np.ndarray, grades: np.ndarray, size: int, *, epochs: int, step: float, penalty: float, batch: int) -> Ordinal:
     """Proximal Adagrad; the result is the mean over the last half of the epochs, with weights that end at zero left there."""
     top = int(grades.max())
     w, seen_w, mean_w = np.zeros(size), np.full(size, 1e-3), np.zeros(size)
@@ -89,21 +89,21 @@ def _descend(rows: list[np.ndarray], grades: np.ndarray, size: int, *, epochs: i
     raw = np.r_[theta[0], np.log(np.maximum(np.diff(theta), 1e-2))]
     seen_t, mean_raw, n, draw = np.full(top, 1e-3), np.zeros(top), 0, np.random.default_rng(7)
     for epoch in range(epochs):
-        order = draw.permutation(len(rows))
+        order = draw.permutation(len(grades))
         for lo in range(0, len(order), batch):
             pick = order[lo : lo + batch]
-            ids = np.concatenate([rows[i] for i in pick])
-            row = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
+            ids = np.concatenate([flat[at[i] : at[i + 1]] for i in pick])
+            row = np.repeat(np.arange(len(pick)), at[pick + 1] - at[pick])
             f = np.bincount(row, w[ids], minlength=len(pick))
             theta = raw[0] + np.r_[0.0, np.cumsum(np.exp(raw[1:]))]
             edge = np.concatenate([np.full((len(pick), 1), -np.inf), theta[None, :] - f[:, None], np.full((len(pick), 1), np.inf)], axis=1)
             cdf = 1 / (1 + np.exp(-np.clip(edge, -40, 40)))
             cdf[:, 0], cdf[:, -1] = 0, 1
             slope = cdf * (1 - cdf)
-            y, at = grades[pick], np.arange(len(pick))
-            mass = np.maximum(cdf[at, y + 1] - cdf[at, y], 1e-9)
-            g_f = (slope[at, y + 1] - slope[at, y]) / mass / len(pick)  # of the loss by f
-            above, below = slope[at, y + 1] / mass / len(pick), slope[at, y] / mass / len(pick)
+            y, own = grades[pick], np.arange(len(pick))
+            mass = np.maximum(cdf[own, y + 1] - cdf[own, y], 1e-9)
+            g_f = (slope[own, y + 1] - slope[own, y]) / mass / len(pick)  # of the loss by f
+            above, below = slope[own, y + 1] / mass / len(pick), slope[own, y] / mass / len(pick)
             g_theta = np.bincount(y[y > 0] - 1, below[y > 0], minlength=top) - np.bincount(y[y < top], above[y < top], minlength=top)
             g_raw = np.r_[g_theta.sum(), [g_theta[k:].sum() * np.exp(raw[k]) for k in range(1, top)]]
             seen_t += g_raw**2
@@ -128,10 +128,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, *, bits: int = BITS, epochs:
     size = (1 << bits) + SHAPES * BINS
     if len(np.unique(grades)) < 2:
         return Ordinal(np.zeros(size), np.full(max(1, int(grades.max()) if len(grades) else 1), -50.0))
-    usable = np.bincount(np.concatenate(rows), minlength=size) >= least_rows
+    # the rows' ids in one array of 32-bit numbers, and where each row begins
+    flat, at = np.concatenate(rows).astype(np.int32, copy=False), np.r_[0, np.cumsum([len(r) for r in rows])]
+    usable = sum(np.bincount(flat[k : k + (1 << 20)], minlength=size) for k in range(0, len(flat), 1 << 20)) >= least_rows
     for strength, rate in ((select, step), (penalty, 3 * step)):
-        rows = [r[usable[r]] for r in rows]
-        model = _descend(rows, grades, size, epochs=epochs, step=rate, penalty=strength, batch=batch)
+        kept = usable[flat]
+        left, full = np.zeros(len(rows), dtype=np.int64), at[1:] > at[:-1]
+        left[full] = np.add.reduceat(kept, at[:-1][full], dtype=np.int32)
+        at, flat = np.r_[0, np.cumsum(left)], flat[kept]
+        model = _descend(flat, at, grades, size, epochs=epochs, step=rate, penalty=strength, batch=batch)
         usable = model.weights != 0
     return model
 
@@ -150,8 +155,11 @@ def train(docs: DataFrame, graded: DataFrame, *, fit_rows: int = 12_000, bits: i
     # an id repeated in docs must not multiply the bounded sample
     labelled = columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
     got = labelled.mapInArrow(extract, "doc_id long, ids binary, grade int").groupBy("doc_id").agg(F.min("ids").alias("ids"), F.min("grade").alias("grade")).orderBy("doc_id").toArrow()
-    rows = [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in got.column("ids").to_pylist()]
-    return fit(rows, np.array(got.column("grade").to_pylist(), dtype=np.int64), bits=bits, **options)
+    rows = [np.frombuffer(x.as_buffer(), dtype="<i4") for x in got.column("ids")]  # views, not copies
+    model = fit(rows, np.array(got.column("grade").to_pylist(), dtype=np.int64), bits=bits, **options)
+    del rows, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Ordinal, *, bits: int = BITS) -> DataFrame:
