@@ -21,6 +21,8 @@ from parley.schema import WORDS
 SLIVER_WORDS, SLIVER_SECS, MAX_GAP_SECS, PUNCTUATION_WORDS = 5, 2.0, 0.5, 2
 MAX_TOKEN_SECS = 0.32
 WINDOW_SECS = 120.0
+#: Width of the time buckets of interval joins: about the length of a typical turn, so that a span touches few.
+BUCKET_SECS = 10.0
 
 
 def islands(rows: DataFrame, key: str, order: str | list[str], value: str, *, island: str = "island") -> DataFrame:
@@ -68,7 +70,7 @@ def _buckets(start: Column, end: Column, width: float) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
 
 
-def overlap_argmax(words: DataFrame, turns: DataFrame, key: str = "meeting_id", *, bucket_secs: float = 10.0) -> DataFrame:
+def overlap_argmax(words: DataFrame, turns: DataFrame, key: str = "meeting_id", *, bucket_secs: float = BUCKET_SECS) -> DataFrame:
     """key, word_idx and the speaker of the turn that overlaps the word most (more than 0; the earliest turn wins ties)."""
     w = words.select(key, "word_idx", F.col("start").alias("w_start"), F.col("end").alias("w_end")).withColumn("bucket", _buckets(F.col("w_start"), F.col("w_end"), bucket_secs))
     t = turns.select(key, "turn_idx", F.col("speaker_num"), F.col("start").alias("t_start"), F.col("end").alias("t_end")).withColumn("bucket", _buckets(F.col("t_start"), F.col("t_end"), bucket_secs))
@@ -93,9 +95,9 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, at: str, order: str
     return found.withColumn(value, pick).drop("_at", "_a", "_point", "_b", "_f")
 
 
-def assign_speakers(words: DataFrame, turns: DataFrame, key: str = "meeting_id") -> DataFrame:
+def assign_speakers(words: DataFrame, turns: DataFrame, key: str = "meeting_id", *, bucket_secs: float = BUCKET_SECS) -> DataFrame:
     """Words with the speaker of the turn that overlaps most, else of the turn with the nearest midpoint; null without turns."""
-    hit = overlap_argmax(words, turns, key)
+    hit = overlap_argmax(words, turns, key, bucket_secs=bucket_secs)
     plain = words.drop("speaker_num")
     missed = plain.join(hit, [key, "word_idx"], "left_anti").withColumn("mid", (F.col("start") + F.col("end")) / 2)
     anchors = turns.withColumn("mid", (F.col("start") + F.col("end")) / 2)
@@ -197,9 +199,9 @@ def absorb_slivers(segments: DataFrame, key: str = "meeting_id") -> DataFrame:
     return folded.select(key, F.posexplode("done").alias("seg_idx", "x")).select(key, "seg_idx", "x.speaker_num", "x.words")
 
 
-def align_speakers(words: DataFrame, turns: DataFrame, key: str = "meeting_id") -> DataFrame:
+def align_speakers(words: DataFrame, turns: DataFrame, key: str = "meeting_id", *, bucket_secs: float = BUCKET_SECS) -> DataFrame:
     """Words and turns to speaker segments: assignment, runs, sliver absorption."""
-    given = assign_speakers(words, turns.withColumn("speaker_num", F.col("speaker_num").cast("int")), key)
+    given = assign_speakers(words, turns.withColumn("speaker_num", F.col("speaker_num").cast("int")), key, bucket_secs=bucket_secs)
     return absorb_slivers(speaker_segments(given, key), key)
 
 

@@ -18,6 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The analogue's turns last hours.
+BUCKET = 7200.0
+
+
 def query(name: str, frames: str | None = None, sql: str | None = None):
     """Register a function of ``Frames``; ``sql`` may use the named analogue frames."""
 
@@ -315,7 +319,7 @@ far as (select w.meeting_id, w.word_idx, t.speaker_num, row_number() over (parti
   from words w join turns t on t.meeting_id = w.meeting_id where not exists (select 1 from hit h where h.meeting_id = w.meeting_id and h.word_idx = w.word_idx))
 select * from hit union all select meeting_id, word_idx, speaker_num from far where n = 1""")
 def _(x: Frames) -> DataFrame:
-    return timeline.assign_speakers(x.words, x.turns).select("meeting_id", "word_idx", "speaker_num")
+    return timeline.assign_speakers(x.words, x.turns, bucket_secs=BUCKET).select("meeting_id", "word_idx", "speaker_num")
 
 
 @query("j16_nearest_anchor", "words turns", """
@@ -370,7 +374,7 @@ def _(x: Frames) -> DataFrame:
 
 @query("t1_align_speakers")
 def _(x: Frames) -> DataFrame:
-    return timeline.align_speakers(x.words, x.turns).select("meeting_id", "seg_idx", "speaker_num", F.size("words").alias("n"), words_text(F.col("words")).alias("text"))
+    return timeline.align_speakers(x.words, x.turns, bucket_secs=BUCKET).select("meeting_id", "seg_idx", "speaker_num", F.size("words").alias("n"), words_text(F.col("words")).alias("text"))
 
 
 @query("t4_segments_to_turns", "words", """
@@ -718,7 +722,7 @@ def _(x: Frames) -> DataFrame:
         "segments": x.spark.createDataFrame([(1, 1)], "id int, meeting_id int"),
         "video_sources": x.spark.createDataFrame([(i, i + 1, f"c{i}") for i in range(3)], "id int, body_id int, youtube_id string"),
     }
-    new, status = ingest.ingest(ingest.Batch(videos, of(x.words.drop("speaker_num")), of(x.turns), of(centroids)), tables)
+    new, status = ingest.ingest(ingest.Batch(videos, of(x.words.drop("speaker_num")), of(x.turns), of(centroids)), tables, bucket_secs=BUCKET)
     counts = new["segments"].groupBy("meeting_id").agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("person_id").alias("people"))
     named = new["meetings"].select(F.col("youtube_id").alias("id"), F.col("id").alias("meeting_id"))
     return status.join(named, "id", "left").join(counts, "meeting_id", "left").select("id", "status", "segments", "people")

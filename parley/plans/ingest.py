@@ -35,7 +35,7 @@ def plan(videos: DataFrame, meetings: DataFrame, sources: DataFrame) -> DataFram
     return found.select("id", "body_id", status.alias("status"))
 
 
-def ingest(batch: Batch, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+def ingest(batch: Batch, tables: dict[str, DataFrame], *, bucket_secs: float = timeline.BUCKET_SECS) -> tuple[dict[str, DataFrame], DataFrame]:
     """(new meetings, people and segments tables, status of every video). Tables: meetings, people, segments, video_sources.
 
     Start times stay null; segments without words are dropped; ids go on after the greatest.
@@ -48,7 +48,7 @@ def ingest(batch: Batch, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFr
     meetings = derive_meetings(new.select("id", "body_id", "youtube_id", "title", "description", F.lit(None).cast("timestamp").alias("start_time"), seconds(F.col("duration")).alias("duration_secs")))
     only = taken.select(F.col("id").alias("meeting_id"))
     of = lambda rows: rows.join(only, "meeting_id", "left_semi")
-    spoken = timeline.align_speakers(of(batch.words), of(batch.turns)).filter(F.size("words") > 0)
+    spoken = timeline.align_speakers(of(batch.words), of(batch.turns), bucket_secs=bucket_secs).filter(F.size("words") > 0)
     resolved, people = voices.resolve_people(of(batch.centroids), tables["people"])
     named = voices.identify_segments(spoken, resolved).join(meetings.select(F.col("youtube_id").alias("meeting_id"), F.col("id").alias("_meeting")), "meeting_id")
     rows = number(named.drop("meeting_id").withColumnRenamed("_meeting", "meeting_id"), ["meeting_id", "seg_idx"], "segments")
