@@ -14,9 +14,10 @@ smoothed towards the suffix's (Witten-Bell), the root's towards uniform. A
 symbol is scored in the state of the longest kept suffix of what precedes it.
 
 The word table (base score) and the n-gram table are counted over all training
-texts by Spark. The tree sent to the tasks holds at most ``states`` contexts
-that passed the test, the most divergent, and their suffixes. The word table is joined; only
-its ``head_words`` most frequent words are sent to the tasks, so that frequent words need no shuffle.
+texts by Spark. All contexts that passed the test score. The tree sent to the tasks holds at most
+``states`` of them, the most divergent, and their suffixes (the head); what the others change is joined
+by context, at the places where a state of the head has a longer kept context outside the head.
+The word table is joined likewise; only its ``head_words`` most frequent words are sent to the tasks.
 
 Defined cases: a null text counts as empty, which is one token, the end; a null
 id is no held-out one; equal rows get equal scores, one row each; with no training text the
@@ -221,9 +222,24 @@ class SuffixTree:
     log: np.ndarray  # state x next symbol, log10
     short: np.ndarray  # three preceding symbols -> state of their longest kept suffix
     longer: np.ndarray  # state x one older symbol -> state of the context longer by it, 0 if it is not kept
+    size: np.ndarray  # symbols of each state's context
+    held: list[tuple[np.ndarray, np.ndarray]]  # for each length, contexts in order and their states
+    more: np.ndarray | None = None  # state x one older symbol -> whether the context longer by it is kept outside this tree
+
+    def find(self, d: int, contexts: np.ndarray) -> np.ndarray:
+        """State of each context of d symbols, 0 if it is not in this tree (or empty)."""
+        held, states = self.held[d]
+        if not len(held):
+            return np.zeros(len(contexts), dtype=np.int32)
+        near = np.minimum(np.searchsorted(held, contexts), len(held) - 1)
+        return np.where(held[near] == contexts, states[near], 0).astype(np.int32)
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each text."""
+        return self.read(texts)[0]
+
+    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """log10 probability of each text in this tree, and the lookups outside it: text, key of context, next symbol, count."""
         raw, at = _stream(texts, self.depth)
         symbol, place = self.table[raw].astype(np.int32), _scored(at, self.depth, len(raw))
         code = symbol[:-1].copy()
@@ -241,13 +257,36 @@ class SuffixTree:
         if (symbol == ESCAPE).any():
             each = each + self.escaped[raw[place]]
         first = at[:-1] - self.depth * np.arange(len(at) - 1)
-        return np.add.reduceat(each.astype(np.float64), first)
+        total = np.add.reduceat(each.astype(np.float64), first)
+        if self.more is None:
+            return total, ()
+        size = self.size[state]
+        # a context of full depth has no longer one; its entry in ``more`` is never set
+        open_ = np.flatnonzero(self.more[state, symbol[place - np.minimum(size + 1, self.depth)]])
+        place, size = place[open_], size[open_]
+        text, keys, following = np.searchsorted(at, place, side="right") - 1, [], []
+        context = np.zeros(len(place), dtype=np.int64)
+        owners = []
+        for d in range(1, self.depth + 1):
+            context |= symbol[place - d].astype(np.int64) << (BITS * (d - 1))
+            use = np.flatnonzero(size < d)
+            owners.append(text[use])
+            keys.append(context[use] | 1 << (BITS * d))
+            following.append(symbol[place[use]])
+        text, key, after = map(np.concatenate, (owners, keys, following))
+        order = np.lexsort((after, key, text))
+        text, key, after = text[order], key[order], after[order]
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (after[1:] != after[:-1])
+        begin = np.flatnonzero(new)
+        return total, (text[begin], key[begin], after[begin], np.diff(np.r_[begin, len(text)]))
 
 
 def build_tree(rows: list[tuple[int, int, np.ndarray]], depth: int, table: np.ndarray, escaped: np.ndarray) -> SuffixTree:
     """Tree from (d, context, next-symbol counts) of kept contexts, their suffixes included."""
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     known, p = {(0, 0): 0}, np.full((len(rows) + 1, SYMBOLS), 1 / SYMBOLS)
+    size = np.zeros(len(rows) + 1, dtype=np.int8)
     longer = np.zeros((len(rows) + 1, SYMBOLS), dtype=np.int32)
     for d, context, counts in rows:
         n, kinds = counts.sum(), (counts > 0).sum()
@@ -256,32 +295,100 @@ def build_tree(rows: list[tuple[int, int, np.ndarray]], depth: int, table: np.nd
             continue
         up = known[d - 1, context & ((1 << (BITS * (d - 1))) - 1)]
         state = known[d, context] = len(known)
-        p[state] = (counts + kinds * p[up]) / (n + kinds)
+        p[state], size[state] = (counts + kinds * p[up]) / (n + kinds), d
         if d > 3:
             longer[up, context >> (BITS * (d - 1))] = state
+    held = []
+    for d in range(depth + 1):
+        own = sorted((c, state) for (k, c), state in known.items() if k == d)
+        held.append((np.array([c for c, _ in own], dtype=np.int64), np.array([x for _, x in own], dtype=np.int32)))
     short = np.zeros(1 << (3 * BITS), dtype=np.int32)
-    for d in (1, 2, 3):
-        held = np.array(sorted(c for k, c in known if k == d), dtype=np.int64)
+    for d, (contexts, states) in enumerate(held[1:4], start=1):
         every = np.arange(len(short)) & ((1 << (BITS * d)) - 1)
-        if len(held):
-            near = np.minimum(np.searchsorted(held, every), len(held) - 1)
-            states = np.array([known[d, c] for c in held.tolist()], dtype=np.int32)
-            short = np.where(held[near] == every, states[near], short).astype(np.int32)
-    return SuffixTree(depth, table, escaped, np.log10(p[: len(known)]).astype(np.float32), short, longer[: len(known)])
+        if len(contexts):
+            near = np.minimum(np.searchsorted(contexts, every), len(contexts) - 1)
+            short = np.where(contexts[near] == every, states[near], short).astype(np.int32)
+    return SuffixTree(depth, table, escaped, np.log10(p[: len(known)]).astype(np.float32), short, longer[: len(known)], size[: len(known)], held)
+
+
+def _keys(contexts: np.ndarray) -> pa.Array:
+    """Join key of each context (its length marked by a leading 1): a line break, which begins no word, and 7 bytes."""
+    raw = (contexts | 10 << 56).astype(">i8").tobytes()
+    return pa.Array.from_buffers(pa.binary(8), len(contexts), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _changes(tail: DataFrame, tree: SuffixTree) -> DataFrame:
+    """k (key of context) and change: what each context of ``tail`` (d, context, seen) adds to its suffix's log10 probability of each next symbol."""
+    sent, done, before = tail.sparkSession.sparkContext.broadcast(tree), [], None
+    for d in range(1, tree.depth + 1):
+        own = tail.filter(F.col("d") == d).withColumn("suffix", _last(F.col("context"), F.lit(d - 1), tree.depth))
+        if before is None:
+            own = own.withColumn("up", F.lit(None).cast("array<double>"))
+        else:
+            own = own.join(before.select(F.col("context").alias("suffix"), F.col("p").alias("up")), "suffix", "left")
+
+        def run(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
+            head = sent.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                context, counts = batch.column(0).to_numpy(), _dense(batch.column(1))
+                suffix, given = batch.column(2).to_numpy(), batch.column(3)
+                up = 10.0 ** head.log[head.find(d - 1, suffix)].astype(np.float64)  # the suffix itself, unless it is outside the head
+                there = given.is_valid().to_numpy(zero_copy_only=False)
+                if there.any():
+                    up[there] = given.drop_null().flatten().to_numpy().reshape(-1, SYMBOLS)
+                n, kinds = counts.sum(axis=1)[:, None], (counts > 0).sum(axis=1)[:, None]
+                p = (counts + kinds * up) / (n + kinds)
+                edge = np.arange(0, p.size + 1, SYMBOLS, dtype=np.int32)
+                lists = [pa.ListArray.from_arrays(edge, v.ravel()) for v in (p, np.log10(p / up))]
+                # the state of the head that this context grows from, if its suffix is in the head
+                state = pa.array(head.find(d - 1, suffix), pa.int32(), mask=there)
+                older = pa.array((context >> (BITS * (d - 1))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0), _keys(context | 1 << (BITS * d)), *lists, state, older], ["context", "k", "p", "change", "state", "older"])
+
+        before = durable(own.select("context", "seen", "suffix", "up").mapInArrow(run, "context long, k binary, p array<double>, change array<double>, state int, older int"))
+        done.append(before.select("k", "change", "state", "older"))
+    out = done[0]
+    for one in done[1:]:
+        out = out.union(one)
+    return out
+
 
+def _mark(tree: SuffixTree, changes: DataFrame) -> SuffixTree:
+    """``tree`` with ``more`` for the contexts of ``changes``: one mask for each state of the head that has any."""
+    edges = changes.filter("state is not null").groupBy("state").agg(F.bit_or(F.expr("shiftleft(1L, older)")).alias("mask")).toArrow()
+    tree.more = np.zeros(tree.longer.shape, dtype=bool)
+    if edges.num_rows:
+        mask = edges.column("mask").to_numpy().view(np.uint64)
+        tree.more[edges.column("state").to_numpy()] = (mask[:, None] >> np.arange(SYMBOLS, dtype=np.uint64)) & np.uint64(1) > 0
+    return tree
 
-def train_tree(docs: DataFrame, histogram: dict[int, int], *, depth: int = DEPTH, states: int = STATES, least_gain: float = LEAST_GAIN) -> SuffixTree:
+
+def train_tree(docs: DataFrame, histogram: dict[int, int], *, depth: int = DEPTH, states: int = STATES, least_gain: float = LEAST_GAIN) -> tuple[SuffixTree, DataFrame | None]:
+    """Tree of the head, and what the kept contexts outside it change (none if the head is all)."""
     table, escaped = symbol_table(histogram)
     nodes, passed = divergent(count_ngrams(docs, table, depth), depth, least_gain)
     passed = durable(passed)
-    kept = passed.filter(F.col("gain") >= _cutoff(passed, "gain", states)).select("d", "context")
-    closed = kept.select(F.explode(F.sequence(F.lit(0), "d")).alias("k"), "context").select(F.col("k").alias("d"), _last(F.col("context"), F.col("k"), depth).alias("context")).union(nodes.filter("d = 0").select("d", "context")).distinct()
-    got = nodes.join(closed, ["d", "context"]).toArrow().combine_chunks()
+    cut = _cutoff(passed, "gain", states)
+    root = nodes.filter("d = 0").select("d", "context")
+
+    def closed(chosen: DataFrame) -> DataFrame:
+        own = chosen.select(F.explode(F.sequence(F.lit(0), "d")).alias("k"), "context")
+        return own.select(F.col("k").alias("d"), _last(F.col("context"), F.col("k"), depth).alias("context")).union(root).distinct()
+
+    head = closed(passed.filter(F.col("gain") >= cut))
+    got = nodes.join(head, ["d", "context"]).toArrow().combine_chunks()
     rows = []
     for batch in got.to_batches():
         dense = _dense(batch.column(batch.schema.get_field_index("seen")))
         rows += zip(batch.column("d").to_pylist(), batch.column("context").to_pylist(), dense, strict=True)
-    return build_tree(rows, depth, table, escaped)
+    tree, rest = build_tree(rows, depth, table, escaped), passed.filter(F.col("gain") < cut)
+    if rest.isEmpty():
+        return tree, None
+    tail = durable(nodes.join(closed(rest).join(head, ["d", "context"], "left_anti"), ["d", "context"]))
+    changes = _changes(tail, tree)
+    return _mark(tree, changes), changes.select("k", "change")
 
 
 def score(docs: DataFrame, *, depth: int = DEPTH, states: int = STATES, least_gain: float = LEAST_GAIN, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -291,12 +398,12 @@ def score(docs: DataFrame, *, depth: int = DEPTH, states: int = STATES, least_ga
     counted = durable(count_words(training))
     histogram = {r.key[0]: r.n for r in counted.filter("kind = 1").collect()}  # at most 256 rows
     total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("ends")).first()
-    tree = train_tree(training, histogram, depth=depth, states=states, least_gain=least_gain)
+    tree, changes = train_tree(training, histogram, depth=depth, states=states, least_gain=least_gain)
     words, below = counted.filter("kind = 0").select("key", "n"), math.log10(total.n + total.v + 1)
     head = words.filter(F.col("n") >= _cutoff(words, "n", head_words)).toArrow()
     log = np.log10(head.column("n").to_numpy() + 1) - below
     sent = docs.sparkSession.sparkContext.broadcast((tree, head.column("key").to_pylist(), log, math.log10(total.ends + 1) - below))
-    schema = "rid binary, k binary, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    schema = "rid binary, k binary, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, next int"
     ends_known = int(total.ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,28 +413,41 @@ def score(docs: DataFrame, *, depth: int = DEPTH, states: int = STATES, least_ga
             ids, held, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for part in _chunks(batch.column(1).to_pylist()):
                 rows: list[tuple] = []
-                for text, value in zip(part, own.scores(part).tolist(), strict=True):
+                scores, outside = own.read(part)
+                rids = []
+                for text, value in zip(part, scores.tolist(), strict=True):
                     doc = ids[at]
                     rid = hashlib.blake2b(b"%s %s" % (str(doc).encode(), b" ".join(text)), digest_size=16).digest()
+                    rids.append(rid)
                     each = list(map(known.get, text))
                     missing = each.count(None)
                     rest = Counter([w for w, x in zip(text, each, strict=True) if x is None]) if missing else {}
                     base = math.fsum(filter(None, each))
-                    rows.append((rid, b" " + rid, None, doc, held[at], len(text) + 1, len(text) - missing + ends_known, base + end, value))
-                    rows += [(rid, w, n, None, None, None, None, None, None) for w, n in rest.items()]
+                    rows.append((rid, b" " + rid, None, doc, held[at], len(text) + 1, len(text) - missing + ends_known, base + end, value, None))
+                    rows += [(rid, w, n, None, None, None, None, None, None, None) for w, n in rest.items()]
                     at += 1
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema.replace(",", "").split()[::2])
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
+                names = schema.replace(",", "").split()[::2]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if outside and len(outside[0]):
+                    owner, key, after, n = outside
+                    cols = {"rid": pa.array(rids, pa.binary()).take(pa.array(owner)), "k": _keys(key), "n": pa.array(n, pa.int64()), "next": pa.array(after, pa.int32())}
+                    yield pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(len(n), k) for c, k in zip(names, kinds, strict=True)], names)
 
     parts = docs.withColumn("held", held_out()).mapInArrow(run, schema)
-    # a row for each text, and one for each of its words outside the head; equal rows share their rid
-    looked_up = parts.join(words.select(F.col("key").alias("k"), F.col("n").alias("c")), "k", "left")
-    rest = F.when(F.col("n").isNotNull(), F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - below))
+    # a row for each text, one for each of its words outside the head, and one for each longer context
+    # that may be kept outside the head tree, with its next symbol; equal rows share their rid
+    table = words.select(F.col("key").alias("k"), F.col("n").alias("c"), F.lit(None).cast("array<double>").alias("change"))
+    if changes is not None:
+        table = table.union(changes.select("k", F.lit(None).cast("long"), "change"))
+    looked_up = parts.join(table, "k", "left").withColumn("change", F.col("n") * F.get("change", F.col("next")))
+    rest = F.when(F.col("n").isNotNull() & F.col("next").isNull(), F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - below))
     found = looked_up.groupBy("rid").agg(
         F.count("n_tokens").alias("m"),
         *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")],
         F.coalesce(F.sum(rest), F.lit(0.0)).alias("rest"),
+        F.coalesce(F.sum("change"), F.lit(0.0)).alias("change"),
         F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("rest_known"),
     )
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
-    return each.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rest_known") / F.col("m")).cast("long").alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.col("rest") / F.col("m")).alias("base_score"), "score")
+    return each.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rest_known") / F.col("m")).cast("long").alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.col("rest") / F.col("m")).alias("base_score"), (F.col("score") + F.col("change") / F.col("m")).alias("score"))

@@ -77,6 +77,17 @@ def test_scores_equal_a_plain_tree(spark):
         assert abs(got[i] - total) < 1e-3 * max(1, abs(total))
 
 
+def test_contexts_outside_the_head_count(spark):
+    """Whatever the head holds, every kept context scores; equal rows keep equal scores."""
+    rows = corpus(150, seed=8)
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r.score for r in op.score(docs, least_gain=4.0).collect()}
+    for states in (0, 6, 40):
+        got = op.score(docs, least_gain=4.0, states=states).collect()
+        assert len(got) == 151
+        assert all(abs(r.score - whole[r.doc_id]) < 1e-3 * max(1, abs(whole[r.doc_id])) for r in got)
+
+
 def test_distributions_sum_to_one(spark):
     tree = op.build_tree([(0, 0, np.arange(64.0)), (1, 5, np.eye(64)[3] * 4)], 5, *op.symbol_table({97: 3}))
     assert np.allclose((10.0 ** tree.log).sum(axis=1), 1, atol=1e-5)
