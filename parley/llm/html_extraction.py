@@ -107,14 +107,14 @@ def blocks(page: str) -> list[Block]:
         nonlocal current
         if not piece:
             return
+        block = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
+        if stack[-1][2] < min(0, block[2]):
+            return  # an inline element that is not content
         if current is None:
             if not piece.strip():
                 return
-            block = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-            current = Block(block[0], tuple(e[1] for e in stack if e[0] not in INLINE), stack[-1][2])
+            current = Block(block[0], tuple(e[1] for e in stack if e[0] not in INLINE), block[2])
             out.append(current)
-        elif stack[-1][2] < 0 <= current.evidence:
-            return  # an inline element that is not content
         current.pieces.append(piece)
         if links:
             current.linked += len(piece)

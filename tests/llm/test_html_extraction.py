@@ -26,6 +26,20 @@ def test_articles(page):
     assert op.main_text(page) == WANT
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p><span class='notice'>Note:</span> The long text of an article, with commas.</p></article>", "The long text of an article, with commas."),
+        ("<article><h2><a class='anchor' aria-hidden='true'>#</a>Title</h2></article>", "Title"),
+        ("<article><p><span style='display:none'>x</span>Visible text<b class='ad'> Buy</b>, and more.</p></article>", "Visible text, and more."),
+        ("<article><ul><li><i hidden>1</i> First item, of two.</li></ul></article>", "First item, of two."),
+        ("<article><p><span class='ad'>Buy it.</span></p><p>The text.</p></article>", "The text."),
+    ],
+)
+def test_inline_elements_do_not_decide_for_their_block(page, want):
+    assert op.main_text(page) == want
+
+
 def test_pages_without_structure():
     assert op.main_text("Just a text, without any element. It stays.") == "Just a text, without any element. It stays."
     links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
