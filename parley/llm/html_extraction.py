@@ -41,8 +41,9 @@ RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-AWAY = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "svg", "canvas", "object", "audio", "video", "map", "head"}
+AWAY = {"nav", "footer", "aside", "menu", "dialog", "button", "select", "svg", "canvas", "object", "audio", "video", "map", "head"}
 MAIN = {"article", "main"}
+FORMS = {"form", "fieldset"}
 # fixed values: words in class and id names
 AWAY_WORDS = set(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header masthead "
@@ -52,8 +53,11 @@ AWAY_WORDS = set(
 MAIN_WORDS = {"article", "post", "entry", "story", "content", "main"}
 #: A name with one of these tells about the page's layout, not about the element ("has-sidebar").
 LAYOUT_WORDS = {"has", "with", "no", "without", "layout", "grid"}
-#: Log-odds that the innermost main element or any boilerplate element around a block adds.
-EVIDENCE = {"main": 6.0, "away": -14.0}
+#: What elements tell of the blocks in them. A form may hold a whole page, and a class word may be about something
+#: else: their cost is one that the classifier and the edges can outweigh.
+MAIN_AROUND, FORM_AROUND, WORD_AROUND, AWAY_AROUND, HIDDEN = 1, -1, -2, -3, -4
+#: Log-odds that the innermost main element or the strongest boilerplate element within it adds to a block.
+EVIDENCE = {0: 0.0, MAIN_AROUND: 6.0, FORM_AROUND: -1.5, WORD_AROUND: -3.0, AWAY_AROUND: -14.0}
 #: Starting weights of the classifier: one for each feature of ``Block.vector``.
 START = (-0.3, 0.5, -5.0, 1.0, 0.8, 0.3, -0.8, 0.5)
 SMOOTH, NEAR_BLOCKS = 1.2, 3
@@ -70,29 +74,41 @@ class Block:
         return (1.0, math.log1p(size) - 4, min(1.0, self.linked / size), sum(map(self.text.count, ".,;!?")) / size * 20, float(self.tag in ("", "p", "pre", "blockquote")), float(self.tag in HEADINGS), float(self.tag in ("li", "td", "dd")), 1 - 2 * abs(place - 0.5))
 
 
-def _kind(tag: str, attributes: str, inside_main: bool) -> int:
-    """1 for a main element, -1 for a boilerplate element, -2 for one that is not shown, else 0."""
-    if tag in AWAY or tag == "header" and not inside_main:
-        return -1
+def _kind(tag: str, attributes: str, around: int) -> int:
+    """Evidence inside an element, given the evidence around it."""
+    if around == HIDDEN:
+        return HIDDEN
+    inside_main = around > 0
+    own = FORM_AROUND if tag in FORMS else AWAY_AROUND if tag in AWAY or tag == "header" and not inside_main else 0
+    main = tag in MAIN
     if attributes:
         given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
         if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
-            return -2
-        if given.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"):
-            return -1
-        if tag not in ("html", "body"):
+            return HIDDEN
+        role = given.get("role")
+        if role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"):
+            own = AWAY_AROUND
+        elif role == "form":
+            own = min(own, FORM_AROUND)
+        main = main or role == "main"
+        if tag not in ("html", "body") and own > AWAY_AROUND:
             names = [{w.lower() for w in _NAME.findall(name)} for k in ("class", "id") for name in given.get(k, "").split()]
             words = set().union(*(n for n in names if not n & LAYOUT_WORDS))
-            away, main = words & AWAY_WORDS, words & MAIN_WORDS
+            away, named = words & AWAY_WORDS, words & MAIN_WORDS
             if inside_main:
                 away -= {"header", "side"}
-            if away and not (away <= {"header", "side", "foot"} and main):
-                return -1
-            if main and not away and tag in ("div", "section", "td"):
-                return 1
-        if given.get("role") == "main":
-            return 1
-    return 1 if tag in MAIN else 0
+            if tag in FORMS:
+                away -= {"form"}
+            # a main element that is not inside another one, or inside what is away, is one whatever its class says
+            if away and not (away <= {"header", "side", "foot"} and named) and not (main and around in (0, FORM_AROUND)):
+                own = min(own, WORD_AROUND)
+            elif named and not away and not own and around >= FORM_AROUND and tag in ("div", "section", "td"):
+                return MAIN_AROUND
+    if own < 0:
+        return min(own, around)
+    if main:  # in a nav, footer or aside it may be a teaser
+        return WORD_AROUND if around == AWAY_AROUND else MAIN_AROUND
+    return around
 
 
 def blocks(page: str) -> list[Block]:
@@ -155,14 +171,13 @@ def blocks(page: str) -> list[Block]:
                     break
         count += 1
         around = stack[-1][2]
-        kind = _kind(tag, m[3] or m[6] or "", around > 0) if around >= 0 else around
-        stack.append((tag, count, kind or around))
+        stack.append((tag, count, _kind(tag, m[3] or m[6] or "", around)))
         links += tag == "a"
     text(page[at:])
     kept = []
     for b in out:
         b.text = " ".join(entities.unescape("".join(b.pieces)).split())
-        if b.text and b.evidence != -2:
+        if b.text and b.evidence != HIDDEN:
             kept.append(b)
     return kept
 
@@ -248,7 +263,7 @@ def label(found: list[Block], weights: tuple[float, ...]) -> list[bool]:
     gain = []
     for i, b in enumerate(found):
         odds = sum(map(float.__mul__, weights, b.vector((i + 0.5) / n)))
-        odds = max(-5.0, min(5.0, odds)) + (EVIDENCE["main"] if b.evidence > 0 else EVIDENCE["away"] if b.evidence < 0 else 0.0)
+        odds = max(-5.0, min(5.0, odds)) + EVIDENCE[b.evidence]
         gain.append(round(1000 * odds))
     edges, seen = [], {}
     for i, b in enumerate(found):
@@ -292,7 +307,7 @@ def train(pages: DataFrame, *, fit_pages: int = 1_000, fit_blocks: int = 200) ->
             rows = []
             for page in batch.column(1).to_pylist():
                 found = blocks(page or "")
-                known = [(b.vector((i + 0.5) / len(found)), int(b.evidence > 0)) for i, b in enumerate(found) if b.evidence]
+                known = [(b.vector((i + 0.5) / len(found)), int(b.evidence > 0)) for i, b in enumerate(found) if b.evidence not in (0, FORM_AROUND)]
                 rows += known[:: max(1, -(-len(known) // fit_blocks))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([list(v) for v, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], ["x", "y"])

@@ -40,6 +40,27 @@ def test_inline_elements_do_not_decide_for_their_block(page, want):
     assert op.main_text(page) == want
 
 
+PROSE = "The city council met on Monday, and after a long debate, it agreed to the plan. Work begins in spring, the mayor said; it will take two years, and cost less than was feared. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "kept", "gone"),
+    [
+        (f"<article class='post tag-social'>{STORY}</article><footer>Imprint</footer>", WANT, "Imprint"),
+        (f"<article class='category-banner'>{STORY}</article><nav>Menu</nav>", WANT, "Menu"),
+        (f"<div id='wrapper' class='page sidebar-right'><article>{STORY}</article><div class='sidebar'>Popular now</div></div>", WANT, "Popular"),
+        (f"<form id='aspnetForm'><div id='nav'>Home</div><div class='content'>{STORY}</div></form>", WANT, "Home"),
+        (f"<form id='aspnetForm'><nav>Home</nav><div><p>{PROSE}</p><p>{PROSE}</p></div></form>", PROSE.strip(), "Home"),
+        (f"<div class='promo-page'><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div><nav>Home</nav>", PROSE.strip(), "Home"),
+        (f"<article>{STORY}</article><div id='comments'><article class='comment-body'><p>Great post, thank you.</p></article></div>", WANT, "Great"),
+        (f"<article>{STORY}</article><nav><div class='x' hidden><main>Not shown</main></div></nav>", WANT, "Not shown"),
+    ],
+)
+def test_one_class_word_or_a_form_does_not_decide_for_a_page(page, kept, gone):
+    text = op.main_text(page)
+    assert kept in text and gone not in text
+
+
 def test_pages_without_structure():
     assert op.main_text("Just a text, without any element. It stays.") == "Just a text, without any element. It stays."
     links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
