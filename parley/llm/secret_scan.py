@@ -2,10 +2,14 @@
 
 Base spans come from three fixed patterns. The method then looks at further
 long strings that stand in a sensitive context (a word such as *key* or
-*bearer* shortly before them) and asks how many bytes each one adds when it is
+*bearer* shortly before them, or before the long strings they adjoin, as in the
+lines of a key block) and asks how many bytes each one adds when it is
 compressed after its surroundings and a dictionary of common identifiers. A
 name, a path or a repeated constant is nearly free; a random credential costs
-close to the entropy of its alphabet, and is reported as kind ``novel``.
+close to the entropy of its alphabet, and is reported as kind ``novel``. Copies
+of the string in a sensitive context or in a base span are no surroundings;
+copies elsewhere are, as they show that the string is no secret. A string without
+digits that reads as words is a name; one without letters is no candidate.
 
 Work per row is linear in the text; nothing is shuffled.
 
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +38,14 @@ _HINT = re.compile(r"passw|secret|token|api_?key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_MIXED = re.compile(r"[A-Za-z][^0-9]*[0-9]|[0-9][^A-Za-z]*[A-Za-z]")
+_PLAIN = re.compile(r"[^A-Za-z]*")
+_DIGIT = re.compile(r"[0-9]")
+_APART = re.compile(r"[A-Za-z0-9]")
+_PIECE = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
+#: Letters that do not follow each other in words.
+_UNREAD = re.compile(r"[^aeiouy]{5}|[aeiouy]{5}|q[^u]|j[^aeiou]|[fghkmpvwz][xjq]|[bc]x|v[bcdfghjkmnpqstwxz]|^[^aeiouy]*$")
+#: The rest of a key block that is too short to be a long string.
+_LAST = re.compile(r"(?:\s|\\[nr])+([A-Za-z0-9+/=]{1,15}?)(?:\s|\\[nr])*-----END")
 _CONTEXT = re.compile(r"key|secret|token|passw|pwd|auth|bearer|credential|private|signature|session|cookie|access", re.I | re.A)
 IDENTIFIERS = (
     "const static public private return import from class def self this null None true false string integer "
@@ -54,9 +66,22 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
         self.around = surroundings
 
-    def share(self, text: str, start: int, stop: int) -> float:
+    def share(self, text: str, start: int, stop: int, apart: list[tuple[int, int]]) -> float:
+        """``apart``: disjoint spans in order; copies of the string inside them are left out of its surroundings."""
         found = text[start:stop]
-        near = (text[max(0, start - self.around) : start] + "\n" + text[stop : stop + self.around] + "\n").encode("utf-8", "replace")
+
+        def kept(lo: int, hi: int) -> str:
+            parts, at = [], lo
+            copy = text.find(found, max(0, lo - len(found)), hi + len(found))
+            while copy >= 0 and copy < hi:
+                end, k = copy + len(found), bisect_right(apart, (copy, len(text))) - 1
+                if k >= 0 and end <= apart[k][1]:
+                    parts.append(text[at : max(at, copy)])
+                    at = max(at, end)
+                copy = text.find(found, end, hi + len(found))
+            return "".join([*parts, text[at:hi]])
+
+        near = (kept(max(0, start - self.around), start) + "\n" + kept(stop, min(len(text), stop + self.around)) + "\n").encode("utf-8", "replace")
         extra = self.size(near + found.encode()) - self.size(near)
         alphabet = sum(n for n, p in ((10, r"[0-9]"), (26, r"[a-z]"), (26, r"[A-Z]")) if re.search(p, found))
         if re.fullmatch(r"[0-9a-fA-F]+", found):
@@ -75,18 +100,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def reads_as_words(found: str) -> bool:
+    """Whether nearly all letters belong to pieces that can be words."""
+    letters = sum(map(str.isalpha, found))
+    return sum(len(w) for w in _PIECE.findall(found) if not _UNREAD.search(w.lower())) >= 0.8 * letters
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, reach: int, share: float) -> list[tuple[int, int, int]]:
     """Incompressible strings in a sensitive context that no base span overlaps."""
-    out, k, covered = [], 0, 0
+    told, free, k, covered, before, linked = [], [], 0, 0, 0, False
     for m in _LONG.finditer(text):
         a, b = m.span()
         while k < len(base) and base[k][0] < b:
             covered = max(covered, base[k][2])
             k += 1
-        if covered > a or not _MIXED.search(m[0]) or not _CONTEXT.search(text, max(0, a - reach), a):
-            continue
-        if novelty.share(text, a, b) >= share:
+        linked = linked and not _APART.search(text, before, a) or _CONTEXT.search(text, max(0, a - reach), a) is not None
+        before = b
+        if linked:
+            told.append((a, b))
+            if covered <= a and not _PLAIN.fullmatch(m[0]) and (_DIGIT.search(m[0]) or not reads_as_words(m[0])):
+                free.append((a, b))
+    if not free:
+        return []
+    apart: list[tuple[int, int]] = []
+    for a, b in sorted(told + [(a, b) for a, _, b in base]):
+        if apart and a < apart[-1][1]:
+            apart[-1] = (apart[-1][0], max(b, apart[-1][1]))
+        else:
+            apart.append((a, b))
+    out = []
+    for a, b in free:
+        if novelty.share(text, a, b, apart) >= share:
             out.append((a, 3, b))
+            if last := _LAST.match(text, b):
+                out.append((last.start(1), 3, last.end(1)))
     return out
 
 

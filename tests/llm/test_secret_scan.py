@@ -39,6 +39,23 @@ def test_novelty_reports_random_strings_in_sensitive_context_only(spark):
     assert got[1] == got[2] == got[3] == got[4] == ""
 
 
+def test_key_blocks_copies_and_letters(spark):
+    draw = random.Random(5)
+    some = lambda n, of=string.ascii_letters + string.digits: "".join(draw.choice(of) for _ in range(n))
+    lines = [some(64) for _ in range(12)] + [some(11) + "="]
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----"
+    key, letters = some(40), some(32, string.ascii_letters)
+    texts = [pem, f"Authorization: Bearer {key}\n" * 3, f"Authorization: Bearer {letters}", f"secret: {key}, then Bearer {key}"]
+    texts += ["The key responsibilities of the access-control-administrator: internationalization", "session ================", "key 1234567890123456"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [f"{texts[r.doc_id][f.start : f.stop]}" for f in r.found] for r in op.find_secrets(docs).collect()}
+    assert got[0] == lines
+    assert got[1] == [key] * 3 and got[2] == [letters]
+    assert got[3] == [f"secret: {key}", key]
+    assert got[4] == got[5] == got[6] == []
+    assert not any(x in r.text for r in op.redact(docs).collect() for x in [*lines, key, letters])
+
+
 def test_redact_keeps_rows_and_columns(awkward):
     out = op.redact_counted(awkward)
     assert out.schema == awkward.schema
