@@ -288,8 +288,8 @@ def _block_groups(texts: DataFrame, sizes: DataFrame, block_rows: int, block_byt
     return small.unionByName(cut), [star]
 
 
-def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, estimate: float = ESTIMATE, bands: int = BANDS, rows: int = ROWS, block_rows: int = 512, block_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, class_id of every row; class_id is the least doc_id of the class."""
+def _classes(docs: DataFrame, *, similarity: float = SIMILARITY, estimate: float = ESTIMATE, bands: int = BANDS, rows: int = ROWS, block_rows: int = 512, block_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows; key, rep (least doc_id) and class of every text with words."""
     sketch = durable(sketches(docs, bands=bands, rows=rows))
     named = sketch.filter("key is not null and doc_id is not null")
     reps = durable(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
@@ -306,21 +306,45 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, estimate
         found = durable(reduce(DataFrame.union, [_links(compared, estimate, similarity), *links]))
         if not found.isEmpty():
             classes = components(found)
-    found = sketch.select("doc_id", "key")
     if classes is None:
-        by_class = reps.select("key", F.col("rep").alias("class_id"))
-    else:
-        whole = reps.select("key", "rep").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
-        by_class = whole.join(whole.groupBy("class").agg(F.min("rep").alias("class_id")), "class").select("key", "class_id")
+        return sketch, reps.select("key", "rep", F.col("key").alias("class"))
+    return sketch, reps.select("key", "rep").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id of every row; class_id is the least doc_id of the class."""
+    sketch, whole = _classes(docs, **options)
+    found = sketch.select("doc_id", "key")
+    by_class = whole.join(whole.groupBy("class").agg(F.min("rep").alias("class_id")), "class").select("key", "class_id")
     named = found.filter("key is not null and doc_id is not null").join(by_class, "key").select("doc_id", "class_id")
     alone = found.filter("key is null or doc_id is null").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).alias("class_id"))
     return named.unionByName(alone)
 
 
+def _with_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and the key of each text, empty without words."""
+    schema = docs.select("*", F.lit(b"").alias(name)).schema
+    given = docs.withColumn(name, F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = batch.column(batch.num_columns - 1).to_pylist(), []
+            for a, b in groups(texts):
+                h, first = word_hashes(texts[a:b])
+                keys += [_key(h[i:j]) if j > i else b"" for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], batch.schema.names)
+
+    return given.mapInArrow(run, schema)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of every class, that of the least id; rows with a null id all stay."""
-    classes = near_duplicates(docs, **options).filter("doc_id is not null")
-    # an id stays if one of its rows leads its class
-    lead = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of every class, of its text of least id (then least key), and of equal texts of that id the one of least hash; rows with a null id all stay."""
+    sketch, whole = _classes(docs, **options)
+    key, doc = (next(n for n in (f"{base}{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("_text_key", "_text_id"))
+    first = whole.groupBy("class").agg(F.min(F.struct("rep", "key")).alias("at")).select(F.col("at.rep").alias(doc), F.col("at.key").alias(key))
+    wordless = sketch.filter("key is null and doc_id is not null").select(F.col("doc_id").alias(doc), F.lit(b"").alias(key)).distinct()
+    named = _with_key(docs.filter("doc_id is not null"), key).withColumn(doc, F.col("doc_id").cast("long"))
+    rows = named.join(first.unionByName(wordless), [doc, key], "left_semi")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    one = rows.groupBy(doc, key).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row")).select("row.*")
+    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))

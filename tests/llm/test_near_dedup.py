@@ -98,3 +98,14 @@ def test_one_id_for_two_texts(spark):
     rows = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (2, "q r s t u v w x")]
     got = sorted((r.doc_id, r.class_id) for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_keep_one_of_each_text_of_an_id(spark):
+    """A text without copies stays though its id also stands for another one."""
+    rows = [(1, "a b c d e f g h", "x"), (1, "q r s t u v w x", "y"), (2, "q r s t u v w x", "z"), (1, "a b c d e f g h", "w"), (3, "", "v"), (3, None, "u")]
+    kept = set()
+    for parts in (1, 5):
+        got = op.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text or "") for r in got) == [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (3, "")]
+        kept.add(frozenset((r.doc_id, r.text, r.key) for r in got))
+    assert len(kept) == 1
