@@ -7,7 +7,7 @@ separate near copies. All hashes are 64 bit and depend on the word alone.
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -27,14 +27,18 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
 
 
 def shared_folder(df_or_spark) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse (tests).
+
+    A path without a scheme belongs to the default file system of the session's
+    Hadoop configuration, as for Spark's own readers and writers.
+    """
     spark = df_or_spark.sparkSession if isinstance(df_or_spark, DataFrame) else df_or_spark
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if "://" not in found and not found.startswith("file:"):
-        found = "file://" + os.path.abspath(found)
-    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+    place = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(place).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("up", ())) < n:
         size = 1 << max(20, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -100,7 +104,7 @@ def word_hashes(texts: list[str | None], stems: tuple[int, ...] = ()) -> tuple[n
     inside[1:] = _WORD[raw]
     turn = np.diff(inside)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     inverse, size = down[start], end - start

@@ -1,35 +1,38 @@
 """Operator 3: language-model scores from a probabilistic suffix tree.
 
-Texts are lower-cased (A-Z) and cut at white space; the model reads a text as
-the bytes of its tokens, joined by one space and closed by an end symbol. The
-62 most frequent other bytes of the training texts have symbols of their own, all others share
-an escape symbol followed by the byte.
-
-The tree's contexts are the up to ``depth`` preceding symbols, word boundaries
-included. A context is kept if its next symbols diverge from those of its
-suffix (one symbol shorter): count times Kullback-Leibler divergence must
-reach ``least_gain`` nats plus a half log of the count for each next symbol
-seen. Kept contexts bring their suffixes along. Next-symbol distributions are
-smoothed towards the suffix's (Witten-Bell), the root's towards uniform. A
-symbol is scored in the state of the longest kept suffix of what precedes it.
-
-The word table (base score) and the n-gram table are counted over all training
-texts by Spark. All contexts that passed the test score. The tree sent to the tasks holds at most
-``states`` of them, the most divergent, and their suffixes (the head); what the others change is joined
-by context, at the places where a state of the head has a longer kept context outside the head.
-The word table is joined likewise; only its ``head_words`` most frequent words are sent to the tasks.
+Texts are lower-cased (A-Z) and cut at white space. The tree's symbols are
+the words of the training texts (the ``alphabet`` most frequent ones), the end
+of a text, and one symbol for every other word, which is then spelled byte by
+byte by a small tree over bytes, learned from the rare words. A context is the
+one or two symbols before a symbol.
+
+* A next symbol seen c >= 2 times in a context of n symbols has probability
+  (c - discount) / n plus the context's open mass times its probability in the
+  suffix (the context one symbol shorter); a symbol seen once gives its whole
+  count to the open mass, so it need not be stored. The root is Witten-Bell
+  smoothed: its open mass goes to words outside the alphabet.
+* A context is kept if it diverges from its suffix: the log-likelihood gained
+  on its own next symbols, less ``entry_cost`` nats for each stored one, must
+  reach ``least_gain``. Only contexts whose suffix is kept are looked at.
+* A symbol is scored in the longest kept context before it.
+
+In that form the score is a sum: the root's logarithms, and what each kept
+context on the way to the longest one, and each stored symbol of it, adds. So
+the tree is a table (key, value). The ``head_keys`` most used keys are sent to
+the tasks; the others are joined, for the places where a bitmap of bounded
+size says that such a key may exist. Every kept context and every stored symbol counts,
+whichever way it is looked up. Word counts outside the alphabet are joined in
+the same pass for the base score. Words are told apart by a 64-bit hash.
 
 Defined cases: a null text counts as empty, which is one token, the end; a null
 id is no held-out one; equal rows get equal scores, one row each; with no training text the
-base score is 0 and the tree is uniform; other columns are ignored.
+base score is 0 and words are spelled by uniform bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +40,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import columns, durable
-
-DEPTH, STATES, HEAD_WORDS, LEAST_GAIN = 5, 50_000, 500_000, 10.0
-SYMBOLS, BITS = 64, 6
-END, SPACE, ESCAPE = 0, 1, SYMBOLS - 1
-_CHUNK = 1 << 20
+from parley.llm.common import columns, durable, mix, powers
+
+BITS = 20
+ALPHABET, HEAD_KEYS, DISCOUNT, ENTRY_COST, LEAST_GAIN = (1 << BITS) - 2, 1 << 21, 0.75, 6.0, 10.0
+END, OTHER, FIRST = 0, 1, 2  # ids of the end (and begin) of a text, of words outside the alphabet, of the first word
+ONE_NEXT, TWO, TWO_NEXT = (np.int64(k) << np.int64(60) for k in (1, 2, 3))  # kinds of keys: a context of 1 or 2 symbols, with a next symbol or without
+BITMAP_BITS = 26
+_CHUNK = 1 << 21
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Words found so often at most teach the spelling of words outside the alphabet.
+RARE = 8
+#: Symbols of the spelling: END closes a word, ESCAPE stands before a rare byte.
+SYMBOLS, SYMBOL_BITS, SPELL_DEPTH, SPELL_GAIN = 64, 6, 3, 10.0
+ESCAPE = SYMBOLS - 1
 
 
 def held_out() -> Column:
@@ -50,157 +64,156 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def _chunks(texts: list[str | None]) -> Iterator[list[list[bytes]]]:
-    own: list[list[bytes]] = []
-    size = 0
-    for text in texts:
-        own.append(tokens(text))
-        size += len(text or "")
-        if size >= _CHUNK:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
-
-
-def _stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each after ``depth`` end bytes and closed by one, and the place where each text begins."""
-    parts = [b"\n" * depth + b" ".join(t) + b"\n" for t in texts]
-    at = np.zeros(len(parts) + 1, dtype=np.int64)
-    np.cumsum([len(p) for p in parts], out=at[1:])
-    return np.frombuffer(b"".join(parts), dtype=np.uint8), at
-
-
-def _scored(at: np.ndarray, depth: int, n: int) -> np.ndarray:
-    """Places of the symbols that are predicted: all but the end bytes before a text."""
-    there = np.ones(n, dtype=bool)
-    there[(at[:-1, None] + np.arange(depth)).ravel()] = False
-    return np.flatnonzero(there)
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """kind (0 token, 1 byte, 2 end), key and n of the given texts."""
+@dataclass
+class Chunk:
+    """Words of some texts: their hashes, the bytes they stand in, and for each text (plus one) its first word."""
+
+    raw: np.ndarray  # lower-cased bytes
+    start: np.ndarray
+    stop: np.ndarray
+    hash: np.ndarray
+    first: np.ndarray
+    begin: np.ndarray  # first byte of each text
+
+    @property
+    def text(self) -> np.ndarray:
+        """Text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def symbols(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all words and ends in order: the symbol, the one before, the one before that (0 beyond the begin), and the place of each word."""
+        place = np.arange(len(ids)) + self.text
+        symbol = np.zeros(len(ids) + len(self.first) - 1, dtype=np.int64)
+        symbol[place] = ids
+        one, two = np.zeros_like(symbol), np.zeros_like(symbol)
+        one[1:], two[2:] = symbol[:-1], symbol[:-2]
+        two[one == END] = END
+        return symbol, one, two, place
+
+
+def chunks(texts: pa.Array) -> Iterator[Chunk]:
+    """Words of a column without nulls, for about two million bytes at a time; a longer text stands alone."""
+    texts = texts.cast(pa.large_binary())
+    offset = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offset, offset[lo] + _CHUNK, side="right")) - 1)
+        at = offset[lo : hi + 1] - offset[lo]
+        raw = _LOWER[whole[offset[lo] : offset[hi]]]
+        inside = np.zeros(len(raw) + 2, dtype=bool)
+        inside[1:-1] = ~_SPACE[raw]
+        edge = np.zeros(len(raw) + 1, dtype=bool)
+        edge[at] = True
+        start = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
+        stop = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
+        up, down = powers(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        hashed = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+        yield Chunk(raw, start, stop, hashed, np.searchsorted(start, at), at)
+        lo = hi
+
+
+class Lookup:
+    """Places of 64-bit keys in a sorted array, by their leading bits and a few steps."""
+
+    def __init__(self, keys: np.ndarray, spread: bool = False) -> None:
+        """``spread``: keys are no hashes, so their order is that of a mixed form."""
+        self.spread, mixed = spread, mix(keys.view(np.uint64)) if spread else keys.view(np.uint64)
+        self.order = np.argsort(mixed)
+        self.keys = np.r_[mixed[self.order], np.uint64((1 << 64) - 1)]
+        bits = max(1, int(len(keys)).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(mixed[self.order] >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in the sorted array, -1 if it is not there."""
+        keys = mix(keys.view(np.uint64)) if self.spread else keys.view(np.uint64)
+        at = self.begin[keys >> self.shift]
+        todo = np.flatnonzero(self.keys[at] < keys)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < keys[todo]]
+        return np.where((self.keys[at] == keys) & (at < len(self.keys) - 1), at, -1)
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return mix(keys.view(np.uint64) + np.uint64(7)) >> np.uint64(64 - BITMAP_BITS)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of all values of the one long column; false positives are possible, nothing is missed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        bytes_, ends = np.zeros(256, dtype=np.int64), 0
+        for batch in batches:
+            bit = np.unique(_bit(batch.column(0).to_numpy()))
+            word = (bit >> np.uint64(6)).astype(np.int64)
+            at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]][: len(word)])
+            if len(at):
+                mask = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), at)
+                yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    words = keys.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**20 rows at most
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
 
-        def out(kind: int, keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["kind", "key", "n"])
 
-        for batch in batches:
-            for part in _chunks(batch.column(0).to_pylist()):
-                for text in part:
-                    words.update(text)
-                bytes_ += np.bincount(_stream(part, 0)[0], minlength=256)
-                ends += len(part)
-                if len(words) > 300_000:
-                    yield out(0, list(words.keys()), list(words.values()))
-                    words.clear()
-        if words:
-            yield out(0, list(words.keys()), list(words.values()))
-        if ends:
-            used = np.flatnonzero(bytes_).tolist()
-            yield out(1, [bytes([b]) for b in used], bytes_[used].tolist())
-            yield out(2, [b""], [ends])
-
-    return docs.select("text").mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def symbol_table(histogram: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each byte, and log10 probability of each byte after an escape."""
-    table = np.full(256, ESCAPE, dtype=np.uint8)
-    table[10], table[32] = END, SPACE
-    own = sorted((b for b in histogram if b not in (10, 32)), key=lambda b: (-histogram[b], b))
-    for symbol, byte in enumerate(own[: SYMBOLS - 3], start=2):
-        table[byte] = symbol
-    rare = {b: histogram[b] for b in own[SYMBOLS - 3 :]}
-    escaped = np.log10((np.array([rare.get(b, 0) for b in range(256)]) + 1) / (sum(rare.values()) + 256))
-    return table, np.where(table == ESCAPE, escaped, 0.0)
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = _bit(keys)
+    return bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) > 0
 
 
-def _merged(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, sorted, with summed counts."""
+def _merged(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with summed counts."""
     if counts is None:
-        codes = np.sort(codes)
-        at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        return codes[at], np.diff(np.r_[at, len(codes)])
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-    return codes[at], np.add.reduceat(counts, at)
+        keys = np.sort(keys)
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        return keys[at], np.diff(np.r_[at, len(keys)])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def count_ngrams(docs: DataFrame, table: np.ndarray, depth: int) -> DataFrame:
-    """code (depth + 1 symbols, the last is the next one) and n of the given texts."""
+def _counted(texts: DataFrame, keys: Callable[[Chunk], dict[int, np.ndarray]]) -> DataFrame:
+    """kind, key and n: how often each key that ``keys`` finds occurs. Tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for part in _chunks(batch.column(0).to_pylist()):
-                raw, at = _stream(part, depth)
-                symbol, place = table[raw].astype(np.int64), _scored(at, depth, len(raw))
-                code = symbol.copy()
-                for back in range(1, depth + 1):
-                    code[back:] |= symbol[:-back] << (BITS * back)
-                kept.append(_merged(code[place]))
-                size += len(kept[-1][0])
-                if size > 1_500_000:
-                    kept = [_merged(*map(np.concatenate, zip(*kept, strict=True)))]
-                    size = 2 * len(kept[0][0])
-        if kept:
-            codes, counts = _merged(*map(np.concatenate, zip(*kept, strict=True)))
-            for lo in range(0, len(codes), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[lo : lo + 200_000]), pa.array(counts[lo : lo + 200_000])], ["code", "n"])
-
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _dense(lists: pa.Array) -> np.ndarray:
-    """A row of next-symbol counts for each list of structs (next, n)."""
-    out = np.zeros((len(lists), SYMBOLS))
-    flat = lists.flatten()
-    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    out[row, flat.field("next").to_numpy()] = flat.field("n").to_numpy()
-    return out
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                own, n = _merged(*map(np.concatenate, zip(*parts, strict=True)))
+                for lo in range(0, len(own), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[lo : lo + 100_000]), kind, dtype=np.int32)), pa.array(own[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], ["kind", "key", "n"])
+            held.clear()
 
-def _last(context: Column, d: Column, depth: int) -> Column:
-    """The last d symbols of a context."""
-    return context.bitwiseAND(F.get(F.array(*[F.lit((1 << (BITS * k)) - 1).cast("long") for k in range(depth + 1)]), d))
+        size = 0
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                for kind, own in keys(chunk).items():
+                    if len(own):
+                        held.setdefault(kind, []).append(_merged(own))
+                        size += len(held[kind][-1][0])
+                if size > 3_000_000:
+                    held = {kind: [_merged(*map(np.concatenate, zip(*parts, strict=True)))] for kind, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > 2_000_000:
+                        yield from out()
+                        size = 0
+        yield from out()
 
+    return texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
-def divergent(ngrams: DataFrame, depth: int, least_gain: float) -> tuple[DataFrame, DataFrame]:
-    """All contexts (d, context, seen: next symbols with counts), and the gain of those that pass the test."""
-    parts = [ngrams.select(F.lit(d).alias("d"), F.shiftright("code", BITS).bitwiseAND(F.lit((1 << (BITS * d)) - 1)).alias("context"), F.col("code").bitwiseAND(F.lit(SYMBOLS - 1)).alias("next"), "n") for d in range(depth + 1)]
-    counts = parts[0]
-    for part in parts[1:]:
-        counts = counts.unionByName(part)
-    counts = counts.groupBy("d", "context", "next").agg(F.sum("n").alias("n"))
-    nodes = durable(counts.groupBy("d", "context").agg(F.collect_list(F.struct("next", "n")).alias("seen")))
-    child = nodes.filter("d > 0").withColumn("up", F.col("d") - 1).withColumn("suffix", _last(F.col("context"), F.col("up"), depth))
-    pairs = child.join(nodes.select(F.col("d").alias("up"), F.col("context").alias("suffix"), F.col("seen").alias("seen_up")), ["up", "suffix"]).select("d", "context", "seen", "seen_up")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own, up = _dense(batch.column(2)), _dense(batch.column(3))
-                n = own.sum(axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ratio = np.where(own > 0, np.log(own / n[:, None]) - np.log(up / up.sum(axis=1)[:, None]), 0.0)
-                gain = (own * ratio).sum(axis=1) - 0.5 * np.log(n) * (own > 0).sum(axis=1)
-                keep = pa.array(gain >= least_gain)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain)], ["d", "context", "gain"]).filter(keep)
+def count_words(texts: DataFrame) -> DataFrame:
+    """kind 0: words by hash; kind 1: bytes; kind 2: texts."""
+    return _counted(texts, lambda c: {0: c.hash.view(np.int64), 1: c.raw[~_SPACE[c.raw]].astype(np.int64), 2: np.zeros(len(c.first) - 1, dtype=np.int64)})
 
-    return nodes, pairs.mapInArrow(run, "d int, context long, gain double")
 
-
-def _cutoff(values: DataFrame, column: str, most: int) -> float:
+def cutoff(values: DataFrame, column: str, most: int) -> float:
     """Least value such that at most ``most`` rows reach it, found on a grid of eighth powers of two."""
     steps = values.select(F.floor(F.log2(column) * 8).cast("int").alias("step")).groupBy("step").count().orderBy(F.col("step").desc()).collect()
     left, cut = most, math.inf
@@ -213,241 +226,266 @@ def _cutoff(values: DataFrame, column: str, most: int) -> float:
 
 
 @dataclass
-class SuffixTree:
-    """States of all kept contexts; state 0 is the root."""
+class Alphabet:
+    """Words with a symbol of their own."""
 
-    depth: int
-    table: np.ndarray  # symbol of each byte
+    words: Lookup
+    counts: np.ndarray  # of the ids
+    log: np.ndarray  # log10 probability of each id at the root
+    table: np.ndarray  # spelling symbol of each byte
     escaped: np.ndarray  # log10 probability of a byte after an escape
-    log: np.ndarray  # state x next symbol, log10
-    short: np.ndarray  # three preceding symbols -> state of their longest kept suffix
-    longer: np.ndarray  # state x one older symbol -> state of the context longer by it, 0 if it is not kept
-    size: np.ndarray  # symbols of each state's context
-    held: list[tuple[np.ndarray, np.ndarray]]  # for each length, contexts in order and their states
-    more: np.ndarray | None = None  # state x one older symbol -> whether the context longer by it is kept outside this tree
-
-    def find(self, d: int, contexts: np.ndarray) -> np.ndarray:
-        """State of each context of d symbols, 0 if it is not in this tree (or empty)."""
-        held, states = self.held[d]
-        if not len(held):
-            return np.zeros(len(contexts), dtype=np.int32)
-        near = np.minimum(np.searchsorted(held, contexts), len(held) - 1)
-        return np.where(held[near] == contexts, states[near], 0).astype(np.int32)
-
-    def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        return self.read(texts)[0]
-
-    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-        """log10 probability of each text in this tree, and the lookups outside it: text, key of context, next symbol, count."""
-        raw, at = _stream(texts, self.depth)
-        symbol, place = self.table[raw].astype(np.int32), _scored(at, self.depth, len(raw))
-        code = symbol[:-1].copy()
-        code[1:] |= symbol[:-2] << BITS
-        code[2:] |= symbol[:-3] << (2 * BITS)
-        state = self.short[code[place - 1]]
-        # a state of fewer than three symbols has no kept context that is longer by the fourth
-        todo = np.arange(len(place))
-        for d in range(4, self.depth + 1):
-            grown = self.longer[state[todo], symbol[place[todo] - d]]
-            hit = np.flatnonzero(grown)
-            todo = todo[hit]
-            state[todo] = grown[hit]
-        each = self.log[state, symbol[place]]
-        if (symbol == ESCAPE).any():
-            each = each + self.escaped[raw[place]]
-        first = at[:-1] - self.depth * np.arange(len(at) - 1)
-        total = np.add.reduceat(each.astype(np.float64), first)
-        if self.more is None:
-            return total, ()
-        size = self.size[state]
-        # a context of full depth has no longer one; its entry in ``more`` is never set
-        open_ = np.flatnonzero(self.more[state, symbol[place - np.minimum(size + 1, self.depth)]])
-        place, size = place[open_], size[open_]
-        text, keys, following = np.searchsorted(at, place, side="right") - 1, [], []
-        context = np.zeros(len(place), dtype=np.int64)
-        owners = []
-        for d in range(1, self.depth + 1):
-            context |= symbol[place - d].astype(np.int64) << (BITS * (d - 1))
-            use = np.flatnonzero(size < d)
-            owners.append(text[use])
-            keys.append(context[use] | 1 << (BITS * d))
-            following.append(symbol[place[use]])
-        text, key, after = map(np.concatenate, (owners, keys, following))
-        order = np.lexsort((after, key, text))
-        text, key, after = text[order], key[order], after[order]
-        new = np.ones(len(text), dtype=bool)
-        new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (after[1:] != after[:-1])
-        begin = np.flatnonzero(new)
-        return total, (text[begin], key[begin], after[begin], np.diff(np.r_[begin, len(text)]))
-
-
-def build_tree(rows: list[tuple[int, int, np.ndarray]], depth: int, table: np.ndarray, escaped: np.ndarray) -> SuffixTree:
-    """Tree from (d, context, next-symbol counts) of kept contexts, their suffixes included."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    known, p = {(0, 0): 0}, np.full((len(rows) + 1, SYMBOLS), 1 / SYMBOLS)
-    size = np.zeros(len(rows) + 1, dtype=np.int8)
-    longer = np.zeros((len(rows) + 1, SYMBOLS), dtype=np.int32)
-    for d, context, counts in rows:
-        n, kinds = counts.sum(), (counts > 0).sum()
-        if d == 0:
-            p[0] = (counts + 1) / (n + SYMBOLS)
-            continue
-        up = known[d - 1, context & ((1 << (BITS * (d - 1))) - 1)]
-        state = known[d, context] = len(known)
-        p[state], size[state] = (counts + kinds * p[up]) / (n + kinds), d
-        if d > 3:
-            longer[up, context >> (BITS * (d - 1))] = state
-    held = []
-    for d in range(depth + 1):
-        own = sorted((c, state) for (k, c), state in known.items() if k == d)
-        held.append((np.array([c for c, _ in own], dtype=np.int64), np.array([x for _, x in own], dtype=np.int32)))
-    short = np.zeros(1 << (3 * BITS), dtype=np.int32)
-    for d, (contexts, states) in enumerate(held[1:4], start=1):
-        every = np.arange(len(short)) & ((1 << (BITS * d)) - 1)
-        if len(contexts):
-            near = np.minimum(np.searchsorted(contexts, every), len(contexts) - 1)
-            short = np.where(contexts[near] == every, states[near], short).astype(np.int32)
-    return SuffixTree(depth, table, escaped, np.log10(p[: len(known)]).astype(np.float32), short, longer[: len(known)], size[: len(known)], held)
-
-
-def _keys(contexts: np.ndarray) -> pa.Array:
-    """Join key of each context (its length marked by a leading 1): a line break, which begins no word, and 7 bytes."""
-    raw = (contexts | 10 << 56).astype(">i8").tobytes()
-    return pa.Array.from_buffers(pa.binary(8), len(contexts), [None, pa.py_buffer(raw)]).cast(pa.binary())
-
-
-def _changes(tail: DataFrame, tree: SuffixTree) -> DataFrame:
-    """k (key of context) and change: what each context of ``tail`` (d, context, seen) adds to its suffix's log10 probability of each next symbol."""
-    sent, done, before = tail.sparkSession.sparkContext.broadcast(tree), [], None
-    for d in range(1, tree.depth + 1):
-        own = tail.filter(F.col("d") == d).withColumn("suffix", _last(F.col("context"), F.lit(d - 1), tree.depth))
-        if before is None:
-            own = own.withColumn("up", F.lit(None).cast("array<double>"))
-        else:
-            own = own.join(before.select(F.col("context").alias("suffix"), F.col("p").alias("up")), "suffix", "left")
-
-        def run(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
-            head = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                context, counts = batch.column(0).to_numpy(), _dense(batch.column(1))
-                suffix, given = batch.column(2).to_numpy(), batch.column(3)
-                up = 10.0 ** head.log[head.find(d - 1, suffix)].astype(np.float64)  # the suffix itself, unless it is outside the head
-                there = given.is_valid().to_numpy(zero_copy_only=False)
-                if there.any():
-                    up[there] = given.drop_null().flatten().to_numpy().reshape(-1, SYMBOLS)
-                n, kinds = counts.sum(axis=1)[:, None], (counts > 0).sum(axis=1)[:, None]
-                p = (counts + kinds * up) / (n + kinds)
-                edge = np.arange(0, p.size + 1, SYMBOLS, dtype=np.int32)
-                lists = [pa.ListArray.from_arrays(edge, v.ravel()) for v in (p, np.log10(p / up))]
-                # the state of the head that this context grows from, if its suffix is in the head
-                state = pa.array(head.find(d - 1, suffix), pa.int32(), mask=there)
-                older = pa.array((context >> (BITS * (d - 1))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), _keys(context | 1 << (BITS * d)), *lists, state, older], ["context", "k", "p", "change", "state", "older"])
-
-        before = durable(own.select("context", "seen", "suffix", "up").mapInArrow(run, "context long, k binary, p array<double>, change array<double>, state int, older int"))
-        done.append(before.select("k", "change", "state", "older"))
-    out = done[0]
-    for one in done[1:]:
-        out = out.union(one)
-    return out
+
+    def ids(self, chunk: Chunk) -> np.ndarray:
+        return np.where((at := self.words.find(chunk.hash)) >= 0, at + FIRST, OTHER)
+
+    def spelled(self, chunk: Chunk, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each byte of the words ``own`` and the END after each: the code of up to ``SPELL_DEPTH`` symbols before it and its own symbol, the byte (0 for END), and the word.
+
+        The symbols before may belong to the word before; white space and the begin of a text read as END.
+        """
+        size = chunk.stop[own] - chunk.start[own] + 1
+        word = np.repeat(own, size)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size - chunk.start[own], size)
+        last = at == chunk.stop[word]
+        symbols = np.zeros(SPELL_DEPTH + len(chunk.raw) + 1, dtype=np.int64)
+        symbols[SPELL_DEPTH:-1] = np.where(_SPACE[chunk.raw], END, self.table[chunk.raw])
+        raw = np.where(last, 0, np.r_[chunk.raw, np.uint8(0)][at])
+        code = np.where(last, END, symbols[SPELL_DEPTH + at])
+        first = chunk.begin[chunk.text[word]]
+        for back in range(1, SPELL_DEPTH + 1):
+            code |= np.where(at - back >= first, symbols[SPELL_DEPTH + at - back], END) << (SYMBOL_BITS * back)
+        return code, raw, word
+
+
+def make_alphabet(counted: DataFrame, most: int) -> Alphabet:
+    """From the counts of words, bytes and texts; at most ``most`` words, the most frequent ones."""
+    words = counted.filter("kind = 0")
+    got = words.filter(F.col("n") >= cutoff(words, "n", most)).select("key", "n").toArrow()
+    total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("ends")).first()
+    lookup = Lookup(got.column("key").to_numpy())
+    own = got.column("n").to_numpy()[lookup.order]
+    counts = np.r_[total.ends, max(0, total.n - total.ends - own.sum()), own].astype(np.float64)
+    mass = counts.copy()
+    mass[OTHER] += max(1, total.v)
+    mass[END] = max(mass[END], 1)
+    histogram = {r.key: r.n for r in counted.filter("kind = 1").collect()}  # at most 256 rows
+    by_count = sorted(histogram, key=lambda b: (-histogram[b], b))
+    table = np.full(256, ESCAPE, dtype=np.uint8)
+    for symbol, byte in enumerate(by_count[: SYMBOLS - 2], start=1):
+        table[byte] = symbol
+    rare = np.array([0 if table[b] != ESCAPE else histogram.get(b, 0) for b in range(256)])
+    return Alphabet(lookup, counts, np.log10(mass / mass.sum()), table, np.where(table == ESCAPE, np.log10((rare + 1) / (rare.sum() + 256)), 0.0))
+
+
+@dataclass
+class Spelling:
+    """State of each run of ``SPELL_DEPTH`` symbols (the longest kept suffix), and log10 probabilities by state."""
+
+    state: np.ndarray
+    log: np.ndarray
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        return self.log[self.state[codes >> SYMBOL_BITS], codes & (SYMBOLS - 1)]
+
+
+def make_spelling(codes: np.ndarray, counts: np.ndarray) -> Spelling:
+    """Tree over bytes: a context is kept if count times divergence from its suffix, less a half log of the count for each symbol seen, reaches ``SPELL_GAIN``."""
+    nothing = np.zeros(1 << (SYMBOL_BITS * SPELL_DEPTH), dtype=np.int32)
+    n = np.bincount(codes & (SYMBOLS - 1), counts, minlength=SYMBOLS)
+    logs, plain, state = [(n + 1) / (n.sum() + SYMBOLS)], [n / max(1, n.sum())], nothing
+    every = np.arange(len(nothing))
+    for d in range(1, SPELL_DEPTH + 1):
+        mask = (1 << (SYMBOL_BITS * d)) - 1
+        context, row = np.unique(codes >> SYMBOL_BITS & mask, return_inverse=True)
+        own = np.bincount(row * SYMBOLS + (codes & (SYMBOLS - 1)), counts, minlength=len(context) * SYMBOLS).reshape(-1, SYMBOLS)
+        up = state[context]  # so far, states are of contexts shorter than d
+        total, kinds = own.sum(axis=1, keepdims=True), (own > 0).sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(own > 0, own * np.log(own / total / np.array(plain)[up]), 0.0).sum(axis=1) - 0.5 * (np.log(total) * kinds)[:, 0]
+        kept = np.flatnonzero(gain >= SPELL_GAIN)
+        names = np.full(mask + 1, -1, dtype=np.int32)
+        names[context[kept]] = len(logs) + np.arange(len(kept))
+        logs += list((own[kept] + kinds[kept] * np.array(logs)[up[kept]]) / (total[kept] + kinds[kept]))
+        plain += list(own[kept] / total[kept])
+        state = np.where(names[every & mask] >= 0, names[every & mask], state)
+    return Spelling(state, np.log10(np.array(logs)).astype(np.float32))
+
+
+def _level(counted: DataFrame, with_suffix: Callable[[DataFrame], DataFrame], discount: float, entry_cost: float, least_gain: float) -> tuple[DataFrame, DataFrame]:
+    """Kept contexts (context, n, mass) and their stored symbols (context, next, c, p, up, mass).
+
+    ``counted``: context, next (null: all symbols seen once together) and c;
+    ``with_suffix`` adds the probability ``up`` of the symbol in the suffix, and drops rows whose suffix is not kept.
+    """
+    sizes = counted.groupBy("context").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("next").isNull(), F.col("c"))), F.lit(0)).alias("once"), F.count("next").alias("more")).filter("more > 0")
+    sizes = sizes.withColumn("mass", (F.col("once") + discount * F.col("more")) / F.col("n"))
+    stored = with_suffix(counted.filter("next is not null").join(sizes, "context").select("context", "next", "c", "n", "once", "mass"))
+    stored = durable(stored.withColumn("p", (F.col("c") - discount) / F.col("n") + F.col("mass") * F.col("up")))
+    gain = F.sum(F.col("c") * F.log(F.col("p") / F.col("up")) - entry_cost) + F.first(F.col("once") * F.log("mass"))
+    kept = durable(stored.groupBy("context").agg(gain.alias("gain"), F.first("n").alias("n"), F.first("mass").alias("mass")).filter(F.col("gain") >= least_gain).select("context", "n", "mass"))
+    return kept, durable(stored.join(kept.select("context"), "context", "left_semi").select("context", "next", "c", "p", "up", "mass"))
+
+
+def _together(counted: DataFrame) -> DataFrame:
+    """kind, context, next and c from kind, key and n: the symbols that a context has seen once become one row without a symbol; keys of kind 1 stay whole."""
+    symbols = F.col("kind") == 0
+    split = counted.select("kind", F.when(symbols, F.shiftright("key", BITS)).otherwise(F.col("key")).alias("context"), F.when(symbols & (F.col("n") > 1), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))).alias("next"), "n")
+    return durable(split.groupBy("kind", "context", "next").agg(F.sum("n").alias("c")))
+
+
+def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, entry_cost: float = ENTRY_COST, least_gain: float = LEAST_GAIN) -> tuple[Spelling, np.ndarray, DataFrame]:
+    """Spelling tree, log10 open mass of each kept context of one symbol (0: not kept), and key, value and uses of the rest of the tree."""
+    sc = texts.sparkSession.sparkContext
+    sent = sc.broadcast(alphabet)
+
+    def pairs(chunk: Chunk) -> dict[int, np.ndarray]:
+        ids = sent.value.ids(chunk)
+        symbol, one, _, _ = chunk.symbols(ids)
+        return {0: one << BITS | symbol, 1: sent.value.spelled(chunk, np.flatnonzero((ids == OTHER) | (sent.value.counts[ids] <= RARE)))[0]}
+
+    found = _together(_counted(texts, pairs))
+    spelled = found.filter("kind = 1").select("context", "c").toArrow()  # runs of four symbols of 64
+    spelling = make_spelling(spelled.column(0).to_numpy(), spelled.column(1).to_numpy())
+
+    def with_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(10.0 ** sent.value.log[batch.column(1).to_numpy()])], [*batch.schema.names, "up"])
+
+    kinds = "context long, next long, c long, n long, once long, mass double, up double"
+    one, one_next = _level(found.filter("kind = 0").select("context", "next", "c"), lambda rows: rows.mapInArrow(with_root, kinds), discount, entry_cost, least_gain)
+    masses = np.zeros(len(alphabet.log))
+    own = one.select("context", "mass").toArrow()  # at most one row for each symbol
+    masses[own.column("context").to_numpy()] = np.log10(own.column("mass").to_numpy())
+    # a context of two symbols needs two occurrences, and its suffix kept
+    pair = F.shiftleft("context", BITS).bitwiseOR(F.col("next"))
+    wanted = found.filter("kind = 0 and next is not null").join(one.select(F.col("context").alias("next")), "next", "left_semi")
+    grown = sc.broadcast((masses < 0, bitmap(wanted.select(pair.alias("pair")))))
+
+    def triples(chunk: Chunk) -> dict[int, np.ndarray]:
+        symbol, one, two, _ = chunk.symbols(sent.value.ids(chunk))
+        kept, bits = grown.value
+        at = np.flatnonzero(kept[one] & (one != END))
+        context = two[at] << BITS | one[at]
+        seen = may_hold(bits, context)
+        return {0: context[seen] << BITS | symbol[at][seen]}
+
+    last = F.col("context").bitwiseAND(F.lit((1 << BITS) - 1))
+    suffix = one_next.select(F.col("context").alias("suffix"), "next", F.col("p").alias("up"))
+    two, two_next = _level(_together(_counted(texts, triples)).select("context", "next", "c"), lambda rows: rows.withColumn("suffix", last).join(suffix, ["suffix", "next"]), discount, entry_cost, least_gain)
+    added = F.log10(F.col("p") / F.col("up")) - F.log10("mass")
+    table = one_next.select((pair + F.lit(int(ONE_NEXT))).alias("key"), added.alias("value"), F.col("c").alias("uses"))
+    table = table.unionByName(two.select((F.col("context") + F.lit(int(TWO))).alias("key"), F.log10("mass").alias("value"), F.col("n").alias("uses")))
+    return spelling, masses, durable(table.unionByName(two_next.select((pair + F.lit(int(TWO_NEXT))).alias("key"), added.alias("value"), F.col("c").alias("uses"))))
 
 
-def _mark(tree: SuffixTree, changes: DataFrame) -> SuffixTree:
-    """``tree`` with ``more`` for the contexts of ``changes``: one mask for each state of the head that has any."""
-    edges = changes.filter("state is not null").groupBy("state").agg(F.bit_or(F.expr("shiftleft(1L, older)")).alias("mask")).toArrow()
-    tree.more = np.zeros(tree.longer.shape, dtype=bool)
-    if edges.num_rows:
-        mask = edges.column("mask").to_numpy().view(np.uint64)
-        tree.more[edges.column("state").to_numpy()] = (mask[:, None] >> np.arange(SYMBOLS, dtype=np.uint64)) & np.uint64(1) > 0
-    return tree
-
-
-def train_tree(docs: DataFrame, histogram: dict[int, int], *, depth: int = DEPTH, states: int = STATES, least_gain: float = LEAST_GAIN) -> tuple[SuffixTree, DataFrame | None]:
-    """Tree of the head, and what the kept contexts outside it change (none if the head is all)."""
-    table, escaped = symbol_table(histogram)
-    nodes, passed = divergent(count_ngrams(docs, table, depth), depth, least_gain)
-    passed = durable(passed)
-    cut = _cutoff(passed, "gain", states)
-    root = nodes.filter("d = 0").select("d", "context")
-
-    def closed(chosen: DataFrame) -> DataFrame:
-        own = chosen.select(F.explode(F.sequence(F.lit(0), "d")).alias("k"), "context")
-        return own.select(F.col("k").alias("d"), _last(F.col("context"), F.col("k"), depth).alias("context")).union(root).distinct()
-
-    head = closed(passed.filter(F.col("gain") >= cut))
-    got = nodes.join(head, ["d", "context"]).toArrow().combine_chunks()
-    rows = []
-    for batch in got.to_batches():
-        dense = _dense(batch.column(batch.schema.get_field_index("seen")))
-        rows += zip(batch.column("d").to_pylist(), batch.column("context").to_pylist(), dense, strict=True)
-    tree, rest = build_tree(rows, depth, table, escaped), passed.filter(F.col("gain") < cut)
-    if rest.isEmpty():
-        return tree, None
-    tail = durable(nodes.join(closed(rest).join(head, ["d", "context"], "left_anti"), ["d", "context"]))
-    changes = _changes(tail, tree)
-    return _mark(tree, changes), changes.select("k", "change")
-
-
-def score(docs: DataFrame, *, depth: int = DEPTH, states: int = STATES, least_gain: float = LEAST_GAIN, head_words: int = HEAD_WORDS) -> DataFrame:
+@dataclass
+class Tree:
+    """What a task needs to score texts: the root, the head of the tree, and where the rest may matter."""
+
+    alphabet: Alphabet
+    spelling: Spelling
+    masses: np.ndarray
+    head: Lookup
+    values: np.ndarray
+    rest: np.ndarray | None  # bitmap of the keys outside the head
+
+    def read(self, chunk: Chunk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text by what is here, and the lookups outside: text and key."""
+        symbol, one, two, place = chunk.symbols(ids)
+        text = np.repeat(np.arange(len(chunk.first) - 1), np.diff(chunk.first) + 1)
+        score = self.alphabet.log[symbol] + self.masses[one]
+        codes, raw, word = self.alphabet.spelled(chunk, np.flatnonzero(ids == OTHER))
+        each = self.spelling.scores(codes) + self.alphabet.escaped[raw] * (codes & (SYMBOLS - 1) == ESCAPE)
+        np.add.at(score, place[word], each)
+        at = np.flatnonzero(self.masses[one] < 0)
+        outside = []
+
+        def look(where: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            """Add the values of the keys to the places; True where a key is, or may be."""
+            found = self.head.find(keys)
+            hit = found >= 0
+            score[where[hit]] += self.values[found[hit]]
+            if self.rest is not None:
+                open_ = np.flatnonzero(~hit)
+                open_ = open_[may_hold(self.rest, keys[open_])]
+                outside.append((text[where[open_]], keys[open_]))
+                hit[open_] = True
+            return hit
+
+        look(at, one[at] << BITS | symbol[at] | ONE_NEXT)
+        context = two[at] << BITS | one[at]
+        hit = look(at[one[at] != END], context[one[at] != END] | TWO)
+        at, context = at[one[at] != END][hit], context[one[at] != END][hit]
+        look(at, context << BITS | symbol[at] | TWO_NEXT)
+        owner, key = (np.concatenate(x) for x in zip(*outside, strict=True)) if outside else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        return np.bincount(text, score, minlength=len(chunk.first) - 1), owner, key
+
+
+def score(docs: DataFrame, *, alphabet: int = ALPHABET, head_keys: int = HEAD_KEYS, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    docs = columns(docs, doc_id="long", text="string")
-    training = docs.filter(~held_out())
+    docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    training = docs.filter(~held_out()).select("text")
     counted = durable(count_words(training))
-    histogram = {r.key[0]: r.n for r in counted.filter("kind = 1").collect()}  # at most 256 rows
-    total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("ends")).first()
-    tree, changes = train_tree(training, histogram, depth=depth, states=states, least_gain=least_gain)
-    words, below = counted.filter("kind = 0").select("key", "n"), math.log10(total.n + total.v + 1)
-    head = words.filter(F.col("n") >= _cutoff(words, "n", head_words)).toArrow()
-    log = np.log10(head.column("n").to_numpy() + 1) - below
-    sent = docs.sparkSession.sparkContext.broadcast((tree, head.column("key").to_pylist(), log, math.log10(total.ends + 1) - below))
-    schema = "rid binary, k binary, n long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, next int"
-    ends_known = int(total.ends > 0)
+    total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("words"), F.coalesce(F.max(F.col("kind") == 2), F.lit(False)).alias("any")).first()
+    own = make_alphabet(counted, alphabet)
+    spelling, masses, table = train(training, own, **options)
+    cut = cutoff(table, "uses", head_keys)
+    head, rest = table.filter(F.col("uses") >= cut).select("key", "value").toArrow(), table.filter(F.col("uses") < cut)
+    lookup = Lookup(head.column("key").to_numpy(), spread=True)
+    tree = Tree(own, spelling, masses, lookup, head.column("value").to_numpy()[lookup.order], None if rest.isEmpty() else bitmap(rest.select("key")))
+    del head
+    below = math.log10(total.n + total.words + 1)  # the end is one of the distinct tokens
+    sent = docs.sparkSession.sparkContext.broadcast((tree, np.log10(own.counts + 1) - below))
+    ends_known = int(total.any)
+    schema = "doc_id long, t long, word boolean, key long, n long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, keys, logs, end = sent.value
-        known = dict(zip(keys, logs.tolist(), strict=True))
+        model, logs = sent.value
+        names = schema.replace(",", "").split()[::2]
         for batch in batches:
-            ids, held, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
-            for part in _chunks(batch.column(1).to_pylist()):
-                rows: list[tuple] = []
-                scores, outside = own.read(part)
-                rids = []
-                for text, value in zip(part, scores.tolist(), strict=True):
-                    doc = ids[at]
-                    rid = hashlib.blake2b(b"%s %s" % (str(doc).encode(), b" ".join(text)), digest_size=16).digest()
-                    rids.append(rid)
-                    each = list(map(known.get, text))
-                    missing = each.count(None)
-                    rest = Counter([w for w, x in zip(text, each, strict=True) if x is None]) if missing else {}
-                    base = math.fsum(filter(None, each))
-                    rows.append((rid, b" " + rid, None, doc, held[at], len(text) + 1, len(text) - missing + ends_known, base + end, value, None))
-                    rows += [(rid, w, n, None, None, None, None, None, None, None) for w, n in rest.items()]
-                    at += 1
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
-                names = schema.replace(",", "").split()[::2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                if outside and len(outside[0]):
-                    owner, key, after, n = outside
-                    cols = {"rid": pa.array(rids, pa.binary()).take(pa.array(owner)), "k": _keys(key), "n": pa.array(n, pa.int64()), "next": pa.array(after, pa.int32())}
-                    yield pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(len(n), k) for c, k in zip(names, kinds, strict=True)], names)
-
-    parts = docs.withColumn("held", held_out()).mapInArrow(run, schema)
-    # a row for each text, one for each of its words outside the head, and one for each longer context
-    # that may be kept outside the head tree, with its next symbol; equal rows share their rid
-    table = words.select(F.col("key").alias("k"), F.col("n").alias("c"), F.lit(None).cast("array<double>").alias("change"))
-    if changes is not None:
-        table = table.union(changes.select("k", F.lit(None).cast("long"), "change"))
-    looked_up = parts.join(table, "k", "left").withColumn("change", F.col("n") * F.get("change", F.col("next")))
-    rest = F.when(F.col("n").isNotNull() & F.col("next").isNull(), F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - below))
-    found = looked_up.groupBy("rid").agg(
+            lo = 0
+            for chunk in chunks(batch.column(1)):
+                m = len(chunk.first) - 1
+                ids, text = model.alphabet.ids(chunk), chunk.text
+                value, owner, key = model.read(chunk, ids)
+                known = ids != OTHER
+                base = np.bincount(text[known], logs[ids[known]], minlength=m) + logs[END]
+                size = np.diff(chunk.first)
+                mixed = mix(chunk.hash + np.arange(len(ids), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) - (chunk.first[text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                running = np.r_[np.uint64(0), np.cumsum(mixed, dtype=np.uint64)]
+                t = (running[chunk.first[1:]] - running[chunk.first[:-1]]).view(np.int64)
+                doc, held = batch.column(0).slice(lo, m), batch.column(2).slice(lo, m)
+                lo += m
+                none = lambda n, kind: pa.nulls(n, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [doc, pa.array(t), none(m, pa.bool_()), pa.array(t), none(m, pa.int64()), held, pa.array(size + 1), pa.array(np.bincount(text[known], minlength=m) + ends_known), pa.array(base), pa.array(value)],
+                    names,
+                )
+                # the lookups outside, equal ones of a text together
+                for word, who, what in ((True, text[~known], chunk.hash[~known].view(np.int64)), (False, owner, key)):
+                    if not len(who):
+                        continue
+                    order = np.lexsort((what, who))
+                    who, what = who[order], what[order]
+                    at = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (what[1:] != what[:-1])])
+                    n = np.diff(np.r_[at, len(who)])
+                    who, k = who[at], len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [doc.take(pa.array(who)), pa.array(t[who]), pa.array(np.full(k, word)), pa.array(what[at]), pa.array(n), *(none(k, kind) for kind in (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
+                        names,
+                    )
+
+    parts = docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, schema)
+    # a row for each text, one for each of its words outside the alphabet, and one for each key that may
+    # be outside the head; equal rows have one doc_id and t
+    words = counted.filter("kind = 0").select(F.lit(True).alias("word"), "key", F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
+    looked_up = parts.join(words.unionByName(rest.select(F.lit(False).alias("word"), "key", F.lit(None).cast("long").alias("c"), "value")), ["word", "key"], "left")
+    found = looked_up.groupBy("doc_id", "t").agg(
         F.count("n_tokens").alias("m"),
-        *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")],
-        F.coalesce(F.sum(rest), F.lit(0.0)).alias("rest"),
-        F.coalesce(F.sum("change"), F.lit(0.0)).alias("change"),
+        *[F.max(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "base", "score")],
+        F.coalesce(F.sum(F.when(F.col("word"), F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - below))), F.lit(0.0)).alias("rest"),
+        F.coalesce(F.sum(F.col("n") * F.col("value")), F.lit(0.0)).alias("more"),
         F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("rest_known"),
     )
     each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
-    return each.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rest_known") / F.col("m")).cast("long").alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.col("rest") / F.col("m")).alias("base_score"), (F.col("score") + F.col("change") / F.col("m")).alias("score"))
+    return each.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rest_known") / F.col("m")).cast("long").alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.col("rest") / F.col("m")).alias("base_score"), (F.col("score") + F.col("more") / F.col("m")).alias("score"))
