@@ -6,14 +6,15 @@ of a text, and one symbol for every other word, which is then spelled byte by
 byte by a small tree over bytes, learned from the rare words. A context is the
 one or two symbols before a symbol.
 
-* A next symbol seen c >= 2 times in a context of n symbols has probability
-  (c - discount) / n plus the context's open mass times its probability in the
-  suffix (the context one symbol shorter); a symbol seen once gives its whole
-  count to the open mass, so it need not be stored. The root is Witten-Bell
-  smoothed: its open mass goes to words outside the alphabet.
-* A context is kept if it diverges from its suffix: the log-likelihood gained
-  on its own next symbols, less ``entry_cost`` nats for each stored one, must
-  reach ``least_gain``. Only contexts whose suffix is kept are looked at.
+* A next symbol seen c >= 2 times in a context of n symbols gets the share
+  (c - discount) / n. It is stored if it diverges from its probability in the
+  suffix (the context one symbol shorter): c times the log-ratio of the two must reach
+  ``entry_cost`` nats. What the stored ones leave is the context's open mass,
+  which all symbols share as in the suffix. The root is Witten-Bell smoothed:
+  its open mass goes to words outside the alphabet.
+* A context is kept if the log-likelihood of its own next symbols gains
+  ``least_gain`` nats, with ``entry_cost`` paid for each stored one. Only
+  contexts whose suffix is kept are looked at.
 * A symbol is scored in the longest kept context before it.
 
 In that form the score is a sum: the root's logarithms, and what each kept
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from parley.llm.common import columns, durable, mix, powers
 
@@ -311,71 +313,84 @@ def make_spelling(codes: np.ndarray, counts: np.ndarray) -> Spelling:
     return Spelling(state, np.log10(np.array(logs)).astype(np.float32))
 
 
-def _level(counted: DataFrame, with_suffix: Callable[[DataFrame], DataFrame], discount: float, entry_cost: float, least_gain: float) -> tuple[DataFrame, DataFrame]:
-    """Kept contexts (context, n, mass) and their stored symbols (context, next, c, p, up, mass).
+def _judge(c: np.ndarray, n: np.ndarray, up: np.ndarray, discount: float, entry_cost: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Share of each symbol in its context, the nats it gains, and whether it is worth storing."""
+    share = (c - discount) / n
+    gain = c * np.log(share / up) - entry_cost
+    return share, gain, gain >= 0
 
-    ``counted``: context, next (null: all symbols seen once together) and c;
-    ``with_suffix`` adds the probability ``up`` of the symbol in the suffix, and drops rows whose suffix is not kept.
-    """
-    sizes = counted.groupBy("context").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("next").isNull(), F.col("c"))), F.lit(0)).alias("once"), F.count("next").alias("more")).filter("more > 0")
-    sizes = sizes.withColumn("mass", (F.col("once") + discount * F.col("more")) / F.col("n"))
-    stored = with_suffix(counted.filter("next is not null").join(sizes, "context").select("context", "next", "c", "n", "once", "mass"))
-    stored = durable(stored.withColumn("p", (F.col("c") - discount) / F.col("n") + F.col("mass") * F.col("up")))
-    gain = F.sum(F.col("c") * F.log(F.col("p") / F.col("up")) - entry_cost) + F.first(F.col("once") * F.log("mass"))
-    kept = durable(stored.groupBy("context").agg(gain.alias("gain"), F.first("n").alias("n"), F.first("mass").alias("mass")).filter(F.col("gain") >= least_gain).select("context", "n", "mass"))
-    return kept, durable(stored.join(kept.select("context"), "context", "left_semi").select("context", "next", "c", "p", "up", "mass"))
-
-
-def _together(counted: DataFrame) -> DataFrame:
-    """kind, context, next and c from kind, key and n: the symbols that a context has seen once become one row without a symbol; keys of kind 1 stay whole."""
-    symbols = F.col("kind") == 0
-    split = counted.select("kind", F.when(symbols, F.shiftright("key", BITS)).otherwise(F.col("key")).alias("context"), F.when(symbols & (F.col("n") > 1), F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))).alias("next"), "n")
-    return durable(split.groupBy("kind", "context", "next").agg(F.sum("n").alias("c")))
 
 
 def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, entry_cost: float = ENTRY_COST, least_gain: float = LEAST_GAIN) -> tuple[Spelling, np.ndarray, DataFrame]:
     """Spelling tree, log10 open mass of each kept context of one symbol (0: not kept), and key, value and uses of the rest of the tree."""
     sc = texts.sparkSession.sparkContext
     sent = sc.broadcast(alphabet)
+    low = (1 << BITS) - 1
 
     def pairs(chunk: Chunk) -> dict[int, np.ndarray]:
         ids = sent.value.ids(chunk)
         symbol, one, _, _ = chunk.symbols(ids)
         return {0: one << BITS | symbol, 1: sent.value.spelled(chunk, np.flatnonzero((ids == OTHER) | (sent.value.counts[ids] <= RARE)))[0]}
 
-    found = _together(_counted(texts, pairs))
-    spelled = found.filter("kind = 1").select("context", "c").toArrow()  # runs of four symbols of 64
+    def judge_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            kind, key, c = (batch.column(k).to_numpy() for k in range(3))
+            context = np.where(kind == 0, key >> BITS, END)
+            n = own.counts[context]
+            share, gain, stored = _judge(c, n, 10.0 ** own.log[np.where(kind == 0, key & low, END)], discount, entry_cost)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(context), pa.array(n), pa.array(share), pa.array(gain), pa.array(stored & (kind == 0))], [*batch.schema.names, "context", "n", "share", "gain", "stored"])
+
+    found = _counted(texts, pairs).filter("kind = 1 or n > 1").withColumnRenamed("n", "c")
+    found = durable(found.mapInArrow(judge_one, "kind int, key long, c long, context long, n double, share double, gain double, stored boolean"))
+    spelled = found.filter("kind = 1").select("key", "c").toArrow()  # runs of four symbols of 64
     spelling = make_spelling(spelled.column(0).to_numpy(), spelled.column(1).to_numpy())
+    sums = found.filter("stored").groupBy("context").agg(F.sum("share").alias("share"), F.sum("c").alias("c"), F.first("n").alias("n"), F.sum("gain").alias("gain"))
+    one = sums.filter(F.col("gain") + (F.col("n") - F.col("c")) * F.log(1 - F.col("share")) >= least_gain).select("context", "share").toArrow()  # at most one row for each symbol
+    masses = np.zeros(len(alphabet.log))
+    masses[one.column("context").to_numpy()] = np.log10(1 - one.column("share").to_numpy())
+    # a context of two symbols has to occur twice, its suffix has to be kept, and so has a pair to occur twice of which a symbol shall be stored
+    grown = sc.broadcast((masses, bitmap(found.filter("kind = 0").select("key"))))
 
-    def with_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, mass = sent.value.log, grown.value[0]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(10.0 ** sent.value.log[batch.column(1).to_numpy()])], [*batch.schema.names, "up"])
+            key, c, context, share = (batch.column(k).to_numpy() for k in range(4))
+            at = np.flatnonzero(mass[context] < 0)
+            up, open_ = 10.0 ** log[key[at] & low], mass[context[at]]
+            p = share[at] + 10.0**open_ * up
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(c[at]), pa.array(p), pa.array(np.log10(p / up) - open_)], ["key", "uses", "p", "value"])
 
-    kinds = "context long, next long, c long, n long, once long, mass double, up double"
-    one, one_next = _level(found.filter("kind = 0").select("context", "next", "c"), lambda rows: rows.mapInArrow(with_root, kinds), discount, entry_cost, least_gain)
-    masses = np.zeros(len(alphabet.log))
-    own = one.select("context", "mass").toArrow()  # at most one row for each symbol
-    masses[own.column("context").to_numpy()] = np.log10(own.column("mass").to_numpy())
-    # a context of two symbols needs two occurrences, and its suffix kept
-    pair = F.shiftleft("context", BITS).bitwiseOR(F.col("next"))
-    wanted = found.filter("kind = 0 and next is not null").join(one.select(F.col("context").alias("next")), "next", "left_semi")
-    grown = sc.broadcast((masses < 0, bitmap(wanted.select(pair.alias("pair")))))
+    one_next = durable(found.filter("stored").select("key", "c", "context", "share").mapInArrow(values_one, "key long, uses long, p double, value double"))
 
     def triples(chunk: Chunk) -> dict[int, np.ndarray]:
         symbol, one, two, _ = chunk.symbols(sent.value.ids(chunk))
-        kept, bits = grown.value
-        at = np.flatnonzero(kept[one] & (one != END))
+        mass, bits = grown.value
+        at = np.flatnonzero((mass[one] < 0) & (one != END))
+        at = at[may_hold(bits, one[at] << BITS | symbol[at])]
         context = two[at] << BITS | one[at]
         seen = may_hold(bits, context)
         return {0: context[seen] << BITS | symbol[at][seen]}
 
-    last = F.col("context").bitwiseAND(F.lit((1 << BITS) - 1))
-    suffix = one_next.select(F.col("context").alias("suffix"), "next", F.col("p").alias("up"))
-    two, two_next = _level(_together(_counted(texts, triples)).select("context", "next", "c"), lambda rows: rows.withColumn("suffix", last).join(suffix, ["suffix", "next"]), discount, entry_cost, least_gain)
-    added = F.log10(F.col("p") / F.col("up")) - F.log10("mass")
-    table = one_next.select((pair + F.lit(int(ONE_NEXT))).alias("key"), added.alias("value"), F.col("c").alias("uses"))
-    table = table.unionByName(two.select((F.col("context") + F.lit(int(TWO))).alias("key"), F.log10("mass").alias("value"), F.col("n").alias("uses")))
-    return spelling, masses, durable(table.unionByName(two_next.select((pair + F.lit(int(TWO_NEXT))).alias("key"), added.alias("value"), F.col("c").alias("uses"))))
+    def judge_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, c, context, n = (batch.column(k).to_numpy() for k in range(4))
+            up = batch.column(4).to_numpy(zero_copy_only=False)  # nan: the suffix has not stored it
+            up = np.where(np.isnan(up), 10.0 ** (grown.value[0][context & low] + sent.value.log[key & low]), up)
+            share, gain, stored = _judge(c, n, up, discount, entry_cost)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(up), pa.array(share), pa.array(gain)], ["key", "c", "context", "n", "up", "share", "gain"]).filter(pa.array(stored))
+
+    three = _counted(texts, triples).filter("n > 1").select("key", F.col("n").alias("c"), F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("pair"))
+    three = three.join(one_next.select(F.col("key").alias("pair"), F.col("p").alias("up")), "pair", "left")
+    three = three.join(found.filter("kind = 0").select(F.col("key").alias("context"), F.col("c").alias("n")), "context").select("key", "c", "context", F.col("n").cast("double").alias("n"), F.coalesce("up", F.lit(math.nan)).alias("up"))
+    three = three.mapInArrow(judge_two, "key long, c long, context long, n double, up double, share double, gain double")
+    own = W.partitionBy("context")
+    summed = three.withColumns({"all": F.sum("share").over(own), "gain": F.sum("gain").over(own) + (F.col("n") - F.sum("c").over(own)) * F.log(1 - F.sum("share").over(own)), "rank": F.row_number().over(own.orderBy("key"))})
+    two = durable(summed.filter(F.col("gain") >= least_gain).select("key", "c", "context", "n", "up", "share", F.log10(1 - F.col("all")).alias("mass"), "rank"))
+    table = one_next.select((F.col("key") + F.lit(int(ONE_NEXT))).alias("key"), "value", "uses")
+    table = table.unionByName(two.filter("rank = 1").select((F.col("context") + F.lit(int(TWO))).alias("key"), F.col("mass").alias("value"), F.col("n").cast("long").alias("uses")))
+    added = F.log10(F.col("share") / F.col("up") + F.pow(F.lit(10.0), F.col("mass"))) - F.col("mass")
+    return spelling, masses, table.unionByName(two.select((F.col("key") + F.lit(int(TWO_NEXT))).alias("key"), added.alias("value"), F.col("c").alias("uses")))
 
 
 @dataclass

@@ -59,22 +59,22 @@ def plain_tree(texts, alphabet, discount, entry_cost, least):
                 counts[d].setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
     n, v = sum(counts[0][()].values()), len(words) + (len(texts) > 0)
     root = lambda x: (counts[0][()][x] + (v if x == "?" else 0)) / (n + v)
-    kept = {(): None}
+    kept = {(): None}  # open mass and shares of the stored symbols
 
     def p(ctx, x):
         if not ctx:
             return root(x)
-        c = counts[len(ctx)][ctx]
-        total, once, more = sum(c.values()), sum(k == 1 for k in c.values()), sum(k > 1 for k in c.values())
-        return (max(c[x] - discount, 0) if c[x] > 1 else 0) / total + (once + discount * more) / total * p(ctx[1:], x)
+        mass, shares = kept[ctx]
+        return shares.get(x, 0) + mass * p(ctx[1:], x)
 
     for d in (1, 2):
         for ctx, c in counts[d].items():
-            if ctx[1:] in kept and any(k > 1 for k in c.values()):
-                total, once, more = sum(c.values()), sum(k == 1 for k in c.values()), sum(k > 1 for k in c.values())
-                gain = sum(k * math.log(p(ctx, x) / p(ctx[1:], x)) - entry_cost for x, k in c.items() if k > 1) + once * math.log((once + discount * more) / total)
-                if gain >= least:
-                    kept[ctx] = gain
+            if ctx[1:] in kept:
+                total = sum(c.values())
+                shares = {x: (k - discount) / total for x, k in c.items() if k > 1 and k * math.log((k - discount) / total / p(ctx[1:], x)) >= entry_cost}
+                mass, gain = 1 - sum(shares.values()), sum(c[x] * math.log(y / p(ctx[1:], x)) - entry_cost for x, y in shares.items())
+                if shares and gain + (total - sum(c[x] for x in shares)) * math.log(mass) >= least:
+                    kept[ctx] = mass, shares
     return own, kept, p
 
 
