@@ -13,8 +13,9 @@ one or two symbols before a symbol.
   which all symbols share as in the suffix. The root is Witten-Bell smoothed:
   its open mass goes to words outside the alphabet.
 * A context is kept if the log-likelihood of its own next symbols gains
-  ``least_gain`` nats, with ``entry_cost`` paid for each stored one. Only
-  contexts whose suffix is kept are looked at.
+  ``least_gain`` nats, with ``entry_cost`` paid for each stored one. A context
+  of two symbols is looked at if its suffix is kept and its second symbol is
+  stored for its first.
 * A symbol is scored in the longest kept context before it.
 
 In that form the score is a sum: the root's logarithms, and what each kept
@@ -22,8 +23,9 @@ context on the way to the longest one, and each stored symbol of it, adds. So
 the tree is a table (key, value). The ``head_keys`` most used keys are sent to
 the tasks; the others are joined, for the places where a bitmap of bounded
 size says that such a key may exist. Every kept context and every stored symbol counts,
-whichever way it is looked up. Word counts outside the alphabet are joined in
-the same pass for the base score. Words are told apart by a 64-bit hash.
+whichever way it is looked up. For the base score the counts of the ``head_words``
+most frequent words are sent, and the others joined in the same pass. Words are
+told apart by a 64-bit hash.
 
 Defined cases: a null text counts as empty, which is one token, the end; a null
 id is no held-out one; equal rows get equal scores, one row each; with no training text the
@@ -45,7 +47,8 @@ from pyspark.sql import Window as W
 from parley.llm.common import columns, durable, mix, powers
 
 BITS = 20
-ALPHABET, HEAD_KEYS, DISCOUNT, ENTRY_COST, LEAST_GAIN = (1 << BITS) - 2, 1 << 21, 0.75, 6.0, 10.0
+ALPHABET, HEAD_WORDS, HEAD_KEYS = (1 << BITS) - 2, 1 << 21, 1 << 21
+DISCOUNT, ENTRY_COST, LEAST_GAIN = 0.75, 6.0, 10.0
 END, OTHER, FIRST = 0, 1, 2  # ids of the end (and begin) of a text, of words outside the alphabet, of the first word
 ONE_NEXT, TWO, TWO_NEXT = (np.int64(k) << np.int64(60) for k in (1, 2, 3))  # kinds of keys: a context of 1 or 2 symbols, with a next symbol or without
 BITMAP_BITS = 26
@@ -229,16 +232,21 @@ def cutoff(values: DataFrame, column: str, most: int) -> float:
 
 @dataclass
 class Alphabet:
-    """Words with a symbol of their own."""
+    """The most frequent words, and the symbols of those that have one of their own."""
 
     words: Lookup
-    counts: np.ndarray  # of the ids
-    log: np.ndarray  # log10 probability of each id at the root
+    found: np.ndarray  # count of each word, in the order of ``words``
+    id: np.ndarray  # its symbol
+    counts: np.ndarray  # of the symbols
+    log: np.ndarray  # log10 probability of each symbol at the root
     table: np.ndarray  # spelling symbol of each byte
     escaped: np.ndarray  # log10 probability of a byte after an escape
 
     def ids(self, chunk: Chunk) -> np.ndarray:
-        return np.where((at := self.words.find(chunk.hash)) >= 0, at + FIRST, OTHER)
+        return self.at(self.words.find(chunk.hash))
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places >= 0, self.id[places], OTHER) if len(self.id) else np.full(len(places), OTHER)
 
     def spelled(self, chunk: Chunk, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each byte of the words ``own`` and the END after each: the code of up to ``SPELL_DEPTH`` symbols before it and its own symbol, the byte (0 for END), and the word.
@@ -259,14 +267,16 @@ class Alphabet:
         return code, raw, word
 
 
-def make_alphabet(counted: DataFrame, most: int) -> Alphabet:
-    """From the counts of words, bytes and texts; at most ``most`` words, the most frequent ones."""
+def make_alphabet(counted: DataFrame, most: int, head_words: int) -> Alphabet:
+    """From the counts of words, bytes and texts; at most ``most`` words get symbols, the most frequent ones."""
     words = counted.filter("kind = 0")
-    got = words.filter(F.col("n") >= cutoff(words, "n", most)).select("key", "n").toArrow()
+    got = words.filter(F.col("n") >= cutoff(words, "n", max(most, head_words))).select("key", "n").toArrow()
     total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("ends")).first()
     lookup = Lookup(got.column("key").to_numpy())
-    own = got.column("n").to_numpy()[lookup.order]
-    counts = np.r_[total.ends, max(0, total.n - total.ends - own.sum()), own].astype(np.float64)
+    found = got.column("n").to_numpy()[lookup.order]
+    own = found >= cutoff(words, "n", most)
+    ids = np.where(own, np.cumsum(own) + FIRST - 1, OTHER).astype(np.int32)
+    counts = np.r_[total.ends, max(0, total.n - total.ends - found[own].sum()), found[own]].astype(np.float64)
     mass = counts.copy()
     mass[OTHER] += max(1, total.v)
     mass[END] = max(mass[END], 1)
@@ -276,7 +286,7 @@ def make_alphabet(counted: DataFrame, most: int) -> Alphabet:
     for symbol, byte in enumerate(by_count[: SYMBOLS - 2], start=1):
         table[byte] = symbol
     rare = np.array([0 if table[b] != ESCAPE else histogram.get(b, 0) for b in range(256)])
-    return Alphabet(lookup, counts, np.log10(mass / mass.sum()), table, np.where(table == ESCAPE, np.log10((rare + 1) / (rare.sum() + 256)), 0.0))
+    return Alphabet(lookup, found, ids, counts, np.log10(mass / mass.sum()), table, np.where(table == ESCAPE, np.log10((rare + 1) / (rare.sum() + 256)), 0.0))
 
 
 @dataclass
@@ -330,46 +340,56 @@ def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, e
     def pairs(chunk: Chunk) -> dict[int, np.ndarray]:
         ids = sent.value.ids(chunk)
         symbol, one, _, _ = chunk.symbols(ids)
-        return {0: one << BITS | symbol, 1: sent.value.spelled(chunk, np.flatnonzero((ids == OTHER) | (sent.value.counts[ids] <= RARE)))[0]}
+        often = sent.value.counts > 1  # a pair cannot be found oftener than its symbols
+        return {0: (one << BITS | symbol)[often[one] & often[symbol]], 1: sent.value.spelled(chunk, np.flatnonzero((ids == OTHER) | (sent.value.counts[ids] <= RARE)))[0]}
 
     def judge_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
             kind, key, c = (batch.column(k).to_numpy() for k in range(3))
-            context = np.where(kind == 0, key >> BITS, END)
-            n = own.counts[context]
-            share, gain, stored = _judge(c, n, 10.0 ** own.log[np.where(kind == 0, key & low, END)], discount, entry_cost)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(context), pa.array(n), pa.array(share), pa.array(gain), pa.array(stored & (kind == 0))], [*batch.schema.names, "context", "n", "share", "gain", "stored"])
+            pair = np.where(kind == 0, key, 0)
+            stored = _judge(c, own.counts[pair >> BITS], 10.0 ** own.log[pair & low], discount, entry_cost)[2]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stored & (kind == 0))], ["kind", "key", "c", "stored"])
+
+    def shares(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        own = sent.value
+        up, n = 10.0 ** own.log[key & low], own.counts[key >> BITS]
+        return (up, n, *_judge(c, n, up, discount, entry_cost)[:2])
+
+    def sums_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, c = (batch.column(k).to_numpy() for k in range(2))
+            _, n, share, gain = shares(key, c)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key >> BITS, c, n, share, gain)], ["context", "c", "n", "share", "gain"])
 
-    found = _counted(texts, pairs).filter("kind = 1 or n > 1").withColumnRenamed("n", "c")
-    found = durable(found.mapInArrow(judge_one, "kind int, key long, c long, context long, n double, share double, gain double, stored boolean"))
+    found = durable(_counted(texts, pairs).filter("kind = 1 or n > 1").mapInArrow(judge_one, "kind int, key long, c long, stored boolean"))
     spelled = found.filter("kind = 1").select("key", "c").toArrow()  # runs of four symbols of 64
     spelling = make_spelling(spelled.column(0).to_numpy(), spelled.column(1).to_numpy())
-    sums = found.filter("stored").groupBy("context").agg(F.sum("share").alias("share"), F.sum("c").alias("c"), F.first("n").alias("n"), F.sum("gain").alias("gain"))
+    stored = found.filter("stored").select("key", "c")
+    sums = stored.mapInArrow(sums_one, "context long, c long, n double, share double, gain double").groupBy("context").agg(F.sum("share").alias("share"), F.sum("c").alias("c"), F.first("n").alias("n"), F.sum("gain").alias("gain"))
     one = sums.filter(F.col("gain") + (F.col("n") - F.col("c")) * F.log(1 - F.col("share")) >= least_gain).select("context", "share").toArrow()  # at most one row for each symbol
     masses = np.zeros(len(alphabet.log))
     masses[one.column("context").to_numpy()] = np.log10(1 - one.column("share").to_numpy())
-    # a context of two symbols has to occur twice, its suffix has to be kept, and so has a pair to occur twice of which a symbol shall be stored
-    grown = sc.broadcast((masses, bitmap(found.filter("kind = 0").select("key"))))
+    # pairs that make a context, and pairs found twice, as the last two of three symbols must be
+    grown = sc.broadcast((masses, bitmap(stored.select("key")), bitmap(found.filter("kind = 0").select("key"))))
 
     def values_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log, mass = sent.value.log, grown.value[0]
         for batch in batches:
-            key, c, context, share = (batch.column(k).to_numpy() for k in range(4))
-            at = np.flatnonzero(mass[context] < 0)
-            up, open_ = 10.0 ** log[key[at] & low], mass[context[at]]
-            p = share[at] + 10.0**open_ * up
-            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(c[at]), pa.array(p), pa.array(np.log10(p / up) - open_)], ["key", "uses", "p", "value"])
+            key, c = (batch.column(k).to_numpy() for k in range(2))
+            open_, (up, _, share, _) = grown.value[0][key >> BITS], shares(key, c)
+            p = share + 10.0**open_ * up
+            kept = pa.array(open_ < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(p), pa.array(np.log10(p / up) - open_)], ["key", "uses", "p", "value"]).filter(kept)
 
-    one_next = durable(found.filter("stored").select("key", "c", "context", "share").mapInArrow(values_one, "key long, uses long, p double, value double"))
+    one_next = durable(stored.mapInArrow(values_one, "key long, uses long, p double, value double"))
 
     def triples(chunk: Chunk) -> dict[int, np.ndarray]:
         symbol, one, two, _ = chunk.symbols(sent.value.ids(chunk))
-        mass, bits = grown.value
+        mass, contexts, twice = grown.value
         at = np.flatnonzero((mass[one] < 0) & (one != END))
-        at = at[may_hold(bits, one[at] << BITS | symbol[at])]
+        at = at[may_hold(twice, one[at] << BITS | symbol[at])]
         context = two[at] << BITS | one[at]
-        seen = may_hold(bits, context)
+        seen = may_hold(contexts, context)
         return {0: context[seen] << BITS | symbol[at][seen]}
 
     def judge_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +402,7 @@ def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, e
 
     three = _counted(texts, triples).filter("n > 1").select("key", F.col("n").alias("c"), F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("pair"))
     three = three.join(one_next.select(F.col("key").alias("pair"), F.col("p").alias("up")), "pair", "left")
-    three = three.join(found.filter("kind = 0").select(F.col("key").alias("context"), F.col("c").alias("n")), "context").select("key", "c", "context", F.col("n").cast("double").alias("n"), F.coalesce("up", F.lit(math.nan)).alias("up"))
+    three = three.join(stored.select(F.col("key").alias("context"), F.col("c").alias("n")), "context").select("key", "c", "context", F.col("n").cast("double").alias("n"), F.coalesce("up", F.lit(math.nan)).alias("up"))
     three = three.mapInArrow(judge_two, "key long, c long, context long, n double, up double, share double, gain double")
     own = W.partitionBy("context")
     summed = three.withColumns({"all": F.sum("share").over(own), "gain": F.sum("gain").over(own) + (F.col("n") - F.sum("c").over(own)) * F.log(1 - F.sum("share").over(own)), "rank": F.row_number().over(own.orderBy("key"))})
@@ -436,13 +456,13 @@ class Tree:
         return np.bincount(text, score, minlength=len(chunk.first) - 1), owner, key
 
 
-def score(docs: DataFrame, *, alphabet: int = ALPHABET, head_keys: int = HEAD_KEYS, **options) -> DataFrame:
+def score(docs: DataFrame, *, alphabet: int = ALPHABET, head_words: int = HEAD_WORDS, head_keys: int = HEAD_KEYS, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     docs = columns(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     training = docs.filter(~held_out()).select("text")
     counted = durable(count_words(training))
     total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("words"), F.coalesce(F.max(F.col("kind") == 2), F.lit(False)).alias("any")).first()
-    own = make_alphabet(counted, alphabet)
+    own = make_alphabet(counted, alphabet, head_words)
     spelling, masses, table = train(training, own, **options)
     cut = cutoff(table, "uses", head_keys)
     head, rest = table.filter(F.col("uses") >= cut).select("key", "value").toArrow(), table.filter(F.col("uses") < cut)
@@ -450,8 +470,8 @@ def score(docs: DataFrame, *, alphabet: int = ALPHABET, head_keys: int = HEAD_KE
     tree = Tree(own, spelling, masses, lookup, head.column("value").to_numpy()[lookup.order], None if rest.isEmpty() else bitmap(rest.select("key")))
     del head
     below = math.log10(total.n + total.words + 1)  # the end is one of the distinct tokens
-    sent = docs.sparkSession.sparkContext.broadcast((tree, np.log10(own.counts + 1) - below))
-    ends_known = int(total.any)
+    sent = docs.sparkSession.sparkContext.broadcast((tree, np.log10(own.found + 1) - below))
+    end, ends_known = math.log10(own.counts[END] + 1) - below, int(total.any)
     schema = "doc_id long, t long, word boolean, key long, n long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,10 +481,11 @@ def score(docs: DataFrame, *, alphabet: int = ALPHABET, head_keys: int = HEAD_KE
             lo = 0
             for chunk in chunks(batch.column(1)):
                 m = len(chunk.first) - 1
-                ids, text = model.alphabet.ids(chunk), chunk.text
+                places, text = model.alphabet.words.find(chunk.hash), chunk.text
+                ids = model.alphabet.at(places)
                 value, owner, key = model.read(chunk, ids)
-                known = ids != OTHER
-                base = np.bincount(text[known], logs[ids[known]], minlength=m) + logs[END]
+                known = places >= 0
+                base = np.bincount(text[known], logs[places[known]], minlength=m) + end
                 size = np.diff(chunk.first)
                 mixed = mix(chunk.hash + np.arange(len(ids), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) - (chunk.first[text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 running = np.r_[np.uint64(0), np.cumsum(mixed, dtype=np.uint64)]
@@ -491,7 +512,7 @@ def score(docs: DataFrame, *, alphabet: int = ALPHABET, head_keys: int = HEAD_KE
                     )
 
     parts = docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, schema)
-    # a row for each text, one for each of its words outside the alphabet, and one for each key that may
+    # a row for each text, one for each of its words outside the head, and one for each key that may
     # be outside the head; equal rows have one doc_id and t
     words = counted.filter("kind = 0").select(F.lit(True).alias("word"), "key", F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
     looked_up = parts.join(words.unionByName(rest.select(F.lit(False).alias("word"), "key", F.lit(None).cast("long").alias("c"), "value")), ["word", "key"], "left")

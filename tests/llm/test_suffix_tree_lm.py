@@ -30,8 +30,8 @@ def base(rows):
 
 def test_base_scores_equal_brute_force(spark):
     rows = corpus(200)
-    for alphabet in (5, 10_000):  # with and without words outside the alphabet
-        got = op.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), alphabet=alphabet, least_gain=2.0).collect()
+    for alphabet, head in ((5, 5), (5, 40), (10_000, 5)):  # with and without words outside the alphabet, and outside the head
+        got = op.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), alphabet=alphabet, head_words=head, least_gain=2.0).collect()
         want = base(rows)
         assert len(got) == 200
         for r in got:
@@ -59,7 +59,7 @@ def plain_tree(texts, alphabet, discount, entry_cost, least):
                 counts[d].setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
     n, v = sum(counts[0][()].values()), len(words) + (len(texts) > 0)
     root = lambda x: (counts[0][()][x] + (v if x == "?" else 0)) / (n + v)
-    kept = {(): None}  # open mass and shares of the stored symbols
+    kept, stored = {(): None}, {}  # open mass and shares of the stored symbols
 
     def p(ctx, x):
         if not ctx:
@@ -69,9 +69,10 @@ def plain_tree(texts, alphabet, discount, entry_cost, least):
 
     for d in (1, 2):
         for ctx, c in counts[d].items():
-            if ctx[1:] in kept:
+            if ctx[1:] in kept and (d == 1 or (ctx[0],) in stored and ctx[1] in stored[ctx[0],]):
                 total = sum(c.values())
                 shares = {x: (k - discount) / total for x, k in c.items() if k > 1 and k * math.log((k - discount) / total / p(ctx[1:], x)) >= entry_cost}
+                stored[ctx] = shares
                 mass, gain = 1 - sum(shares.values()), sum(c[x] * math.log(y / p(ctx[1:], x)) - entry_cost for x, y in shares.items())
                 if shares and gain + (total - sum(c[x] for x in shares)) * math.log(mass) >= least:
                     kept[ctx] = mass, shares
@@ -102,7 +103,7 @@ def test_spelling(spark):
     (chunk,) = op.chunks(pa.array(["ab ab", "", "ba"]))
     table = np.zeros(256, dtype=np.uint8)
     table[[97, 98]] = 1, 2
-    letters = op.Alphabet(op.Lookup(np.empty(0, dtype=np.int64)), np.zeros(2), np.zeros(2), table, np.zeros(256))
+    letters = op.Alphabet(op.Lookup(np.empty(0, dtype=np.int64)), *[np.zeros(2)] * 4, table, np.zeros(256))
     codes, raw, word = letters.spelled(chunk, np.array([1, 2]))
     runs = [tuple(int(c) >> 6 * k & 63 for k in (3, 2, 1, 0)) for c in codes]
     assert runs == [(1, 2, 0, 1), (2, 0, 1, 2), (0, 1, 2, 0), (0, 0, 0, 2), (0, 0, 2, 1), (0, 2, 1, 0)]
