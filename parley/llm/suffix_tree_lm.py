@@ -40,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,7 +48,7 @@ from pyspark.sql import Window as W
 from parley.llm.common import columns, durable, mix, powers
 
 BITS = 20
-ALPHABET, HEAD_WORDS, HEAD_KEYS = (1 << BITS) - 2, 1 << 21, 1 << 21
+ALPHABET, HEAD_WORDS, HEAD_KEYS = (1 << BITS) - 2, 1 << 21, 1 << 22
 DISCOUNT, ENTRY_COST, LEAST_GAIN = 0.75, 6.0, 10.0
 END, OTHER, FIRST = 0, 1, 2  # ids of the end (and begin) of a text, of words outside the alphabet, of the first word
 ONE_NEXT, TWO, TWO_NEXT = (np.int64(k) << np.int64(60) for k in (1, 2, 3))  # kinds of keys: a context of 1 or 2 symbols, with a next symbol or without
@@ -120,17 +121,56 @@ def chunks(texts: pa.Array) -> Iterator[Chunk]:
         lo = hi
 
 
+def packed(x: np.ndarray) -> tuple[str, int, bytes]:
+    """An array in few bytes for sending: its bytes by significance, compressed."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return x.dtype.str, len(x), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(kind: str, n: int, data: bytes) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * wide, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, n).T).view(kind).ravel()
+
+
+class Packed:
+    """Arrays that are pickled in few bytes."""
+
+    def __init__(self, *arrays: np.ndarray) -> None:
+        self.arrays = arrays
+
+    def __getstate__(self) -> list:
+        return [packed(x) for x in self.arrays]
+
+    def __setstate__(self, state: list) -> None:
+        self.arrays = tuple(unpacked(*x) for x in state)
+
+
 class Lookup:
-    """Places of 64-bit keys in a sorted array, by their leading bits and a few steps."""
+    """Places of distinct 64-bit keys in a sorted array, by their leading bits and a few steps."""
 
     def __init__(self, keys: np.ndarray, spread: bool = False) -> None:
-        """``spread``: keys are no hashes, so their order is that of a mixed form."""
-        self.spread, mixed = spread, mix(keys.view(np.uint64)) if spread else keys.view(np.uint64)
-        self.order = np.argsort(mixed)
-        self.keys = np.r_[mixed[self.order], np.uint64((1 << 64) - 1)]
-        bits = max(1, int(len(keys)).bit_length() + 1)
+        """``keys`` in order; ``spread``: they are no hashes, so they are in the order of a mixed form."""
+        self.spread = spread
+        self._index(mix(keys.view(np.uint64)) if spread else keys.view(np.uint64))
+
+    @staticmethod
+    def order(keys: np.ndarray, spread: bool = False) -> np.ndarray:
+        """The order that ``keys`` must have."""
+        return np.argsort(mix(keys.view(np.uint64)) if spread else keys.view(np.uint64))
+
+    def _index(self, ordered: np.ndarray) -> None:
+        self.keys = np.r_[ordered, np.uint64((1 << 64) - 1)]
+        bits = max(1, int(len(ordered)).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
-        self.begin = np.searchsorted(mixed[self.order] >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.begin = np.searchsorted(ordered >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def __getstate__(self) -> tuple:
+        return self.spread, packed(np.diff(self.keys[:-1], prepend=np.uint64(0)))
+
+    def __setstate__(self, state: tuple) -> None:
+        self.spread = state[0]
+        self._index(np.cumsum(unpacked(*state[1]), dtype=np.uint64))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key in the sorted array, -1 if it is not there."""
@@ -230,17 +270,30 @@ def cutoff(values: DataFrame, column: str, most: int) -> float:
     return cut
 
 
-@dataclass
 class Alphabet:
-    """The most frequent words, and the symbols of those that have one of their own."""
-
-    words: Lookup
-    found: np.ndarray  # count of each word, in the order of ``words``
-    id: np.ndarray  # its symbol
-    counts: np.ndarray  # of the symbols
-    log: np.ndarray  # log10 probability of each symbol at the root
-    table: np.ndarray  # spelling symbol of each byte
-    escaped: np.ndarray  # log10 probability of a byte after an escape
+    """The most frequent words (the ``head``), the symbols of those found ``cut`` times or more, and the root's distribution."""
+
+    def __init__(self, words: Lookup, found: np.ndarray, cut: float, tokens: int, kinds: int, texts: int, table: np.ndarray, escaped: np.ndarray) -> None:
+        """``found``: count of each word; ``tokens``, ``kinds``, ``texts``: of the training texts; ``table``, ``escaped``: spelling symbol of each byte, and log10 probability of a byte after an escape."""
+        self.words, self.cut, self.totals, self.table, self.escaped = words, cut, (tokens, kinds, texts), table, escaped
+        self._derive(found)
+
+    def _derive(self, found: np.ndarray) -> None:
+        tokens, kinds, texts = self.totals
+        self.found, own = found, found >= self.cut
+        self.id = np.where(own, np.cumsum(own) + FIRST - 1, OTHER).astype(np.int32)
+        self.counts = np.r_[texts, max(0, tokens - texts - found[own].sum()), found[own]].astype(np.float64)
+        mass = self.counts.copy()
+        mass[OTHER] += max(1, kinds)
+        mass[END] = max(mass[END], 1)
+        self.log = np.log10(mass / mass.sum())
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.cut, self.totals, self.table, self.escaped, packed(self.found)
+
+    def __setstate__(self, state: tuple) -> None:
+        self.words, self.cut, self.totals, self.table, self.escaped = state[:5]
+        self._derive(unpacked(*state[5]))
 
     def ids(self, chunk: Chunk) -> np.ndarray:
         return self.at(self.words.find(chunk.hash))
@@ -272,21 +325,16 @@ def make_alphabet(counted: DataFrame, most: int, head_words: int) -> Alphabet:
     words = counted.filter("kind = 0")
     got = words.filter(F.col("n") >= cutoff(words, "n", max(most, head_words))).select("key", "n").toArrow()
     total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("ends")).first()
-    lookup = Lookup(got.column("key").to_numpy())
-    found = got.column("n").to_numpy()[lookup.order]
-    own = found >= cutoff(words, "n", most)
-    ids = np.where(own, np.cumsum(own) + FIRST - 1, OTHER).astype(np.int32)
-    counts = np.r_[total.ends, max(0, total.n - total.ends - found[own].sum()), found[own]].astype(np.float64)
-    mass = counts.copy()
-    mass[OTHER] += max(1, total.v)
-    mass[END] = max(mass[END], 1)
+    key = got.column("key").to_numpy()
+    order = Lookup.order(key)
     histogram = {r.key: r.n for r in counted.filter("kind = 1").collect()}  # at most 256 rows
     by_count = sorted(histogram, key=lambda b: (-histogram[b], b))
     table = np.full(256, ESCAPE, dtype=np.uint8)
     for symbol, byte in enumerate(by_count[: SYMBOLS - 2], start=1):
         table[byte] = symbol
     rare = np.array([0 if table[b] != ESCAPE else histogram.get(b, 0) for b in range(256)])
-    return Alphabet(lookup, found, ids, counts, np.log10(mass / mass.sum()), table, np.where(table == ESCAPE, np.log10((rare + 1) / (rare.sum() + 256)), 0.0))
+    escaped = np.where(table == ESCAPE, np.log10((rare + 1) / (rare.sum() + 256)), 0.0)
+    return Alphabet(Lookup(key[order]), got.column("n").to_numpy()[order], cutoff(words, "n", most), int(total.n), int(total.v), int(total.ends), table, escaped)
 
 
 @dataclass
@@ -331,10 +379,9 @@ def _judge(c: np.ndarray, n: np.ndarray, up: np.ndarray, discount: float, entry_
 
 
 
-def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, entry_cost: float = ENTRY_COST, least_gain: float = LEAST_GAIN) -> tuple[Spelling, np.ndarray, DataFrame]:
-    """Spelling tree, log10 open mass of each kept context of one symbol (0: not kept), and key, value and uses of the rest of the tree."""
+def train(texts: DataFrame, sent: Broadcast, *, discount: float = DISCOUNT, entry_cost: float = ENTRY_COST, least_gain: float = LEAST_GAIN) -> tuple[Spelling, np.ndarray, DataFrame]:
+    """Spelling tree, log10 open mass of each kept context of one symbol (0: not kept), and key, value and uses of the rest of the tree; ``sent``: the alphabet."""
     sc = texts.sparkSession.sparkContext
-    sent = sc.broadcast(alphabet)
     low = (1 << BITS) - 1
 
     def pairs(chunk: Chunk) -> dict[int, np.ndarray]:
@@ -368,15 +415,15 @@ def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, e
     stored = found.filter("stored").select("key", "c")
     sums = stored.mapInArrow(sums_one, "context long, c long, n double, share double, gain double").groupBy("context").agg(F.sum("share").alias("share"), F.sum("c").alias("c"), F.first("n").alias("n"), F.sum("gain").alias("gain"))
     one = sums.filter(F.col("gain") + (F.col("n") - F.col("c")) * F.log(1 - F.col("share")) >= least_gain).select("context", "share").toArrow()  # at most one row for each symbol
-    masses = np.zeros(len(alphabet.log))
+    masses = np.zeros(len(sent.value.log))
     masses[one.column("context").to_numpy()] = np.log10(1 - one.column("share").to_numpy())
     # pairs that make a context, and pairs found twice, as the last two of three symbols must be
-    grown = sc.broadcast((masses, bitmap(stored.select("key")), bitmap(found.filter("kind = 0").select("key"))))
+    grown = sc.broadcast(Packed(masses.astype(np.float32), bitmap(stored.select("key")), bitmap(found.filter("kind = 0").select("key"))))
 
     def values_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, c = (batch.column(k).to_numpy() for k in range(2))
-            open_, (up, _, share, _) = grown.value[0][key >> BITS], shares(key, c)
+            open_, (up, _, share, _) = grown.value.arrays[0][key >> BITS].astype(np.float64), shares(key, c)
             p = share + 10.0**open_ * up
             kept = pa.array(open_ < 0)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(p), pa.array(np.log10(p / up) - open_)], ["key", "uses", "p", "value"]).filter(kept)
@@ -385,7 +432,7 @@ def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, e
 
     def triples(chunk: Chunk) -> dict[int, np.ndarray]:
         symbol, one, two, _ = chunk.symbols(sent.value.ids(chunk))
-        mass, contexts, twice = grown.value
+        mass, contexts, twice = grown.value.arrays
         at = np.flatnonzero((mass[one] < 0) & (one != END))
         at = at[may_hold(twice, one[at] << BITS | symbol[at])]
         context = two[at] << BITS | one[at]
@@ -396,7 +443,7 @@ def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, e
         for batch in batches:
             key, c, context, n = (batch.column(k).to_numpy() for k in range(4))
             up = batch.column(4).to_numpy(zero_copy_only=False)  # nan: the suffix has not stored it
-            up = np.where(np.isnan(up), 10.0 ** (grown.value[0][context & low] + sent.value.log[key & low]), up)
+            up = np.where(np.isnan(up), 10.0 ** (grown.value.arrays[0][context & low] + sent.value.log[key & low]), up)
             share, gain, stored = _judge(c, n, up, discount, entry_cost)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(up), pa.array(share), pa.array(gain)], ["key", "c", "context", "n", "up", "share", "gain"]).filter(pa.array(stored))
 
@@ -415,34 +462,32 @@ def train(texts: DataFrame, alphabet: Alphabet, *, discount: float = DISCOUNT, e
 
 @dataclass
 class Tree:
-    """What a task needs to score texts: the root, the head of the tree, and where the rest may matter."""
+    """What a task needs besides the alphabet: the spelling, the head of the tree, and where the rest may matter."""
 
-    alphabet: Alphabet
     spelling: Spelling
-    masses: np.ndarray
     head: Lookup
-    values: np.ndarray
-    rest: np.ndarray | None  # bitmap of the keys outside the head
+    arrays: Packed  # open masses of contexts of one symbol, values of the head, bitmap of the keys outside the head (or nothing)
 
-    def read(self, chunk: Chunk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read(self, alphabet: Alphabet, chunk: Chunk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each text by what is here, and the lookups outside: text and key."""
+        masses, values, rest = self.arrays.arrays
         symbol, one, two, place = chunk.symbols(ids)
         text = np.repeat(np.arange(len(chunk.first) - 1), np.diff(chunk.first) + 1)
-        score = self.alphabet.log[symbol] + self.masses[one]
-        codes, raw, word = self.alphabet.spelled(chunk, np.flatnonzero(ids == OTHER))
-        each = self.spelling.scores(codes) + self.alphabet.escaped[raw] * (codes & (SYMBOLS - 1) == ESCAPE)
+        score = alphabet.log[symbol] + masses[one]
+        codes, raw, word = alphabet.spelled(chunk, np.flatnonzero(ids == OTHER))
+        each = self.spelling.scores(codes) + alphabet.escaped[raw] * (codes & (SYMBOLS - 1) == ESCAPE)
         np.add.at(score, place[word], each)
-        at = np.flatnonzero(self.masses[one] < 0)
+        at = np.flatnonzero(masses[one] < 0)
         outside = []
 
         def look(where: np.ndarray, keys: np.ndarray) -> np.ndarray:
             """Add the values of the keys to the places; True where a key is, or may be."""
             found = self.head.find(keys)
             hit = found >= 0
-            score[where[hit]] += self.values[found[hit]]
-            if self.rest is not None:
+            score[where[hit]] += values[found[hit]]
+            if len(rest):
                 open_ = np.flatnonzero(~hit)
-                open_ = open_[may_hold(self.rest, keys[open_])]
+                open_ = open_[may_hold(rest, keys[open_])]
                 outside.append((text[where[open_]], keys[open_]))
                 hit[open_] = True
             return hit
@@ -463,27 +508,31 @@ def score(docs: DataFrame, *, alphabet: int = ALPHABET, head_words: int = HEAD_W
     counted = durable(count_words(training))
     total = counted.filter("kind != 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("words"), F.coalesce(F.max(F.col("kind") == 2), F.lit(False)).alias("any")).first()
     own = make_alphabet(counted, alphabet, head_words)
-    spelling, masses, table = train(training, own, **options)
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast(own)
+    spelling, masses, table = train(training, sent, **options)
     cut = cutoff(table, "uses", head_keys)
     head, rest = table.filter(F.col("uses") >= cut).select("key", "value").toArrow(), table.filter(F.col("uses") < cut)
-    lookup = Lookup(head.column("key").to_numpy(), spread=True)
-    tree = Tree(own, spelling, masses, lookup, head.column("value").to_numpy()[lookup.order], None if rest.isEmpty() else bitmap(rest.select("key")))
-    del head
+    key, value = head.column("key").to_numpy(), head.column("value").to_numpy()
+    order = Lookup.order(key, spread=True)
+    outside = bitmap(rest.select("key")) if head.num_rows < table.count() else np.empty(0, dtype=np.uint64)
+    tree = Tree(spelling, Lookup(key[order], spread=True), Packed(masses.astype(np.float32), value[order].astype(np.float32), outside))
+    del head, key, value, order
     below = math.log10(total.n + total.words + 1)  # the end is one of the distinct tokens
-    sent = docs.sparkSession.sparkContext.broadcast((tree, np.log10(own.found + 1) - below))
+    trees = sc.broadcast(tree)
     end, ends_known = math.log10(own.counts[END] + 1) - below, int(total.any)
     schema = "doc_id long, t long, word boolean, key long, n long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = sent.value
+        model, tree, logs = sent.value, trees.value, np.log10(sent.value.found + 1) - below
         names = schema.replace(",", "").split()[::2]
         for batch in batches:
             lo = 0
             for chunk in chunks(batch.column(1)):
                 m = len(chunk.first) - 1
-                places, text = model.alphabet.words.find(chunk.hash), chunk.text
-                ids = model.alphabet.at(places)
-                value, owner, key = model.read(chunk, ids)
+                places, text = model.words.find(chunk.hash), chunk.text
+                ids = model.at(places)
+                value, owner, key = tree.read(model, chunk, ids)
                 known = places >= 0
                 base = np.bincount(text[known], logs[places[known]], minlength=m) + end
                 size = np.diff(chunk.first)

@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -103,7 +104,7 @@ def test_spelling(spark):
     (chunk,) = op.chunks(pa.array(["ab ab", "", "ba"]))
     table = np.zeros(256, dtype=np.uint8)
     table[[97, 98]] = 1, 2
-    letters = op.Alphabet(op.Lookup(np.empty(0, dtype=np.int64)), *[np.zeros(2)] * 4, table, np.zeros(256))
+    letters = op.Alphabet(op.Lookup(np.empty(0, dtype=np.int64)), np.empty(0, dtype=np.int64), 1, 0, 0, 0, table, np.zeros(256))
     codes, raw, word = letters.spelled(chunk, np.array([1, 2]))
     runs = [tuple(int(c) >> 6 * k & 63 for k in (3, 2, 1, 0)) for c in codes]
     assert runs == [(1, 2, 0, 1), (2, 0, 1, 2), (0, 1, 2, 0), (0, 0, 0, 2), (0, 0, 2, 1), (0, 2, 1, 0)]
@@ -117,8 +118,8 @@ def test_lookup_and_bitmap(spark):
     draw = np.random.default_rng(5)
     keys = np.unique(draw.integers(-(1 << 62), 1 << 62, 5000))
     for spread in (False, True):
-        found = op.Lookup(keys, spread)
-        own = keys[found.order]
+        own = keys[op.Lookup.order(keys, spread)]
+        found = pickle.loads(pickle.dumps(op.Lookup(own, spread)))
         asked = np.r_[keys, draw.integers(-(1 << 62), 1 << 62, 5000)]
         at = found.find(asked)
         assert (at[:5000] >= 0).all() and (own[at[:5000]] == keys).all() and ((at >= 0) == np.isin(asked, keys)).all()
