@@ -7,6 +7,7 @@ separate near copies. All hashes are 64 bit and depend on the word alone.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps whose results are written; else it waits for the driver's next full garbage collection."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast to the given types; extra columns are left behind."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))

@@ -45,15 +45,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parley.llm.common import columns, durable, mix, powers
+from parley.llm.common import columns, durable, mix, powers, release
 
 BITS = 20
-ALPHABET, HEAD_WORDS, HEAD_KEYS = (1 << BITS) - 2, 1 << 21, 1 << 22
+ALPHABET, HEAD_WORDS, HEAD_KEYS = (1 << BITS) - 2, 1 << 21, 1 << 21
 DISCOUNT, ENTRY_COST, LEAST_GAIN = 0.75, 6.0, 10.0
 END, OTHER, FIRST = 0, 1, 2  # ids of the end (and begin) of a text, of words outside the alphabet, of the first word
 ONE_NEXT, TWO, TWO_NEXT = (np.int64(k) << np.int64(60) for k in (1, 2, 3))  # kinds of keys: a context of 1 or 2 symbols, with a next symbol or without
 BITMAP_BITS = 26
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -98,7 +98,7 @@ class Chunk:
 
 
 def chunks(texts: pa.Array) -> Iterator[Chunk]:
-    """Words of a column without nulls, for about two million bytes at a time; a longer text stands alone."""
+    """Words of a column without nulls, for about a million bytes at a time; a longer text stands alone."""
     texts = texts.cast(pa.large_binary())
     offset = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
@@ -242,10 +242,10 @@ def _counted(texts: DataFrame, keys: Callable[[Chunk], dict[int, np.ndarray]]) -
                     if len(own):
                         held.setdefault(kind, []).append(_merged(own))
                         size += len(held[kind][-1][0])
-                if size > 3_000_000:
+                if size > 2_500_000:
                     held = {kind: [_merged(*map(np.concatenate, zip(*parts, strict=True)))] for kind, parts in held.items()}
                     size = sum(len(parts[0][0]) for parts in held.values())
-                    if size > 2_000_000:
+                    if size > 1_800_000:
                         yield from out()
                         size = 0
         yield from out()
@@ -410,6 +410,7 @@ def train(texts: DataFrame, sent: Broadcast, *, discount: float = DISCOUNT, entr
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key >> BITS, c, n, share, gain)], ["context", "c", "n", "share", "gain"])
 
     found = durable(_counted(texts, pairs).filter("kind = 1 or n > 1").mapInArrow(judge_one, "kind int, key long, c long, stored boolean"))
+    release(texts)
     spelled = found.filter("kind = 1").select("key", "c").toArrow()  # runs of four symbols of 64
     spelling = make_spelling(spelled.column(0).to_numpy(), spelled.column(1).to_numpy())
     stored = found.filter("stored").select("key", "c")
@@ -454,6 +455,7 @@ def train(texts: DataFrame, sent: Broadcast, *, discount: float = DISCOUNT, entr
     own = W.partitionBy("context")
     summed = three.withColumns({"all": F.sum("share").over(own), "gain": F.sum("gain").over(own) + (F.col("n") - F.sum("c").over(own)) * F.log(1 - F.sum("share").over(own)), "rank": F.row_number().over(own.orderBy("key"))})
     two = durable(summed.filter(F.col("gain") >= least_gain).select("key", "c", "context", "n", "up", "share", F.log10(1 - F.col("all")).alias("mass"), "rank"))
+    release(texts)
     table = one_next.select((F.col("key") + F.lit(int(ONE_NEXT))).alias("key"), "value", "uses")
     table = table.unionByName(two.filter("rank = 1").select((F.col("context") + F.lit(int(TWO))).alias("key"), F.col("mass").alias("value"), F.col("n").cast("long").alias("uses")))
     added = F.log10(F.col("share") / F.col("up") + F.pow(F.lit(10.0), F.col("mass"))) - F.col("mass")
