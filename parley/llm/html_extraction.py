@@ -1,17 +1,20 @@
 """Operator 8: main-text extraction by minimum cut.
 
 A page is cut into text blocks at block-level tags. A logistic classifier on
-text features (length, link share, punctuation, tag, place), together with the
-evidence of the enclosing elements, gives each block a cost of being content
-and a cost of being boilerplate: the capacities of its edges to the two
-terminals. Consecutive blocks and blocks of one parent are joined by smoothness
-edges, weaker the further they are apart in the document tree. The minimum cut
-(by maximum flow) is the labelling of least cost.
+text features (length, link share, punctuation, tag, place) gives each block
+the odds of being content, clipped to ``CLIP``. What the enclosing elements
+tell (tags, roles, words in class names) adds log-odds of at most the same
+size, so neither decides alone. The sum is the block's cost of being content or
+boilerplate: the capacity of its edge to a terminal. Consecutive blocks and
+blocks of one parent are joined by smoothness edges, weaker the further they
+are apart in the document tree. The minimum cut is the labelling of least
+cost: blocks whose terminal outweighs all their edges are settled first, which
+changes no least cost, and maximum flow settles the rest.
 
 The classifier is trained on a bounded sample of the pages themselves: blocks
-inside ``article`` or ``main`` against blocks inside ``nav``, ``aside``,
-``footer`` and the like teach what content looks like where no such element
-helps. ``fit_pages`` is the bound; every page is labelled.
+inside ``article`` or ``main`` tags against blocks inside ``nav``, ``aside``,
+``footer`` and the like; class names take no part. ``fit_pages`` is the bound;
+every page is labelled. Time and memory are linear in the page, but for the flow.
 
 Defined cases: null or empty html gives an empty text; broken markup is read
 to its end; pages without a sample use the classifier's starting weights;
@@ -23,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import columns
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]{0,1024}+\"|'[^']{0,1024}+'|[^>\"']++){0,256}+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # fixed values: element names of the HTML standard by what they do
@@ -46,28 +49,38 @@ MAIN = {"article", "main"}
 FORMS = {"form", "fieldset"}
 # fixed values: words in class and id names
 AWAY_WORDS = set(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot header masthead "
-    "topbar toolbar cookie cookies consent gdpr notice notices alert warning disclaimer popup modal overlay newsletter subscribe subscription signup login search form share sharing social "
-    "related recommended recommendations widget comment comments disqus reply replies respond pagination pager skip copyright legal".split()
+    "ad ads advert adverts advertisement adsense sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar cookie cookies consent gdpr popup modal "
+    "newsletter signup login comment comments disqus reply replies respond pagination pager copyright".split()
 )
+#: Words that may as well be about the subject of a text.
+DOUBTFUL_WORDS = set("promo promotion banner side foot header notice notices alert warning disclaimer overlay subscribe subscription search form share sharing social related recommended recommendations widget skip legal".split())
 MAIN_WORDS = {"article", "post", "entry", "story", "content", "main"}
 #: A name with one of these tells about the page's layout, not about the element ("has-sidebar").
 LAYOUT_WORDS = {"has", "with", "no", "without", "layout", "grid"}
-#: What elements tell of the blocks in them. A form may hold a whole page, and a class word may be about something
-#: else: their cost is one that the classifier and the edges can outweigh.
-MAIN_AROUND, FORM_AROUND, WORD_AROUND, AWAY_AROUND, HIDDEN = 1, -1, -2, -3, -4
-#: Log-odds that the innermost main element or the strongest boilerplate element within it adds to a block.
-EVIDENCE = {0: 0.0, MAIN_AROUND: 6.0, FORM_AROUND: -1.5, WORD_AROUND: -3.0, AWAY_AROUND: -14.0}
+#: What elements tell of the blocks in them, from their tags and roles (TAG) or their class names (WORD).
+MAIN_TAG, MAIN_WORD, FORM, DOUBTFUL, AWAY_WORD, AWAY_TAG, HIDDEN = 2, 1, -1, -2, -3, -4, -5
+#: Largest log-odds of the classifier, and what the innermost main element or the strongest boilerplate element within it adds.
+CLIP = 4.0
+EVIDENCE = {0: 0.0, MAIN_TAG: 1.0, MAIN_WORD: 1.0, FORM: -1.0, DOUBTFUL: -2.0, AWAY_WORD: -4.0, AWAY_TAG: -4.0}
 #: Starting weights of the classifier: one for each feature of ``Block.vector``.
 START = (-0.3, 0.5, -5.0, 1.0, 0.8, 0.3, -0.8, 0.5)
-SMOOTH, NEAR_BLOCKS = 1.2, 3
+SMOOTH = 2.0
+
+
+class Element:
+    """A block-level element of the document tree."""
+
+    __slots__ = ("depth", "parent")
+
+    def __init__(self, parent: Element | None) -> None:
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
 
 
 class Block:
-    __slots__ = ("depth", "evidence", "linked", "parents", "pieces", "size", "tag", "text")
+    __slots__ = ("element", "evidence", "linked", "pieces", "tag", "text")
 
-    def __init__(self, tag: str, parents: tuple[int, ...], evidence: int) -> None:
-        self.tag, self.parents, self.evidence, self.pieces, self.linked = tag, parents, evidence, [], 0
+    def __init__(self, tag: str, element: Element, evidence: int) -> None:
+        self.tag, self.element, self.evidence, self.pieces, self.linked = tag, element, evidence, [], 0
 
     def vector(self, place: float) -> tuple[float, ...]:
         size = max(1, len(self.text))
@@ -79,7 +92,7 @@ def _kind(tag: str, attributes: str, around: int) -> int:
     if around == HIDDEN:
         return HIDDEN
     inside_main = around > 0
-    own = FORM_AROUND if tag in FORMS else AWAY_AROUND if tag in AWAY or tag == "header" and not inside_main else 0
+    own = FORM if tag in FORMS else AWAY_TAG if tag in AWAY or tag == "header" and not inside_main else 0
     main = tag in MAIN
     if attributes:
         given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
@@ -87,35 +100,37 @@ def _kind(tag: str, attributes: str, around: int) -> int:
             return HIDDEN
         role = given.get("role")
         if role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"):
-            own = AWAY_AROUND
+            own = AWAY_TAG
         elif role == "form":
-            own = min(own, FORM_AROUND)
+            own = min(own, FORM)
         main = main or role == "main"
-        if tag not in ("html", "body") and own > AWAY_AROUND:
+        if tag not in ("html", "body") and own > AWAY_TAG:
             names = [{w.lower() for w in _NAME.findall(name)} for k in ("class", "id") for name in given.get(k, "").split()]
-            words = set().union(*(n for n in names if not n & LAYOUT_WORDS))
+            names = [n for n in names if not n & LAYOUT_WORDS]
+            words = set().union(*names)
             away, named = words & AWAY_WORDS, words & MAIN_WORDS
-            if inside_main:
-                away -= {"header", "side"}
-            if tag in FORMS:
-                away -= {"form"}
+            # inside a main element, a doubtful word tells something only if it stands alone
+            doubtful = set().union(*(n & DOUBTFUL_WORDS for n in names if not inside_main or len(n) == 1)) - ({"form"} if tag in FORMS else set())
+            if inside_main or named and not away and doubtful <= {"header", "side", "foot"}:
+                doubtful -= {"header", "side", "foot"}
             # a main element that is not inside another one, or inside what is away, is one whatever its class says
-            if away and not (away <= {"header", "side", "foot"} and named) and not (main and around in (0, FORM_AROUND)):
-                own = min(own, WORD_AROUND)
-            elif named and not away and not own and around >= FORM_AROUND and tag in ("div", "section", "td"):
-                return MAIN_AROUND
+            if (away or doubtful) and not (main and around in (0, FORM)):
+                own = min(own, AWAY_WORD if away else DOUBTFUL)
+            elif named and not away and not doubtful and not own and around >= FORM and tag in ("div", "section", "td"):
+                return max(MAIN_WORD, around)
     if own < 0:
         return min(own, around)
-    if main:  # in a nav, footer or aside it may be a teaser
-        return WORD_AROUND if around == AWAY_AROUND else MAIN_AROUND
+    if main:  # in a nav, footer or aside, or among comments, it may be a teaser or a comment
+        return DOUBTFUL if around == AWAY_TAG else MAIN_TAG
     return around
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order, with the ids of their open elements and the evidence around them."""
+    """Text blocks in page order, with their elements and the evidence around them."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, element, evidence with what is around it
-    links = count = 0
+    stack: list[tuple[str, int]] = [("", 0)]  # tag, evidence with what is around it
+    outer: list[tuple[str, int, Element]] = [("", 0, Element(None))]  # the same of block-level elements, with their place in the tree
+    open_: Counter[str] = Counter()
     current: Block | None = None
     at = 0
 
@@ -123,18 +138,25 @@ def blocks(page: str) -> list[Block]:
         nonlocal current
         if not piece:
             return
-        block = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-        if stack[-1][2] < min(0, block[2]):
+        tag, evidence, element = outer[-1]
+        if stack[-1][1] < min(0, evidence):
             return  # an inline element that is not content
         if current is None:
             if not piece.strip():
                 return
-            current = Block(block[0], tuple(e[1] for e in stack if e[0] not in INLINE), block[2])
+            current = Block(tag, element, evidence)
             out.append(current)
         current.pieces.append(piece)
-        if links:
+        if open_["a"]:
             current.linked += len(piece)
 
+    def close() -> str:
+        tag, _ = stack.pop()
+        open_[tag] -= 1
+        if tag not in INLINE:
+            outer.pop()
+        return tag
+
     while (m := _TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
         at = m.end()
@@ -145,11 +167,9 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             current = None
         if closing:
-            if any(e[0] == tag for e in stack):
-                while stack[-1][0] != tag:
-                    links -= stack.pop()[0] == "a"
-                stack.pop()
-                links -= tag == "a"
+            if open_[tag]:
+                while close() != tag:
+                    pass
             continue
         if tag == "br":
             text(" ")
@@ -161,18 +181,15 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag not in INLINE:  # an open paragraph ends at the next block element, an item at the next item
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or tag in ("li", "dt", "dd", "option", "tr", "td") and stack[k][0] == tag:
-                    for e in stack[k:]:
-                        links -= e[0] == "a"
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        count += 1
-        around = stack[-1][2]
-        stack.append((tag, count, _kind(tag, m[3] or m[6] or "", around)))
-        links += tag == "a"
+            last = outer[-1][0]
+            if last == "p" or tag in ("li", "dt", "dd", "option", "tr", "td") and last == tag:
+                while close() != last:
+                    pass
+        evidence = _kind(tag, m[3] or m[6] or "", stack[-1][1])
+        stack.append((tag, evidence))
+        open_[tag] += 1
+        if tag not in INLINE:
+            outer.append((tag, evidence, Element(outer[-1][2])))
     text(page[at:])
     kept = []
     for b in out:
@@ -183,11 +200,43 @@ def blocks(page: str) -> list[Block]:
 
 
 def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """True for the nodes on the source side of the minimum cut.
+    """True for the nodes on the source side of a minimum cut.
 
     ``gain``: capacity from the source if positive, to the sink if negative;
-    ``edges``: undirected (a, b, capacity). Dinic's algorithm.
+    ``edges``: undirected (a, b, capacity). A node whose capacity to a terminal
+    is at least that of all its edges lies on that side of some minimum cut; it
+    is settled, its edges add to its neighbours' capacities, and so on. The
+    others are cut by maximum flow.
     """
+    n, gain = len(gain), list(gain)
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    room = [0] * n
+    for a, b, c in edges:
+        near[a].append((b, c))
+        near[b].append((a, c))
+        room[a] += c
+        room[b] += c
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        a = todo.pop()
+        if side[a] is None and abs(gain[a]) >= room[a]:
+            side[a] = gain[a] >= 0
+            for b, c in near[a]:
+                if side[b] is None:
+                    gain[b] += c if side[a] else -c
+                    room[b] -= c
+                    todo.append(b)
+    left = [i for i in range(n) if side[i] is None]
+    name = {i: k for k, i in enumerate(left)}
+    found = _by_flow([gain[i] for i in left], [(name[a], name[b], c) for a, b, c in edges if a in name and b in name]) if left else []
+    for i, s in zip(left, found, strict=True):
+        side[i] = s
+    return side
+
+
+def _by_flow(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+    """The source side of the minimum cut by Dinic's maximum flow."""
     n = len(gain)
     source, sink = n, n + 1
     graph: list[list[int]] = [[] for _ in range(n + 2)]
@@ -247,36 +296,37 @@ def minimum_cut(gain: list[int], edges: list[tuple[int, int, int]]) -> list[bool
                 break
 
 
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps between two elements of the tree."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def _distance(a: Element, b: Element) -> int:
+    """Steps between two elements of the tree; over consecutive blocks, linear in the page."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
-def label(found: list[Block], weights: tuple[float, ...]) -> list[bool]:
-    """Whether each block is content."""
-    n = len(found)
-    gain = []
+def costs(found: list[Block], weights: tuple[float, ...]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Capacity of each block to a terminal (thousandths of log-odds, positive: content), and the smoothness edges."""
+    n, gain, edges, seen = len(found), [], [], {}
     for i, b in enumerate(found):
         odds = sum(map(float.__mul__, weights, b.vector((i + 0.5) / n)))
-        odds = max(-5.0, min(5.0, odds)) + EVIDENCE[b.evidence]
-        gain.append(round(1000 * odds))
-    edges, seen = [], {}
-    for i, b in enumerate(found):
+        gain.append(round(1000 * (max(-CLIP, min(CLIP, odds)) + EVIDENCE[b.evidence])))
         if i:
-            edges.append((i - 1, i, round(1000 * SMOOTH / (1 + _distance(found[i - 1].parents, b.parents)))))
-        parent = b.parents[:-1]
-        before = seen.get(parent)
+            edges.append((i - 1, i, round(1000 * SMOOTH / (1 + _distance(found[i - 1].element, b.element)))))
+        parent = b.element.parent
+        before = seen.get(id(parent))
         if before is not None and before != i - 1:
             edges.append((before, i, round(500 * SMOOTH)))
-        seen[parent] = i
-    if all(g >= 0 for g in gain) or all(g < 0 for g in gain):
-        return [g >= 0 for g in gain]
-    return minimum_cut(gain, edges)
+        seen[id(parent)] = i
+    return gain, edges
+
+
+def label(found: list[Block], weights: tuple[float, ...]) -> list[bool]:
+    """Whether each block is content."""
+    return minimum_cut(*costs(found, weights))
 
 
 def main_text(page: str | None, weights: tuple[float, ...] = START) -> str:
@@ -307,7 +357,7 @@ def train(pages: DataFrame, *, fit_pages: int = 1_000, fit_blocks: int = 200) ->
             rows = []
             for page in batch.column(1).to_pylist():
                 found = blocks(page or "")
-                known = [(b.vector((i + 0.5) / len(found)), int(b.evidence > 0)) for i, b in enumerate(found) if b.evidence not in (0, FORM_AROUND)]
+                known = [(b.vector((i + 0.5) / len(found)), int(b.evidence == MAIN_TAG)) for i, b in enumerate(found) if b.evidence in (MAIN_TAG, AWAY_TAG)]
                 rows += known[:: max(1, -(-len(known) // fit_blocks))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([list(v) for v, _ in rows], pa.list_(pa.float64())), pa.array([y for _, y in rows], pa.int32())], ["x", "y"])

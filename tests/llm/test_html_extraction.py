@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -61,6 +62,29 @@ def test_one_class_word_or_a_form_does_not_decide_for_a_page(page, kept, gone):
     assert kept in text and gone not in text
 
 
+@pytest.mark.parametrize("name", ["legal-history", "related-work", "share-price", "warning", "skip"])
+def test_a_doubtful_name_does_not_drop_a_section(name):
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><section class='{name}'><p>{PROSE.upper()}</p></section></article><section class='comments'><p>{PROSE.lower()}</p></section>"
+    assert op.main_text(page) == f"Title\n\n{PROSE.strip()}\n\n{PROSE.upper().strip()}"
+
+
+def test_the_cut_decides_against_a_block_alone():
+    """Short pieces among long ones follow them, on both sides; by their own costs they would not."""
+    page = f"<div><p>{PROSE}</p><p>Ok</p><p>{PROSE}</p></div><div>{'<span><a href=x>Link</a></span><li><a href=y>Other link</a></li>' * 4}<p>And so on.</p></div>"
+    found = op.blocks(page)
+    gain, edges = op.costs(found, op.START)
+    cut = op.minimum_cut(gain, edges)
+    assert [g >= 0 for g in gain] != cut and cut[:3] == [True] * 3 and gain[1] < 0
+
+
+def test_large_and_nested_pages():
+    """Time and memory grow with the page alone."""
+    for page in ("<div>x, y " * 40_000, '<p a="x ' * 20_000, "<b>x" * 100_000, ("<div>" * 50 + "hello there, you</div>" * 50) * 100):
+        began = time.perf_counter()
+        op.main_text(page)
+        assert time.perf_counter() - began < 20
+
+
 def test_pages_without_structure():
     assert op.main_text("Just a text, without any element. It stays.") == "Just a text, without any element. It stays."
     links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8))
