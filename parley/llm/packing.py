@@ -14,7 +14,7 @@ ignored. A group holds about ``group_rows`` descriptors whatever the input.
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import zlib
 from array import array
@@ -22,63 +22,75 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import columns, durable
 
 CAPACITY = 1024
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
+
+
+#: How a byte-level tokenizer with its standard pattern cuts a text; ids never cross a cut.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_KNOWN, _LONG = 400_000, 64
 
 
 class Encoder:
     """Ids of whole texts by the tokenizer file at ``path``.
 
-    If ``ranks`` and ``pattern`` are given (the same vocabulary as merge ranks,
-    and its splitting pattern), they encode the texts several times faster. The
-    tokenizer then encodes one text of every call too, takes over the call if
-    the ids ever differ, and gets every text that holds a special token's string.
+    A byte-level tokenizer cuts texts with ``SPLIT`` and encodes each piece for
+    itself. So the tokenizer encodes each distinct piece once, and texts are
+    put together from the pieces' ids; at most ``_KNOWN`` short pieces are
+    remembered. Texts with a special token's string, and texts for any other
+    kind of tokenizer, are encoded whole.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.quick = None
-        if ranks and pattern:
-            import tiktoken
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        cut = parts.get("pre_tokenizer") or {}
+        self.by_piece = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not parts.get("normalizer")
+        self.known: dict[str, bytes] = {}
 
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.quick = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-
-    def _slow(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if self.quick is None or not texts:
-            return self._slow(texts)
-        out = [self._slow([t])[0] if any(s in t for s in self.special) else array("I", self.quick.encode_ordinary(t)).tobytes() for t in texts]
-        probe = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
-        return out if out[probe] == self._slow([texts[probe]])[0] else self._slow(texts)
-
-
-def _encoder(*files: str | None) -> Encoder:
-    if files not in _encoders:
-        _encoders[files] = Encoder(*files)
-    return _encoders[files]
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+        whole = [not self.by_piece or any(s in t for s in self.special) for t in texts]
+        slow = iter(self._ids([t for t, w in zip(texts, whole, strict=True) if w]))
+        cut = [[] if w else SPLIT.findall(t) for t, w in zip(texts, whole, strict=True)]
+        known = self.known
+        new = list({p for pieces in cut for p in pieces if p not in known})
+        known.update(zip(new, self._ids(new), strict=True))
+        out = [next(slow) if w else b"".join(map(known.__getitem__, pieces)) for pieces, w in zip(cut, whole, strict=True)]
+        if len(known) > _KNOWN:
+            known.clear()
+        for p in new:
+            if len(p) > _LONG:
+                known.pop(p, None)
+        return out
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, closing = _encoder(tokenizer, ranks, pattern), np.array([end_id], dtype="<u4").tobytes()
+        encoder, closing = _encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for lo in range(0, len(texts), 256):
@@ -138,30 +150,31 @@ def fill_windows(lengths: list[int], capacity: int) -> list[tuple[int, dict[int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, pattern: str | None = None, capacity: int = CAPACITY, end_id: int = 0, group_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0, group_rows: int = 50_000) -> DataFrame:
     """Every piece of every text with the sequence and the offset where it lies."""
-    pieces = durable(token_pieces(docs, tokenizer, ranks=ranks, pattern=pattern, capacity=capacity, end_id=end_id))
+    pieces = durable(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id))
     n_groups = max(1, -(-pieces.count() // group_rows))
     # a row's own place takes part: equal rows hash alike, and any even spread gives a right result
     dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(n_groups)))
 
-    def fill(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+    def fill(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("length", "doc_id", "start", "ids_crc32")]).drop_columns("bin")
+        lengths = rows.column("length").to_pylist()
         shelf: dict[int, list[int]] = defaultdict(list)
-        for at, length in enumerate(rows["length"].tolist()):
+        for at, length in enumerate(lengths):
             shelf[length].append(at)
-        sequence, offset = np.empty(len(rows), dtype=np.int64), np.empty(len(rows), dtype=np.int64)
+        sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
         n = 0
-        for times, used in fill_windows(rows["length"].tolist(), capacity):
+        for times, used in fill_windows(lengths, capacity):
             for _ in range(times):
                 at = 0
                 for length, count in used.items():
                     for _ in range(count):
                         row = shelf[length].pop()
-                        sequence[row], offset[row] = (int(key[0]) << 32) + n, at
+                        sequence[row], offset[row] = (key[0].as_py() << 32) + n, at
                         at += length
                 n += 1
-        return rows.assign(sequence_id=sequence, offset=offset).drop(columns="bin")
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("bin").applyInPandas(fill, kinds)
+    return dealt.groupBy("bin").applyInArrow(fill, kinds)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parley.llm import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_tree_lm, warc_zip
 from parley.llm.common import shared_folder
 
-TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +19,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tokenizer_files() -> dict[str, str]:
-    """The tokenizer, and the same vocabulary as merge ranks with its splitting pattern."""
+    """The tokenizer that packing uses."""
     import public_tokenizers
 
-    return {"tokenizer": public_tokenizers.path(TOKENIZER), "ranks": public_tokenizers.path(RANKS), "pattern": public_tokenizers.PATTERN}
+    return {"tokenizer": public_tokenizers.path(TOKENIZER)}
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

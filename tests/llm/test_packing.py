@@ -1,10 +1,12 @@
 import itertools
 import random
+import sys
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from parley.llm import packing as op
@@ -33,7 +35,7 @@ def check(rows, texts, tokenizer, capacity=1024):
     return fills
 
 
-@pytest.mark.parametrize("files", [{"tokenizer": public_tokenizers.path("byte_bpe_50k.json")}, tokenizer_files()])
+@pytest.mark.parametrize("files", [{"tokenizer": public_tokenizers.path("word_bpe_49k.json")}, tokenizer_files()])
 def test_round_trip(spark, files):
     draw = random.Random(3)
     texts = {i: " ".join(draw.choice(["the", "Überraschung", "x9", "-", "\n", "don't", "漢字", "  ", "<|endoftext|>"]) for _ in range(draw.randint(0, 900))) for i in range(150)}
@@ -43,6 +45,25 @@ def test_round_trip(spark, files):
     assert {r.doc_id for r in got} == set(texts) and sum(fills) / len(fills) > 0.95 * 1024
 
 
+def test_pieces_are_cut_where_the_tokenizer_cuts():
+    """Every code point that both know of, between letters, digits, spaces and marks; and texts encoded whole."""
+    encoder = op.Encoder(tokenizer_files()["tokenizer"])
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and regex.match(r"\P{Cn}", chr(c))]
+    for a, b in (("a", "b"), ("1", "2"), (" ", "."), ("'", "s"), (" ", " ")):
+        texts = ["".join(f"{a}{c}{b}\n" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+        assert encoder.encode(texts) == encoder._ids(texts)
+    draw = random.Random(8)
+    odd = ["it's", "IT'S", "'ll", "\u00a0", "  ", "\n\n", "\t ", "é", "e\u0301", "٣", "½", "😀", "\u200b", "x" * 99, "--", "_", "\x00", "\r\n"]
+    texts = ["".join(draw.choice(odd) for _ in range(draw.randint(0, 40))) for _ in range(2000)]
+    assert encoder.encode(texts) == encoder._ids(texts) and encoder.known
+
+
+def test_large_ids_next_to_null_stay_exact(spark):
+    rows = [(9007199254740993, "one text"), (None, "another text"), (9007199254740992, "a third")]
+    got = op.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), **tokenizer_files()).collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+
+
 def test_best_fill_equals_brute_force():
     draw = random.Random(1)
     for _ in range(200):
