@@ -2,10 +2,11 @@
 
 Base rules use fixed limits. Further limits are learned: for each stratum
 (language) and rule, every cutoff of a fixed grid is tested on labelled rows.
-With n good labelled rows of which k would be rejected, the exact binomial
-tail P(X <= k | n, risk) must not exceed ``delta`` divided by the number of
-tests (Bonferroni over strata, rules and cutoffs); the strictest cutoff that passes
-is used. So with confidence 1 - delta no rule rejects more than ``risk`` of the
+Each rule may spend an equal part of the risk. With n good labelled rows of
+which k would be rejected, the exact binomial tail P(X <= k | n, risk / rules)
+must not exceed ``delta`` divided by the number of tests (Bonferroni over
+strata, rules and cutoffs); the strictest cutoff that passes is used. So with
+confidence 1 - delta the learned rules together reject at most ``risk`` of the
 good rows of any stratum. A stratum without enough labels rejects nothing.
 
 Defined cases: null text has no words; null ids and repeated rows give one
@@ -120,7 +121,7 @@ def thresholds(found: DataFrame, labels: DataFrame, *, risk: float = 0.02, delta
     per = long.groupBy("stratum", "rule").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("above") > j).alias(f"k{j}") for j in range(len(GRID))])
     per = durable(per)  # a row per stratum and rule
     strata = per.withColumn("limit", F.lit(delta / max(1, per.count() * len(GRID))))
-    safe = [F.when(binomial_tail(F.col(f"k{j}"), F.col("n"), risk) <= F.col("limit"), F.lit(float(c))) for j, c in enumerate(GRID)]
+    safe = [F.when(binomial_tail(F.col(f"k{j}"), F.col("n"), risk / len(RULES)) <= F.col("limit"), F.lit(float(c))) for j, c in enumerate(GRID)]
     picked = strata.select("stratum", "rule", F.array_min(F.array(*safe)).alias("cut"))
     return picked.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
 

@@ -85,6 +85,7 @@ def _op10_sql() -> str:
     grid = ", ".join(f"{c}.0" for c in quality_rules.GRID)
     shares = " union all ".join(f"select stratum, '{k}' as rule, {e} as share from held" for k, e in rules.items())
     cuts = ", ".join(f"max(case when rule = '{k}' then cut end) as cut_{k}" for k in rules)
+    risk = 0.02 / len(rules)
     failed = ", ".join(f"case when {e} > cut_{k} then '{k}' end" for k, e in rules.items())
     return f"""
 with base as (
@@ -111,7 +112,7 @@ tested as (
   from shares, (select unnest([{grid}]) as cut) group by all),
 tails as (
   select stratum, rule, cut, n, k, count(*) over () as tests,
-    case when k > n * 0.02 then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))) from range(0, 100000) as t(i) where i <= k) end as tail
+    case when k > n * {risk} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk})))) end as tail
   from tested),
 cuts as (select stratum, {cuts} from (select stratum, rule, min(cut) as cut from tails where tail <= 0.05 / tests group by all) group by stratum),
 judged as (

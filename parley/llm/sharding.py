@@ -27,6 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SHARD_ROWS = 1_000
@@ -122,7 +123,7 @@ class ShardedTable:
             n = runs.count()
             if not n:
                 return version
-            runs.repartition(n).mapInArrow(_merge(place), "paths array<string>, path string, rows long, bytes long").write.parquet(table)
+            runs.repartition(n).mapInArrow(_merge(place, self.schema), "paths array<string>, path string, rows long, bytes long").write.parquet(table)
             done = self.spark.read.schema("paths array<string>, path string, rows long, bytes long").parquet(table)
             gone = done.select(F.explode("paths").alias("path"))
             new = done.select("path", "rows", "bytes").withColumn("tier", self._tier(F.col("bytes")))
@@ -134,8 +135,10 @@ class ShardedTable:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
 
-def _merge(place: str):
-    """Task function: stream the shards of each run into one new file."""
+def _merge(place: str, schema: StructType):
+    """Task function: stream the shards of each run into one new file, with the types of ``schema`` (timestamps in microseconds, as Spark reads them)."""
+    timed = any(word in schema.simpleString() for word in ("timestamp", "time("))
+    kinds = to_arrow_schema(schema) if timed else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +149,9 @@ def _merge(place: str):
                 for path in paths:
                     own, local = fs.FileSystem.from_uri(_uri(path))
                     with own.open_input_file(local) as stream:
-                        for part in pq.ParquetFile(stream).iter_batches(batch_size=2048):
+                        for part in pq.ParquetFile(stream, coerce_int96_timestamp_unit="us").iter_batches(batch_size=2048):
+                            if kinds is not None:
+                                part = part.cast(kinds)
                             writer = writer or pq.ParquetWriter(f"{root}/{name}", part.schema, filesystem=system, compression="zstd")
                             waiting.append(part)
                             held += part.nbytes

@@ -233,7 +233,10 @@ def read_records(packages: DataFrame, *, slice_bytes: int = SLICE_BYTES) -> Data
                 file.close()
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], list(names))
 
-    dealt = locate_records(packages).repartition("path", F.floor(F.col("offset") / slice_bytes))
+    places = durable(locate_records(packages))
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # a task for each slice of archive bytes; by their own size the pointers would all go to a few
+    dealt = places.repartition(max(1, -(-int(total) // slice_bytes)), "path", F.floor(F.col("offset") / slice_bytes))
     return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

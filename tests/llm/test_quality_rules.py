@@ -58,7 +58,7 @@ def test_thresholds_limit_false_rejection(spark):
     got = {r.doc_id: r for r in op.apply_rules(docs, labels).collect()}
     for s in "ab":
         good = [got[i].kept for i, _, x, q in rows if x == s and q]
-        assert 1 - sum(good) / len(good) <= 0.02 * len(op.RULES)
+        assert 1 - sum(good) / len(good) <= 0.02
     bad = [got[i].kept for i, _, x, q in rows if x == "a" and not q]
     assert not any(bad)
     assert all(got[i].kept for i, _, x, q in rows if x == "b" and not q)  # no safe cutoff there

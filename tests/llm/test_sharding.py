@@ -50,3 +50,15 @@ def test_awkward_and_empty(awkward, nothing, folder):
     assert table.read().exceptAll(awkward).count() == 0 and table.read().count() == awkward.count()
     none = op.shard_and_compact(nothing, folder + "-none")
     assert none.versions() == [1] and none.read().count() == 0 and none.read().schema == nothing.schema
+
+
+def test_all_types_are_kept(spark, tmp_path):
+    kinds = "i tinyint, s smallint, n int, l bigint, f float, d double, b boolean, t string, x binary, day date, at timestamp, wall timestamp_ntz, m decimal(20,3), list array<timestamp>, map map<string,int>, st struct<a:timestamp,b:string>"
+    row = "1Y, 2S, 3, 4L, cast(1.5 as float), 2.5D, true, 'é', x'00ff', date'1900-01-01', timestamp'1000-01-01 01:02:03.123456', timestamp_ntz'9999-12-31 23:59:59.999999', 1.234BD, array(timestamp'2024-02-29 00:00:00', null), map('a', 1), named_struct('a', timestamp'2000-01-01 00:00:00', 'b', null)"
+    one = spark.sql(f"select {row}").toDF(*[k.split(" ")[0] for k in kinds.split(", ")])
+    rows = spark.createDataFrame([], kinds).unionByName(one).unionByName(spark.sql("select " + ", ".join(f"cast(null as {k.split(' ', 1)[1]}) as {k.split(' ', 1)[0]}" for k in kinds.split(", "))))
+    given = rows.union(rows).union(rows).repartition(6)
+    table = op.shard_and_compact(given, f"file://{tmp_path}/t", shard_rows=1)
+    assert len(table.versions()) > 1
+    text = lambda df: sorted(str(r) for r in df.collect())
+    assert text(table.read()) == text(given) and table.read().schema.simpleString() == given.schema.simpleString()
