@@ -55,7 +55,7 @@ ENTRY_COST = LEAST_GAIN = BITS * math.log(2)
 END, OTHER, FIRST = 0, 1, 2  # ids of the end (and begin) of a text, of words outside the alphabet, of the first word
 ONE_NEXT, TWO, TWO_NEXT = (np.int64(k) << np.int64(60) for k in (1, 2, 3))  # kinds of keys: a context of 1 or 2 symbols, with a next symbol or without
 BITMAP_BITS = 26
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -100,7 +100,7 @@ class Chunk:
 
 
 def chunks(texts: pa.Array) -> Iterator[Chunk]:
-    """Words of a column without nulls, for about a million bytes at a time; a longer text stands alone."""
+    """Words of a column without nulls, for about half a million bytes at a time; a longer text stands alone."""
     texts = texts.cast(pa.large_binary())
     offset = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
@@ -217,7 +217,7 @@ def _merged(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     if counts is None:
         keys = np.sort(keys)
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-        return keys[at], np.diff(np.r_[at, len(keys)])
+        return keys[at], np.diff(np.r_[at, len(keys)]).astype(np.int32)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
@@ -234,7 +234,8 @@ def _counted(texts: DataFrame, keys: Callable[[Chunk], dict[int, np.ndarray]]) -
             for kind, parts in held.items():
                 own, n = _merged(*map(np.concatenate, zip(*parts, strict=True)))
                 for lo in range(0, len(own), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[lo : lo + 100_000]), kind, dtype=np.int32)), pa.array(own[lo : lo + 100_000]), pa.array(n[lo : lo + 100_000])], ["kind", "key", "n"])
+                    part = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[part]), kind, dtype=np.int32)), pa.array(own[part]), pa.array(n[part].astype(np.int64))], ["kind", "key", "n"])
             held.clear()
 
         size = 0
@@ -244,10 +245,10 @@ def _counted(texts: DataFrame, keys: Callable[[Chunk], dict[int, np.ndarray]]) -
                     if len(own):
                         held.setdefault(kind, []).append(_merged(own))
                         size += len(held[kind][-1][0])
-                if size > 2_500_000:
+                if size > 1_500_000:
                     held = {kind: [_merged(*map(np.concatenate, zip(*parts, strict=True)))] for kind, parts in held.items()}
                     size = sum(len(parts[0][0]) for parts in held.values())
-                    if size > 1_800_000:
+                    if size > 1_000_000:
                         yield from out()
                         size = 0
         yield from out()
