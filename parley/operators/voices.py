@@ -44,8 +44,8 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
 
 
-def nearest_person(queries: DataFrame, people: DataFrame, *, query_id: str = "query_id", vector: str = "embedding", person_vector: str = "voice_embedding", max_distance: float = MAX_DISTANCE, block: int = 4096) -> DataFrame:
-    """query_id, person_id, distance of the exact nearest person under ``max_distance`` (least id on ties).
+def nearest_person(queries: DataFrame, people: DataFrame, *, query_id: str = "query_id", vector: str = "embedding", person_vector: str = "voice_embedding", max_distance: float = MAX_DISTANCE, block: int = 4096, others_only: bool = False) -> DataFrame:
+    """query_id, person_id, distance of the exact nearest person under ``max_distance`` (least id on ties); with ``others_only`` a person of the query's own id is passed over.
 
     The queries are taken in blocks of at most ``block`` vectors; each block is
     a matrix that is sent to the tasks, which meet every person with it once
@@ -69,6 +69,8 @@ def nearest_person(queries: DataFrame, people: DataFrame, *, query_id: str = "qu
                     person = batch.column(0).to_numpy()
                     order = np.argsort(person, kind="stable")
                     distance = 1 - units @ _units(np.array(batch.column(1).to_pylist(), dtype=np.float64)[order]).T
+                    if others_only:
+                        distance[ids[:, None] == person[order][None, :]] = np.inf
                     best = distance.argmin(axis=1)
                     least = distance[np.arange(len(ids)), best]
                     hit = least < max_distance
