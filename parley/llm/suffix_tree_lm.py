@@ -48,10 +48,11 @@ from pyspark.sql import Window as W
 from parley.llm.common import columns, durable, mix, powers, release
 
 BITS = 20
-ALPHABET, HEAD_WORDS, HEAD_KEYS = (1 << BITS) - 2, 1 << 21, 1 << 21
+ALPHABET, HEAD_WORDS, HEAD_KEYS = (1 << BITS) - 2, 1 << BITS, 1 << 22
 DISCOUNT = 0.75
-#: What a stored symbol and a kept context must earn, in nats: the cost of naming one symbol of 2**BITS.
-ENTRY_COST = LEAST_GAIN = BITS * math.log(2)
+#: What a stored symbol and a kept context must earn, in nats: the cost of naming one symbol of 2**BITS for the context, and one more for the symbol stored in it.
+LEAST_GAIN = BITS * math.log(2)
+ENTRY_COST = 2 * LEAST_GAIN
 END, OTHER, FIRST = 0, 1, 2  # ids of the end (and begin) of a text, of words outside the alphabet, of the first word
 ONE_NEXT, TWO, TWO_NEXT = (np.int64(k) << np.int64(60) for k in (1, 2, 3))  # kinds of keys: a context of 1 or 2 symbols, with a next symbol or without
 BITMAP_BITS = 26
