@@ -52,6 +52,8 @@ def test_pieces_are_cut_where_the_tokenizer_cuts():
     for a, b in (("a", "b"), ("1", "2"), (" ", "."), ("'", "s"), (" ", " ")):
         texts = ["".join(f"{a}{c}{b}\n" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
         assert encoder.encode(texts) == encoder._ids(texts)
+    for a, b in itertools.product([c for c in points if ord(c) < 0x250], "a1 .'\n"):
+        assert op._OTHERWISE.search(a) or op._QUICK.findall(b + a + b) == op.SPLIT.findall(b + a + b)
     draw = random.Random(8)
     odd = ["it's", "IT'S", "'ll", "\u00a0", "  ", "\n\n", "\t ", "é", "e\u0301", "٣", "½", "😀", "\u200b", "x" * 99, "--", "_", "\x00", "\r\n"]
     texts = ["".join(draw.choice(odd) for _ in range(draw.randint(0, 40))) for _ in range(2000)]

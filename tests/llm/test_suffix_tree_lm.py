@@ -133,7 +133,7 @@ def test_held_out_scores_beat_the_base(spark):
     total = op.score(docs).filter("held_out").groupBy().sum("score", "base_score", "n_tokens").first()
     assert total[0] > total[1] + 0.2 * total[2]
     held = op.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").groupBy().sum("score", "base_score", "n_tokens").first()
-    assert held[0] > held[1] + 0.15 * held[2]
+    assert held[0] > held[1] + 0.1 * held[2]
 
 
 def test_awkward_and_empty(spark, awkward, nothing):
