@@ -205,6 +205,12 @@ def align_speakers(words: DataFrame, turns: DataFrame, key: str = "meeting_id",
     return absorb_slivers(speaker_segments(given, key), key)
 
 
+def words_kept(words: DataFrame, segments: DataFrame, key: str = "meeting_id") -> DataFrame:
+    """key, before, after: words of each key and words in its segments; alignment neither drops nor adds any."""
+    after = segments.groupBy(key).agg(F.sum(F.size("words")).alias("after"))
+    return words.groupBy(key).agg(F.count(F.lit(1)).alias("before")).join(after, key, "full").na.fill(0, ["before", "after"])
+
+
 def segments_to_turns(segments: DataFrame, key: str = "meeting_id") -> DataFrame:
     """Turns of the attributed, non-empty segments: key, turn_idx, start, end, speaker_num."""
     kept = segments.filter(F.col("speaker_num").isNotNull() & (F.size("words") > 0))

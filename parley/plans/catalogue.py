@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from parley.functions import strings, times, vectors
 from parley.operators import relational, talk, timeline, voices, wer
-from parley.plans import ingest
 from parley.plans.frames import Frames, with_frames
 from parley.schema import source_url, violations, watch_url, words_end, words_start, words_text
 from parley.sources import psv, sinks, snapshot
@@ -213,10 +213,15 @@ select row_number() over (order by start_time desc nulls last, case when start_t
 def _(x: Frames) -> DataFrame:
     rows = x.table("lineitem").select(F.col("l_orderkey").alias("meeting_id"), (F.col("l_linenumber") * 1000000 + F.col("l_orderkey")).alias("id"), F.col("l_quantity").alias("start_secs"), F.lit("").alias("text"))
     grouped = relational.group_by_meeting(rows, x.meetings)
-    from pyspark.sql import Window as W
-
-    order = W.orderBy(F.col("start_time").desc_nulls_last(), F.when(F.col("start_time").isNull(), F.col("id")).desc_nulls_last(), F.array_min(F.transform("segments", lambda s: s["id"])))
-    return grouped.select(F.row_number().over(order).alias("place"), "id", F.size("segments").cast("long").alias("n"))
+    first = F.array_min(F.transform("segments", lambda s: s["id"]))
+    keys = grouped.select("id", "start_time", F.size("segments").cast("long").alias("n"), first.alias("seen"), F.when(F.col("start_time").isNull(), F.floor(F.col("id") / 65536)).alias("block"))
+    # only days and blocks of undated ids are ranked in one task; meetings are ranked within them
+    by = W.orderBy(F.col("t").desc_nulls_last(), F.col("b").desc()).rowsBetween(W.unboundedPreceding, -1)
+    sizes = keys.groupBy(F.col("start_time").alias("t"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("c").over(by), F.lit(0)))
+    within = W.partitionBy("start_time", "block").orderBy(F.when(F.col("start_time").isNull(), F.col("id")).desc_nulls_last(), "seen")
+    placed = keys.join(offsets, F.col("start_time").eqNullSafe(F.col("t")) & F.col("block").eqNullSafe(F.col("b")))
+    return placed.select((F.col("before") + F.row_number().over(within)).cast("int").alias("place"), "id", "n")
 
 
 @query("u1_keep_first", None, "select event_id, user_id, event_type, value from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events) where n = 1")
@@ -366,17 +371,6 @@ def _(x: Frames) -> DataFrame:
     return timeline.pack_runs(runs, most_secs=40000.0).select("meeting_id", "run_idx", "window_idx")
 
 
-@query("t2_absorb_slivers")
-def _(x: Frames) -> DataFrame:
-    close = x.words.withColumns({"start": F.col("word_idx") * 0.3, "end": F.col("word_idx") * 0.3 + 0.25})
-    return timeline.absorb_slivers(timeline.speaker_segments(close)).select("meeting_id", "seg_idx", "speaker_num", F.size("words").alias("n"), words_text(F.col("words")).alias("text"))
-
-
-@query("t1_align_speakers")
-def _(x: Frames) -> DataFrame:
-    return timeline.align_speakers(x.words, x.turns, bucket_secs=BUCKET).select("meeting_id", "seg_idx", "speaker_num", F.size("words").alias("n"), words_text(F.col("words")).alias("text"))
-
-
 @query("t4_segments_to_turns", "words", """
 + flag as (select *, case when speaker_num is not distinct from lag(speaker_num) over w and word_idx > 0 then 0 else 1 end as new from words window w as (partition by meeting_id order by word_idx)),
 run as (select *, sum(new) over (partition by meeting_id order by word_idx) - 1 as seg from flag)
@@ -479,29 +473,22 @@ def _(x: Frames) -> DataFrame:
     return x.table("embeddings").select("vec_id", F.round(vectors.cosine_similarity(F.col("embedding"), F.reverse("embedding")), 5).alias("similarity"))
 
 
-def _voice_turns(x: Frames) -> DataFrame:
+def voice_turns(x: Frames) -> DataFrame:
     k = F.col("vec_id")
     return x.table("embeddings").select((k % 5).alias("meeting_id"), k.alias("turn_idx"), (k * 3.0).alias("start"), (k * 3.0 + 1 + k % 3).alias("end"), (k % 20).cast("int").alias("speaker_num"), "embedding")
 
 
 @query("t10_merge_speakers")
 def _(x: Frames) -> DataFrame:
-    return voices.merge_speakers(_voice_turns(x), threshold=0.2)
+    return voices.merge_speakers(voice_turns(x), threshold=0.2)
 
 
 @query("t9_agglomerate")
 def _(x: Frames) -> DataFrame:
-    centroids = voices.speaker_centroids(_voice_turns(x)).withColumn("weight", F.lit(1.0))
+    centroids = voices.speaker_centroids(voice_turns(x)).withColumn("weight", F.lit(1.0))
     return voices.cluster_speakers(centroids, threshold=0.2)
 
 
-@query("t13_identity")
-def _(x: Frames) -> DataFrame:
-    people = x.table("embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("voice_embedding"))
-    resolved, new = voices.resolve_people(voices.speaker_centroids(_voice_turns(x)), people)
-    return resolved.join(new.select(F.col("id").cast("long").alias("person_id"), F.lit(True).alias("added")), "person_id", "left").withColumn("added", F.coalesce("added", F.lit(False)))
-
-
 # --- strings, times, JSON ---------------------------------------------------------------
 
 
@@ -672,8 +659,6 @@ select meeting_id, turn_idx, n from (select *, row_number() over (partition by m
 def _(x: Frames) -> DataFrame:
     whole = x.turns.withColumns({"end": F.round(F.col("end") - F.col("start"), 3), "start": F.lit(0.0)})
     found = voices.longest_turns(whole, ["meeting_id"], least_secs=5400.0)
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("meeting_id").orderBy(F.col("end").desc(), "turn_idx")
     return found.select("meeting_id", "turn_idx", F.row_number().over(order).alias("n"))
 
@@ -709,22 +694,3 @@ def _(x: Frames) -> DataFrame:
 @query("snk10_padded_table", None, "select rtrim(rpad(n_nationkey::varchar, 2, ' ') || '  ' || rpad(n_name, (select max(length(n_name)) from nation)::int, ' ')) as value from nation")
 def _(x: Frames) -> DataFrame:
     return sinks.padded_table(x.bodies, ["id", "name"])
-
-
-@query("t17_ingest")
-def _(x: Frames) -> DataFrame:
-    key = F.concat(F.lit("v"), F.col("meeting_id")).alias("meeting_id")
-    of = lambda rows: rows.withColumn("meeting_id", key)
-    videos = x.words.select(key.alias("id"), F.concat(F.lit("c"), F.col("meeting_id") % 4).alias("channel_id"), F.lit("t").alias("title"), F.lit("").alias("description"), F.lit(60.0).alias("duration")).distinct()
-    e = x.table("embeddings")
-    centroids = voices.speaker_centroids(e.select((F.col("vec_id") % 5).alias("meeting_id"), (F.col("vec_id") % 4).cast("int").alias("speaker_num"), F.col("vec_id").alias("turn_idx"), F.lit(0.0).alias("start"), F.lit(2.0).alias("end"), "embedding"))
-    tables = {
-        "meetings": x.spark.createDataFrame([(1, 1, "v3")], "id int, body_id int, youtube_id string"),
-        "people": e.filter("vec_id < 3").select(F.col("vec_id").cast("int").alias("id"), F.lit("p").alias("name"), F.col("embedding").alias("voice_embedding")),
-        "segments": x.spark.createDataFrame([(1, 1)], "id int, meeting_id int"),
-        "video_sources": x.spark.createDataFrame([(i, i + 1, f"c{i}") for i in range(3)], "id int, body_id int, youtube_id string"),
-    }
-    new, status = ingest.ingest(ingest.Batch(videos, of(x.words.drop("speaker_num")), of(x.turns), of(centroids)), tables, bucket_secs=BUCKET)
-    counts = new["segments"].groupBy("meeting_id").agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("person_id").alias("people"))
-    named = new["meetings"].select(F.col("youtube_id").alias("id"), F.col("id").alias("meeting_id"))
-    return status.join(named, "id", "left").join(counts, "meeting_id", "left").select("id", "status", "segments", "people")

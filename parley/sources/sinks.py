@@ -19,6 +19,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on the path's own file system; the file must not exist."""
+    files, place = _hadoop(spark, path)
+    out = files.create(place, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def replace_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Write all tables to a staging folder, then swap it in: either every table is new or none is."""
     spark = next(iter(tables.values())).sparkSession

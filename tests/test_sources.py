@@ -155,3 +155,11 @@ def test_stream_is_idempotent(spark, tmp_path):
 def test_collect_words_keeps_order(spark):
     rows = spark.createDataFrame([(1, 1, "b", 1.0, 2.0), (1, 0, "a", 0.0, 1.0)], "meeting_id int, word_idx int, text string, start double, end double")
     assert [w.text for w in collect_words(rows, ["meeting_id"], "word_idx").first().words] == ["a", "b"]
+
+
+def test_write_text_keeps_what_is_there(spark, tmp_path):
+    sinks.write_text(spark, str(tmp_path / "a" / "t.txt"), "häß\n")
+    assert (tmp_path / "a" / "t.txt").read_text(encoding="utf-8") == "häß\n"
+    with pytest.raises(Exception, match="exist"):
+        sinks.write_text(spark, str(tmp_path / "a" / "t.txt"), "other")
+    assert (tmp_path / "a" / "t.txt").read_text(encoding="utf-8") == "häß\n"

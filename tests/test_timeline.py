@@ -175,3 +175,11 @@ def test_transcribe_seam(spark):
 
     got = [(r.word_idx, r.text, r.start) for r in timeline.transcribe(windows, decode).orderBy("word_idx").collect()]
     assert got == [(0, "hello", 1.0), (1, "hello", 11.0)]
+
+
+def test_words_kept_shows_lost_and_added_words(spark):
+    words = spark.createDataFrame([(m, i) for m, n in ((1, 3), (2, 2), (3, 1)) for i in range(n)], "meeting_id int, word_idx int")
+    word = ("w", 0.0, 1.0)
+    segments = spark.createDataFrame([(1, [word, word]), (1, [word]), (2, [word]), (4, [word])], "meeting_id int, words array<struct<text:string,start:double,end:double>>")
+    found = {tuple(r) for r in timeline.words_kept(words, segments).collect()}
+    assert found == {(1, 3, 3), (2, 2, 1), (3, 1, 0), (4, 0, 1)}
