@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_tree_lm, warc_zip
+from parley.llm import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_tree_lm, token_alignment, warc_zip
 from parley.llm.common import shared_folder
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,13 @@ def tokenizer_files() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path(TOKENIZER)}
 
 
+def aligned_files() -> dict[str, str]:
+    """The two tokenizers that are aligned."""
+    import public_tokenizers
+
+    return {"a": public_tokenizers.path(TOKENIZER), "b": public_tokenizers.path(PIECES)}
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -71,6 +78,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda groups: token_alignment.digest(groups) if groups else ""
+    return token_alignment.align(_read(spark, sf_dir, "documents"), **aligned_files(), show=digest).withColumnRenamed("groups", "groups_sha256")
+
+
 _OP2_SQL = """
 with p as (
   select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
@@ -132,5 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
 }
 ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql()}
