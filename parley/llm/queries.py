@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_tree_lm, token_alignment, warc_zip
+from parley.llm import conversation_trie, decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_tree_lm, token_alignment, warc_zip
 from parley.llm.common import shared_folder
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -83,6 +83,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(_read(spark, sf_dir, "documents"), **aligned_files(), show=digest).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
 _OP2_SQL = """
 with p as (
   select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
@@ -133,6 +137,31 @@ judged as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed_rules = '' as kept, failed_rules from judged"""
 
 
+#: h is CRC-32 by its definition, bit by bit; nodes are the distinct prefixes, and each adds to all prefixes of its own.
+_OP12_SQL = """
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+own as (select conv_id, list({'role': role, 'text': text} order by turn nulls first, sha256(length(role)::varchar || ':' || role || text)) as seq from t group by conv_id),
+keyed as (
+  select conv_id, seq, conv_id - conv_id % 100 as lead,
+    xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end))) % 6 as h
+  from own),
+whole as (
+  select k.conv_id, list_concat(coalesce(o.seq[1:k.h], []), k.seq[k.h + 1:len(k.seq)]) as seq from keyed k left join own o on o.conv_id = k.lead),
+prefixes as (select conv_id, len(seq) as n, d, seq[1:d] as path from (select conv_id, seq, unnest(range(0, len(seq) + 1)) as d from whole)),
+nodes as (
+  select path, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '')) as ends_sha256
+  from prefixes group by path),
+kids as (select path[1:depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by all),
+known as (select nodes.*, coalesce(n_children, 0) as n_children, case when depth > 0 then length(path[depth].text) else 0 end as size from nodes left join kids using (path)),
+sums as (
+  select path[1:d] as path, sum((n_convs - 1) * size)::bigint as saved_tokens, count(*) filter (where n_children = 0) as n_leaves
+  from (select *, unnest(range(0, depth + 1)) as d from known) group by all)
+select a.conv_id, a.depth, b.conv_id as parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, a.ends_sha256
+from known a join sums using (path) left join nodes b on a.depth > 0 and b.path = a.path[1:a.depth - 1]"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
@@ -145,5 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
+    "op12_conversation_trie": op12_conversation_trie,
 }
-ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql()}
+ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql(), "op12_conversation_trie": _OP12_SQL}
