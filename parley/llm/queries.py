@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import conversation_trie, decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_tree_lm, token_alignment, warc_zip
+from parley.llm import conversation_trie, decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, suffix_tree_lm, token_alignment, warc_zip
 from parley.llm.common import shared_folder
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -87,6 +87,11 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(_read(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), show=lambda kept: F.sha2(kept, 256))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 _OP2_SQL = """
 with p as (
   select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
@@ -175,5 +180,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql(), "op12_conversation_trie": _OP12_SQL}
