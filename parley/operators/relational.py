@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from parley.functions import strings, times
+from parley.operators.numbering import dense_number, greatest
 
 SEARCH_LIMIT, PERSON_SEGMENTS = 50, 100
 
@@ -95,8 +96,8 @@ def resolve_slug(bodies: DataFrame, slug: str) -> DataFrame:
     """Bodies with this slug, ignoring case; an unknown slug is an error that lists the known ones."""
     found = bodies.filter(strings.slug(F.col("name_short")) == slug.lower())
     if found.isEmpty():
-        known = bodies.select(strings.slug(F.col("name_short")).alias("s")).distinct().orderBy("s").limit(100).collect()
-        raise ValueError(f"unknown body {slug!r}; known: {', '.join(r.s for r in known)}")
+        known = bodies.agg(F.array_join(F.sort_array(F.collect_set(strings.slug(F.col("name_short")))), ", ").alias("s")).first().s
+        raise ValueError(f"unknown body {slug!r}; known: {known}")
     return found
 
 
@@ -145,13 +146,11 @@ def delete_childless(parents: DataFrame, children: DataFrame, key: str) -> DataF
 
 
 def insert_missing(table: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
-    """Append the rows whose key is not there yet; ids go on after the greatest one."""
+    """Append the rows whose key is not there yet; ids go on after the greatest one, in order of the keys."""
     keys = [key] if isinstance(key, str) else key
-    fresh = new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
-    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    order = W.orderBy(*keys)  # over the new rows alone
-    numbered = fresh.drop("id").withColumn("_n", F.row_number().over(order)).join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_n")).cast(dict(table.dtypes)["id"]))
-    return table.unionByName(numbered.drop("_n", "_top"), allowMissingColumns=True)
+    fresh = new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti").drop("id")
+    numbered = dense_number(fresh, keys, after=greatest(table), kind=dict(table.dtypes)["id"])
+    return table.unionByName(numbered, allowMissingColumns=True)
 
 
 def insert_if_exists(table: DataFrame, row: DataFrame, condition: DataFrame) -> DataFrame:

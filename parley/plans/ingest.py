@@ -10,10 +10,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from parley.operators import timeline, voices
+from parley.operators.numbering import dense_number, greatest, written
 from parley.schema import derive_meetings, derive_segments, seconds
+from parley.sources.versions import TableSet
 
 
 @dataclass
@@ -42,8 +43,7 @@ def ingest(batch: Batch, tables: dict[str, DataFrame], *, bucket_secs: float = t
     """
     status = plan(batch.videos, tables["meetings"], tables["video_sources"])
     taken = status.filter("status = 'ingested'").select("id", "body_id")
-    top = lambda t: tables[t].agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    number = lambda rows, order, t: rows.withColumn("_n", F.row_number().over(W.orderBy(*order))).join(F.broadcast(top(t))).withColumn("id", (F.col("_top") + F.col("_n")).cast("int")).drop("_n", "_top")
+    number = lambda rows, order, t: dense_number(rows, order, after=greatest(tables[t]), kind="int")
     new = number(batch.videos.dropDuplicates(["id"]).join(taken, "id").withColumnRenamed("id", "youtube_id"), ["youtube_id"], "meetings")
     meetings = derive_meetings(new.select("id", "body_id", "youtube_id", "title", "description", F.lit(None).cast("timestamp").alias("start_time"), seconds(F.col("duration")).alias("duration_secs")))
     only = taken.select(F.col("id").alias("meeting_id"))
@@ -55,3 +55,15 @@ def ingest(batch: Batch, tables: dict[str, DataFrame], *, bucket_secs: float = t
     segments = derive_segments(rows.select("id", "meeting_id", F.col("person_id").cast("int").alias("person_id"), F.col("speaker_num").alias("speaker_number"), "words"))
     out = {t: tables[t].unionByName(added, allowMissingColumns=True) for t, added in (("meetings", meetings), ("people", people), ("segments", segments))}
     return out, status
+
+
+def ingest_into(store: TableSet, batch: Batch, *, bucket_secs: float = timeline.BUCKET_SECS) -> tuple[int, DataFrame]:
+    """Ingest a batch into versioned tables: its meetings, people and segments appear together, in one commit. Returns the version and the status of every video.
+
+    Another commit to these tables meanwhile is a ``Conflict``; ingested videos are skipped when the batch is repeated.
+    """
+    base = store.version()
+    tables = store.read(version=base)
+    status = written(plan(batch.videos, tables["meetings"], tables["video_sources"]))
+    new, _ = ingest(batch, tables, bucket_secs=bucket_secs)
+    return store.commit(new, base=base), status

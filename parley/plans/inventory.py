@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,17 +9,13 @@ from pyspark.sql import functions as F
 
 from parley.functions import strings, times, vectors
 from parley.operators import relational, talk, timeline, voices, wer
+from parley.operators.numbering import new_folder
 from parley.plans import ingest
 from parley.plans.catalogue import BUCKET, query, voice_turns
 from parley.plans.frames import Frames
 from parley.schema import derive_segments, words_text
-from parley.sources import psv, sinks, snapshot
-
-
-def _folder(x: Frames) -> str:
-    """A new folder that the driver and the executors share."""
-    base = x.spark.conf.get("spark.checkpoint.dir", None) or x.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/parley-{uuid.uuid4().hex}"
+from parley.sources import psv, seed, sinks, snapshot
+from parley.sources.versions import TableSet
 
 
 # --- alignment folds --------------------------------------------------------------
@@ -68,19 +63,21 @@ def _(x: Frames) -> DataFrame:
 
 # --- identity ---------------------------------------------------------------------------
 
-#: Centroids of ``turns`` (meeting_id, speaker_num, secs, turn_idx, v), then people for them: nearest known ones, else new ones in order of arrival.
+#: Centroids of ``turns`` (meeting_id, speaker_num, secs, turn_idx, v), then people for them in order of arrival: the nearest one there is, stored or added before, else a new one.
 _RESOLVED = """
 long as (select *, row_number() over (partition by meeting_id, speaker_num order by secs desc, turn_idx) as n from turns where secs >= 1.5),
 dims as (select meeting_id, speaker_num, unnest(v)::double as c, generate_subscripts(v, 1) as i from long where n <= 3),
 mean as (select meeting_id, speaker_num, i, avg(c)::float::double as c from dims group by all),
 asked as (select *, row_number() over (order by meeting_id, speaker_num) as q from (select meeting_id, speaker_num, list(c order by i) as v from mean group by all)),
-hit as (select q, person_id from (select q, vec_id as person_id, 1 - list_cosine_similarity(a.v, e.embedding::double[]) as d, row_number() over (partition by q order by 1 - list_cosine_similarity(a.v, e.embedding::double[]), vec_id) as n from asked a join embeddings e on true) where n = 1 and d < 0.45),
+hit as (select q, person_id, d from (select q, vec_id as person_id, 1 - list_cosine_similarity(a.v, e.embedding::double[]) as d, row_number() over (partition by q order by 1 - list_cosine_similarity(a.v, e.embedding::double[]), vec_id) as n from asked a join embeddings e on true) where n = 1 and d < 0.45),
 missed as (select *, row_number() over (order by q) as k from asked where q not in (select q from hit)),
-grown as (select 0::bigint as k, 0::bigint as q, (select max(vec_id) from embeddings) as person_id, (select max(vec_id) from embeddings) as top, [[0.0::double]] as known
-  union all select k, q, top + case when near > 0 then near else len(known) end, top, case when near > 0 then known else list_append(known, v) end from (
-    select *, case when least_d < 0.45 then list_position(ds, least_d) else 0 end as near from (select *, list_min(ds) as least_d from (
-      select m.k, m.q, m.v, g.top, g.known, list_transform(g.known[2:], lambda u: 1 - list_cosine_similarity(u, m.v)) as ds from grown g join missed m on m.k = g.k + 1)))),
-resolved as (select meeting_id, speaker_num, coalesce(h.person_id, g.person_id) as person_id from asked a left join hit h on h.q = a.q left join grown g on g.q = a.q)"""
+grown as (select 0::bigint as k, 0::bigint as q, (select max(vec_id) from embeddings) as person_id, [[0.0::double]] as known, false as new, [0.0::double] as v
+  union all select k, q, case when near then person_id else person_id + 1 end, case when near then known else list_append(known, v) end, not near, v from (
+    select m.k, m.q, m.v, g.person_id, g.known, coalesce(list_min(list_transform(g.known[2:], lambda u: 1 - list_cosine_similarity(u, m.v))) < 0.45, false) as near from grown g join missed m on m.k = g.k + 1)),
+fresh as (select q, person_id, v from grown where new),
+close as (select q, person_id, d from hit union all select q, person_id, -1 from fresh
+  union all select a.q, f.person_id, 1 - list_cosine_similarity(a.v, f.v) from asked a join fresh f on f.q < a.q where 1 - list_cosine_similarity(a.v, f.v) < 0.45),
+resolved as (select meeting_id, speaker_num, min_by(person_id, {'d': d, 'p': person_id}) as person_id from asked a join close using (q) group by all)"""
 
 
 @query("t13_identity", None, """
@@ -307,7 +304,7 @@ def _(x: Frames) -> DataFrame:
 
 @query("src5_json_lines", None, "select o_orderkey as id, o_orderpriority as name from orders")
 def _(x: Frames) -> DataFrame:
-    folder = _folder(x)
+    folder = new_folder(x.spark)
     rows = x.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
     sinks.json_lines(rows).unionByName(x.table("region").select(F.lit("").alias("value"))).write.text(folder)  # with blank lines
     return snapshot.jsonl(x.spark, folder, "id long, name string")
@@ -324,7 +321,7 @@ select 'meetings' as kind, 'm' || r_regionkey as slug, r_name as name from regio
 union all select 'bodies', 'b' || n_nationkey, n_name from nation union all select 'jurisdictions', 'j' || r_regionkey, r_name from region""")
 def _(x: Frames) -> DataFrame:
     """Written as a snapshot folder (JSON lines and one document a meeting folder), then loaded."""
-    folder = _folder(x)
+    folder = new_folder(x.spark)
     places = x.table("region").select(F.concat(F.lit("j"), F.col("r_regionkey")).alias("id"), F.col("r_name").alias("name"))
     bodies = x.table("nation").select(F.concat(F.lit("b"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"))
     people = x.table("nation").select(F.concat(F.lit("p"), F.col("n_nationkey")).alias("slug"), F.col("n_name").alias("name"))
@@ -358,20 +355,61 @@ def _(x: Frames) -> DataFrame:
     return snapshot.to_rows({"jurisdictions": places.drop("r_regionkey"), "bodies": bodies})["video_sources"].select("id", "body_id", "kind", "youtube_id", "url")
 
 
-@query("snk5_replace_tables", None, "select 'orders' as name, count(*) as n, sum(o_orderkey)::bigint as total from orders union all select 'nation', count(*), sum(n_nationkey)::bigint from nation")
+@query("snk5_replace_tables", None, "select 'orders' as name, o_orderkey as key, o_totalprice::double as value, o_orderstatus as text from orders union all select 'nation', n_nationkey, n_regionkey::double, n_name from nation")
 def _(x: Frames) -> DataFrame:
-    """Seeded with other rows first: nothing of them stays, also in the table that depends on the other."""
-    folder, tables = _folder(x), {"orders": x.table("orders"), "nation": x.table("nation")}
-    sinks.replace_tables({n: rows.unionByName(rows) for n, rows in tables.items()}, folder)
+    """Seeded with other rows and one more table first: nothing of them stays."""
+    folder, tables = new_folder(x.spark), {"orders": x.table("orders"), "nation": x.table("nation")}
+    sinks.replace_tables({n: rows.unionByName(rows) for n, rows in tables.items()} | {"region": x.table("region")}, folder)
     sinks.replace_tables(tables, folder)
-    again = snapshot.tables(x.spark, folder, ["orders", "nation"])
-    total = lambda n, key: again[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("total"))
-    return total("orders", "o_orderkey").unionByName(total("nation", "n_nationkey"))
+    again = TableSet(x.spark, folder).read()
+    assert set(again) == set(tables)
+    orders = again["orders"].select(F.lit("orders").alias("name"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("double").alias("value"), F.col("o_orderstatus").alias("text"))
+    return orders.unionByName(again["nation"].select(F.lit("nation").alias("name"), F.col("n_nationkey").alias("key"), F.col("n_regionkey").cast("double").alias("value"), F.col("n_name").alias("text")))
+
+
+@query("snk5_versions", None, """
+select 1 as version, 'orders' as name, count(*) as n, sum(o_orderkey)::bigint as total from orders
+union all select 1, 'nation', count(*), sum(n_nationkey)::bigint from nation
+union all select 2, 'orders', count(*), sum(o_orderkey)::bigint from orders where o_orderkey % 3 = 0
+union all select 2, 'nation', count(*), sum(n_nationkey)::bigint from nation""")
+def _(x: Frames) -> DataFrame:
+    """A commit of one table leaves the others; the version before can still be read."""
+    store = TableSet(x.spark, new_folder(x.spark))
+    store.commit({"orders": x.table("orders"), "nation": x.table("nation")})
+    store.commit({"orders": store.read()["orders"].filter("o_orderkey % 3 = 0")})
+    out = None
+    for version in (1, 2):
+        for name, key in (("orders", "o_orderkey"), ("nation", "n_nationkey")):
+            part = store.read([name], version=version)[name].agg(F.lit(version).alias("version"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("total"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("snk4_reseed", None, """
+with b as (select row_number() over (order by n_name) as id, n_name, r_name from nation join region on r_regionkey = n_regionkey),
+p as (select row_number() over (order by r_name) as id, r_name from region)
+select 'jurisdictions' as name, id::int as id, r_name as text, null::int as parent from p
+union all select 'bodies', b.id::int, n_name, p.id::int from b join p using (r_name)
+union all select 'people', s_suppkey::int, s_name, null from supplier""")
+def _(x: Frames) -> DataFrame:
+    """Seeded twice: meetings and segments, which depend on the bodies, are cleared, people are not, and ids start at 1 each time."""
+    r = x.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    n = x.table("nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("jurisdiction_id"), F.col("n_name").alias("name"))
+    p = x.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    tables = {"jurisdictions": r, "bodies": n, "people": p, "meetings": x.meetings.select("id", "body_id"), "segments": x.segments.select("id", "meeting_id", "person_id")}
+    store = TableSet(x.spark, new_folder(x.spark))
+    store.commit(tables)
+    seeds = {"bodies": n.join(r.select(F.col("id").alias("jurisdiction_id"), F.col("name").alias("_r")), "jurisdiction_id").select(F.col("name").alias("key"), F.col("_r").alias("jurisdiction_id"), "name"), "jurisdictions": r.select(F.col("name").alias("key"), "name")}
+    for _ in range(2):
+        seed.reseed(store, seeds)
+    now = store.read()
+    shown = lambda t, parent=None: now[t].select(F.lit(t).alias("name"), F.col("id").cast("int").alias("id"), F.col("name" if t in ("jurisdictions", "bodies", "people") else "id").cast("string").alias("text"), (F.col(parent) if parent else F.lit(None)).cast("int").alias("parent"))
+    return shown("jurisdictions").unionByName(shown("bodies", "jurisdiction_id")).unionByName(shown("people")).unionByName(shown("meetings", "body_id")).unionByName(shown("segments", "meeting_id"))
 
 
 @query("snk9_memo", None, "select n_nationkey, n_name from nation")
 def _(x: Frames) -> DataFrame:
-    folder = _folder(x)
+    folder = new_folder(x.spark)
     sinks.memo(x.spark, folder, lambda: x.table("nation").select("n_nationkey", "n_name"))
     return sinks.memo(x.spark, folder, lambda: x.table("nation").limit(0))  # not made again
 

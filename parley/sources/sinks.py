@@ -1,13 +1,18 @@
-"""Writers: all-or-nothing table sets, memoised stages and status output."""
+"""Writers: all-or-nothing table sets, files with a manifest, memoised stages and status output."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.sources.versions import TableSet
+
 
 def _hadoop(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -27,20 +32,32 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def replace_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Write all tables to a staging folder, then swap it in: either every table is new or none is."""
-    spark = next(iter(tables.values())).sparkSession
-    staging = f"{folder.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    for name, rows in tables.items():
-        rows.write.parquet(f"{staging}/{name}.parquet")
-    files, target = _hadoop(spark, folder)
-    old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}.old-{uuid.uuid4().hex}")
-    if files.exists(target):
-        files.rename(target, old)
-    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(staging), target):
-        files.rename(old, target)
-        raise OSError(f"cannot replace {folder}")
-    files.delete(old, True)
+def replace_tables(tables: dict[str, DataFrame], folder: str) -> int:
+    """Make the given tables the only ones of a versioned folder, in one commit; ``TableSet`` reads them."""
+    return TableSet(next(iter(tables.values())).sparkSession, folder).commit(tables, alone=True)
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write ``content`` of each row as the file ``path`` below ``folder`` and return the manifest: path, sha256, n_bytes.
+
+    Tasks write to a name of their own first, so a file is whole wherever it
+    exists; a repeated task writes the same bytes again. ``folder`` is a URI that Arrow's file systems know, or a local path.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            paths, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for path, content in zip(paths, contents, strict=True):
+                final = f"{root.rstrip('/')}/{path}"
+                files.create_dir(final.rpartition("/")[0], recursive=True)
+                draft = f"{final}.{uuid.uuid4().hex}"
+                with files.open_output_stream(draft) as out:
+                    out.write(content)
+                files.move(draft, final)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(c).hexdigest() for c in contents]), pa.array([len(c) for c in contents], pa.int64())], ["path", "sha256", "n_bytes"])
+
+    return rows.select("path", "content").mapInArrow(run, "path string, sha256 string, n_bytes long")
 
 
 def memo(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from parley.operators.numbering import dense_number
 from parley.operators.relational import keep_first, lookup
 from parley.schema import derive_sources
 
@@ -65,16 +66,13 @@ def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def to_rows(snapshot: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables with 1-based ids in order of their string keys; an unknown key is an error.
-
-    The tables numbered here are small dimensions; ids need one total order.
-    """
-    number = lambda df, key: df.withColumn("_key", F.col(key)).withColumn("_id", F.row_number().over(W.orderBy(key)))
+    """Tables with 1-based ids in order of their string keys; an unknown key is an error."""
+    number = lambda df, key: dense_number(df.withColumn("_key", F.col(key)), ["_key"], into="_id", kind="int")
     places = number(snapshot["jurisdictions"], "id")
     keys = places.select(F.col("_key").alias("jurisdiction_id"), F.col("_id").alias("_jurisdiction"))
     bodies = number(lookup(snapshot["bodies"], keys, "jurisdiction_id", "_jurisdiction", required=True), "id")
     sources = bodies.select(F.col("_id").alias("body_id"), F.posexplode("video_sources").alias("_pos", "s"))
-    numbered = sources.withColumn("id", F.row_number().over(W.orderBy("body_id", "_pos")))
+    numbered = dense_number(sources, ["body_id", "_pos"], kind="int")
     return {
         "jurisdictions": places.select(F.col("_id").alias("id"), "name", "name_short", "state"),
         "bodies": bodies.select(F.col("_id").alias("id"), F.col("_jurisdiction").alias("jurisdiction_id"), "name", "name_short", "timezone"),

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -119,6 +120,70 @@ def test_identity_sees_people_added_before(spark):
     assert sorted(r.id for r in new.collect()) == [8, 9]
 
 
+def sequential(speakers, people, limit=0.45):
+    """The rule itself: one speaker after the other, each sees whom those before it added."""
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    ids, units = [i for i, _ in people], [unit(v) for _, v in people]
+    out = {}
+    for key, v in sorted(speakers, key=lambda s: s[0]):
+        d = np.round(1 - np.array(units) @ unit(v), 12) if units else np.array([9.0])
+        at = min(np.flatnonzero(d == d.min()), key=lambda i: ids[i]) if units else 0
+        if d[at] >= limit:
+            ids.append(max(ids, default=0) + 1)
+            units.append(unit(v))
+            at = len(ids) - 1
+        out[key] = ids[at]
+    return out
+
+
+@pytest.mark.parametrize(("n", "voices_", "at_once"), [(2000, 60, 300), (2000, 700, 2048), (150, 150, 7)])
+def test_identity_equals_the_sequential_rule(spark, n, voices_, at_once):
+    """Speakers of a few stored and many new voices, one voice a third of all, some close to two people."""
+    draw = np.random.default_rng(n + voices_)
+    centres = draw.normal(size=(voices_, 12))
+    people = [(i + 3, (centres[i] + draw.normal(size=12) * 0.2).astype(np.float32).tolist()) for i in range(voices_ // 5)]
+    voice = np.where(draw.random(n) < 1 / 3, voices_ - 1, draw.integers(0, voices_, n))
+    speakers = [((int(k) // 7, int(k) % 7), (centres[v] + draw.normal(size=12) * 0.5).astype(np.float32).tolist()) for k, v in zip(draw.permutation(n), voice, strict=True)]
+    given = spark.createDataFrame([(*k, v) for k, v in speakers], "meeting_id int, speaker_num int, centroid array<float>").repartition(5)
+    known = spark.createDataFrame([(i, "p", v) for i, v in people], "id int, name string, voice_embedding array<float>")
+    resolved, new = voices.resolve_people(given, known, at_once=at_once)
+    want = sequential(speakers, people)
+    assert {(r.meeting_id, r.speaker_num): r.person_id for r in resolved.collect()} == want
+    assert sorted(r.id for r in new.collect()) == sorted(set(want.values()) - {i for i, _ in people})
+
+
+def test_nearest_person_skips_blocks_and_loses_nothing(spark):
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(30, 48))
+    people = [(i, (centres[i % 30] + draw.normal(size=48) * 0.1).astype(np.float32).tolist()) for i in range(3000)] + [(3000, [0.0] * 48), (3001, [0.0] * 48)]
+    people += [(3002 + i, people[i][1]) for i in range(40)]  # equal voices: the least id wins
+    rows = spark.createDataFrame(people, "id long, voice_embedding array<float>").repartition(4)
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("voice_embedding").alias("embedding"))
+    units = np.array([np.array(v) / (np.linalg.norm(v) or 1) for _, v in people])
+    for others in (False, True):
+        got = {r.query_id: (r.person_id, r.distance) for r in voices.nearest_person(asked, rows, max_distance=3.0, block=64, others_only=others).collect()}
+        assert len(got) == 61
+        for i, (p, d) in got.items():
+            every = np.round(1 - units @ units[i], 12)
+            if others:
+                every[i] = np.inf
+            assert d == pytest.approx(every.min(), abs=1e-9) and p == int(np.flatnonzero(every <= every.min() + 1e-12)[0])
+    share = voices.share_skipped(asked, rows, max_distance=3.0, block=64).first()
+    assert share.every == 61 * 3042 and share.skipped > 0.7, share
+    assert voices.nearest_person(asked.limit(0), rows).count() == 0 and voices.nearest_person(asked, rows.limit(0)).count() == 0
+
+
+def test_agglomerate_is_quadratic_and_handles_ties():
+    draw = np.random.default_rng(2)
+    n = 1200
+    near = (draw.normal(size=(40, 16))[draw.integers(0, 40, n)] + draw.normal(size=(n, 16)) * 0.15).tolist()
+    began = time.perf_counter()
+    groups = voices.agglomerate(near, [1.0] * n, 0.5)
+    assert time.perf_counter() - began < 20 and 20 <= max(groups) + 1 <= 60
+    assert voices.agglomerate([[1.0, 0.0]] * 4, [1.0] * 4) == [0] * 4 and voices.agglomerate([], []) == []
+    assert voices.agglomerate([[1, 0], [0, 1], [1, 0], [0, 1]], [1] * 4, 1.0) == [0, 1, 0, 1]
+
+
 def test_merge_speakers(spark):
     rows = [(1, 0, 0.0, 2.0, 5, vec(1)), (1, 1, 3.0, 6.0, 6, vec(0, 1)), (1, 2, 7.0, 9.0, 7, vec(1, 0.1)), (1, 3, 9.0, 9.5, 8, vec(0, 0, 1)), (2, 0, 0.0, 1.0, 3, vec(1))]
     got = voices.merge_speakers(spark.createDataFrame(rows, "meeting_id int, turn_idx int, start double, end double, speaker_num int, embedding array<float>"))
