@@ -53,12 +53,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like ``durable``, but dealt by ``key`` into as many buckets as the session has shuffle partitions: later joins on the key leave these rows where they are."""
+    spark, name = df.sparkSession, f"parley_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", f"{shared_folder(df)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def release(df: DataFrame) -> None:
     """Let Spark's cleaner drop the shuffle files of steps whose results are written; else it waits for the driver's next full garbage collection."""
     gc.collect()
     df.sparkSession._jvm.System.gc()
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``durable`` wrote, once all that is made from it is written; then let go of shuffle files too."""
+    files = df.inputFiles()
+    if files:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    release(df)
+
+
 def columns(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast to the given types; extra columns are left behind."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))

@@ -37,10 +37,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import columns, durable, mix, powers, release
+from parley.llm.common import bucketed, columns, discard, durable, mix, powers, release
 
 THRESHOLD = 200
 #: Bytes of text that are worked on at once.
@@ -116,10 +117,13 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """tid, key, data, copies: each text of a table once, as bytes."""
+    """tid, key, data, copies: each text of a table once, as bytes, in buckets by ``tid``."""
     given = columns(docs, text="string").select(F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     once = given.groupBy(F.unhex(F.sha2("data", 256)).alias("key")).agg(F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
-    return durable(once.select(F.monotonically_increasing_id().alias("tid"), "key", "data", "copies"))
+    # in the order of their keys, so that a repeated task gives the same numbers
+    texts = bucketed(once.sortWithinPartitions("key").select(F.monotonically_increasing_id().alias("tid"), "key", "data", "copies"), "tid")
+    release(texts)
+    return texts
 
 
 def blocks(texts: DataFrame, start: int, threshold: int) -> DataFrame:
@@ -138,16 +142,19 @@ def blocks(texts: DataFrame, start: int, threshold: int) -> DataFrame:
     return texts.select("tid", "data", "copies").mapInArrow(run, "name long, whole long, tid long, lo int, n int, weight long")
 
 
-def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
-    """Rows whose ranks occur in another row too, found as neighbours of the sorted rows.
+def marked(rows: DataFrame, ranks: list[str], keep: list[str]) -> DataFrame:
+    """Rows that stand next to one of equal ranks (``equal``), and the first and last rows of each task (``edge``), written.
 
-    Rows are dealt by ranges of ranks and position, and sorted. A row next to
-    one of its ranks is repeated; the first and last rows of the tasks also meet each other.
+    Rows are dealt by ranges of ranks and position, and sorted by them. Of rows inside a task only the columns ``keep`` are needed later.
     """
     kind = rows.schema
     names = rows.columns
     edges = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind.fields) + ", edge boolean, equal boolean"
 
+    def shown(table: pa.Table, edge: np.ndarray, equal: np.ndarray) -> pa.Table:
+        inside = [pc.if_else(pa.array(edge), table.column(c), pa.scalar(None, table.column(c).type)) if c not in keep else table.column(c) for c in names]
+        return pa.Table.from_arrays([*inside, pa.array(edge), pa.array(equal)], [*names, "edge", "equal"])
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_equal, held_edge = None, False, True
         for batch in batches:
@@ -160,16 +167,21 @@ def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
             edge[0] = held_edge
             equal[0] |= held_equal
             out = np.flatnonzero((equal | edge)[:-1])
-            part = table.take(pa.array(out)).append_column("edge", pa.array(edge[out])).append_column("equal", pa.array(equal[out]))
+            part = shown(table.take(pa.array(out)), edge[out], equal[out])
             held = table.slice(table.num_rows - 1).to_batches()[0]
             held_equal, held_edge = bool(equal[-1]), bool(edge[-1])
             yield from part.to_batches()
         if held is not None:
-            yield from pa.Table.from_batches([held]).append_column("edge", pa.array([True])).append_column("equal", pa.array([held_equal])).to_batches()
+            yield from shown(pa.Table.from_batches([held]), np.array([True]), np.array([held_equal])).to_batches()
+
+    return durable(rows.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(mark, edges))
 
-    found = durable(rows.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(mark, edges))
+
+def repeated(rows: DataFrame, ranks: list[str]) -> DataFrame:
+    """Rows, without their ranks, that occur in another row too: neighbours in a task, and outermost rows of tasks that meet each other."""
+    found = marked(rows, ranks, [c for c in rows.columns if c not in ranks])
     met = found.filter("edge").groupBy(*ranks).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")  # two rows a task at most
-    return found.filter("equal").unionByName(found.filter("edge and not equal").join(met, ranks, "left_semi")).drop("edge", "equal")
+    return found.filter("equal").unionByName(found.filter("edge and not equal").join(met, ranks, "left_semi")).drop("edge", "equal", *ranks)
 
 
 def rank_pairs(texts: DataFrame, positions: DataFrame, length: int, offset: int, threshold: int) -> DataFrame:
@@ -201,12 +213,13 @@ def find_repeats(texts: DataFrame, *, threshold: int = THRESHOLD, start: int | N
     ``start`` is the first length that is ranked: less than the threshold, which doubling reaches from there.
     """
     length = start or threshold // 2
-    heads = repeated(durable(blocks(texts, length, threshold)), ["name"])
-    shared = heads.select("name", "whole", "tid", "lo", "n", "weight")
+    every = durable(blocks(texts, length, threshold))
+    shared = marked(every, ["name"], every.columns)  # a few outermost rows may be alone; they make no difference below
+    discard(every)
     classes = durable(shared.groupBy("name", "whole").agg(F.sum("weight").alias("times"), F.first("tid").alias("tid"), F.first("lo").alias("lo"), F.first("n").alias("n")))
-    release(classes)
     again = classes.filter("times > 1").select("name", "whole")
-    spans = shared.filter("weight = 1").join(again, ["name", "whole"]).select("tid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (threshold - 1)).alias("end"))
+    spans = durable(shared.filter("weight = 1").join(again, ["name", "whole"]).select("tid", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (threshold - 1)).alias("end")))
+    discard(shared)
     mixed = classes.groupBy("name").agg(F.count(F.lit(1)).alias("_classes"), F.min("times").alias("_least")).filter("_classes > 1 and _least = 1").select("name")
     positions = classes.join(mixed, "name", "left_semi").select("tid", "lo", "n", (F.col("times") == 1).alias("asks"))
     while length < threshold:
