@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from parley.functions import strings
-from parley.operators.timeline import active_index
 
 MIN_QUERY = 2
 
@@ -54,19 +57,37 @@ def assign_identities(segments: DataFrame, people: DataFrame, key: str = "meetin
 
 
 def find_matches(segments: DataFrame, query: str, keys: list[str]) -> DataFrame:
-    """keys, at, from, to of every case-insensitive hit in a segment's words (hits may overlap; word places inclusive)."""
+    """keys, at, from, to of every case-insensitive hit in a segment's words (hits may overlap; word places inclusive).
+
+    A segment's text is searched once from hit to hit, and the hits' offsets
+    are looked up in the running sum of its words' lengths, so the work is linear in both.
+    """
     q = query.strip().lower()
     text = F.concat_ws("", F.transform("words", lambda w: F.concat(F.lower(w["text"]), F.lit(" "))))
+    sizes = F.transform("words", lambda w: F.coalesce(F.length(w["text"]), F.lit(0)) + 1)
+    given = segments.select(*keys, text.alias("_text"), sizes.alias("_sizes"))
+    kinds = ", ".join(f"`{k}` {dict(given.dtypes)[k]}" for k in keys)
     if len(q) < MIN_QUERY:
-        return segments.select(*keys, *[F.lit(0).alias(c) for c in ("at", "from", "to")]).limit(0)
-    n = F.length("_text") - (len(q) - 1)
-    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("_text"), i, F.lit(len(q))) == q)).otherwise(F.array().cast("array<int>"))
-    sizes = F.transform("words", lambda w: F.length(w["text"]) + 1)
-    # offset of every word: running sum kept in one fold
-    offsets = F.aggregate(sizes, F.struct(F.array().cast("array<int>").alias("o"), F.lit(0).alias("n")), lambda a, x: F.struct(F.concat(a["o"], F.array(a["n"])).alias("o"), (a["n"] + x).alias("n")))["o"]
-    kept = segments.select(*keys, text.alias("_text"), offsets.alias("_o")).filter(F.col("_text").contains(q))
-    hits = kept.select(*keys, "_o", F.explode(starts).alias("_at"))
-    return hits.select(*keys, (F.col("_at") - 1).alias("at"), active_index(F.col("_o"), F.col("_at") - 1).alias("from"), active_index(F.col("_o"), F.col("_at") + (len(q) - 2)).alias("to"))
+        return given.select(*keys, *[F.lit(0).alias(c) for c in ("at", "from", "to")]).limit(0)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], [[], [], []]
+            for row, one in enumerate(batch.column(len(keys)).to_pylist()):
+                at, hits = one.find(q), []
+                while at >= 0:
+                    hits.append(at)
+                    at = one.find(q, at + 1)
+                starts = np.cumsum(batch.column(len(keys) + 1)[row].values.to_numpy())  # where the next word begins
+                places = np.array(hits, dtype=np.int32)
+                rows += [row] * len(hits)
+                for out, offsets in zip(found, (None, places, places + len(q) - 1), strict=True):
+                    out.append(places if offsets is None else np.searchsorted(starts, offsets, side="right"))
+            if rows:
+                kept = [c.take(pa.array(rows)) for c in batch.columns[: len(keys)]]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(np.concatenate(out).astype(np.int32)) for out in found]], [*keys, "at", "from", "to"])
+
+    return given.filter(F.col("_text").contains(q)).mapInArrow(search, f"{kinds}, at int, `from` int, `to` int")
 
 
 def hits_per_segment(matches: DataFrame, keys: list[str]) -> DataFrame:

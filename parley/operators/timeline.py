@@ -126,6 +126,12 @@ def active_index(times: Column, at: Column) -> Column:
     return F.size(F.filter(times, lambda x: x <= at)) - 1
 
 
+def active_place(points: DataFrame, items: DataFrame, key: str, at: str, start: str, place: str) -> DataFrame:
+    """``points`` with ``active``: the place of the last item of the key that has started by then, -1 for none."""
+    found = as_of(points, items, key, at, start, place)
+    return found.withColumn("active", F.coalesce(place, F.lit(-1))).drop(place)
+
+
 def playback_status(place: Column, active: Column) -> Column:
     return F.when(place < active, "past").when(place == active, "active").otherwise("future")
 
@@ -173,30 +179,50 @@ def is_wobble(before: Column, sliver: Column, after: Column) -> Column:
     return (F.size(sliver) > 0) & (F.size(sliver) <= SLIVER_WORDS) & (span <= SLIVER_SECS) & calm & gaps_within(near)
 
 
+def _fold_slivers(rows: pd.DataFrame) -> list[int]:
+    """Output place of each of a meeting's ordered segments; the state is the open segment's speaker and its last words."""
+    out, last, speaker, tail, skip = [], -1, None, [], False
+    words = lambda parts: list(zip(*(x.tolist() for x in parts), strict=True))  # noqa: E731  (start, end, ends a sentence) of each word
+    segments = [(None if pd.isna(own) else int(own), n, words(parts[:3]), words(parts[3:])) for own, n, *parts in rows.itertuples(index=False)]
+    for i, (own, n, head, end) in enumerate(segments):
+        if skip:
+            skip = False
+            out.append(last)
+            continue
+        if i and i + 1 < len(segments) and speaker is not None and segments[i + 1][0] == speaker and own != speaker and 0 < n <= SLIVER_WORDS and head[-1][1] - head[0][0] <= SLIVER_SECS:
+            near = tail + head + segments[i + 1][2][:PUNCTUATION_WORDS]
+            if not any(stop for *_, stop in near) and all(y[0] - x[1] <= MAX_GAP_SECS for x, y in zip(near, near[1:], strict=False)):
+                tail = (tail + head + segments[i + 1][3])[-PUNCTUATION_WORDS:]
+                skip = True
+                out.append(last)
+                continue
+        last, speaker, tail = last + 1, own, end
+        out.append(last)
+    return out
+
+
 def absorb_slivers(segments: DataFrame, key: str = "meeting_id") -> DataFrame:
     """Segments (key, seg_idx, speaker_num, words) with wobbles merged into the speaker around them.
 
-    A left fold: a merged segment's new tail is what the next step sees. It is
-    one native aggregation over the meeting's ordered segments.
+    A left fold: a merged segment's new tail is what the next step sees. The
+    fold gets a few words of each segment, of which it needs no more than the
+    longest sliver's and the last of the one before, and only marks where segments go; words are gathered by these marks.
     """
-    segment = f"struct<speaker_num:int,words:{WORDS}>"
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("seg_idx").alias("o"), F.struct(F.col("speaker_num").cast("int").alias("speaker_num"), F.col("words").cast(WORDS).alias("words")).cast(segment).alias("s")))), lambda x: x["s"])
-    start = F.struct(F.array().cast(f"array<{segment}>").alias("done"), F.lit(False).alias("skip"))
-    # places 0..n-1 are steps; at step i the segment i is appended, or merged with i+1 into the last one
-    whole = segments.groupBy(key).agg(ordered.alias("s"))
-
-    def step(acc: Column, i: Column) -> Column:
-        s = F.col("s")
-        prev, this, nxt = F.try_element_at(acc["done"], F.lit(-1)), F.get(s, i), F.get(s, i + 1)
-        framed = prev["speaker_num"].isNotNull() & (prev["speaker_num"] == nxt["speaker_num"]) & ~prev["speaker_num"].eqNullSafe(this["speaker_num"])
-        merge = F.coalesce(framed, F.lit(False)) & F.coalesce(is_wobble(prev["words"], this["words"], nxt["words"]), F.lit(False))
-        grown = F.struct(prev["speaker_num"].alias("speaker_num"), F.concat(prev["words"], this["words"], nxt["words"]).alias("words")).cast(segment)
-        merged = F.struct(F.concat(F.slice(acc["done"], 1, F.greatest(F.size(acc["done"]) - 1, F.lit(0))), F.array(grown)).alias("done"), F.lit(True).alias("skip"))
-        plain = F.struct(F.concat(acc["done"], F.array(this)).alias("done"), F.lit(False).alias("skip"))
-        return F.when(acc["skip"], F.struct(acc["done"].alias("done"), F.lit(False).alias("skip"))).when(merge, merged).otherwise(plain)
-
-    folded = whole.select(key, F.aggregate(F.sequence(F.lit(0), F.size("s") - 1), start, step)["done"].alias("done"))
-    return folded.select(key, F.posexplode("done").alias("seg_idx", "x")).select(key, "seg_idx", "x.speaker_num", "x.words")
+    w = F.col("words")
+    edge = lambda words, kind: [F.coalesce(F.transform(words, lambda x: f(x)), F.array().cast(t)).alias(f"_{kind}{k}") for k, (f, t) in enumerate(((lambda x: x["start"], "array<double>"), (lambda x: x["end"], "array<double>"), (lambda x: F.coalesce(strings.ends_sentence(x["text"]), F.lit(False)), "array<boolean>")))]
+    last = F.slice(w, F.greatest(F.size(w) - (PUNCTUATION_WORDS - 1), F.lit(1)), PUNCTUATION_WORDS)
+    brief = segments.select(key, "seg_idx", F.col("speaker_num").cast("int").alias("_speaker"), F.size(w).alias("_n"), *edge(F.slice(w, 1, SLIVER_WORDS), "head"), *edge(last, "tail"))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seg_idx", kind="stable")
+        return rows[[key, "seg_idx"]].assign(_out=_fold_slivers(rows.drop(columns=[key, "seg_idx"])))
+
+    kinds = dict(brief.dtypes)
+    marks = brief.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, seg_idx {kinds['seg_idx']}, _out int")
+    placed = segments.join(marks, [key, "seg_idx"])
+    one = F.struct("seg_idx", F.col("speaker_num").cast("int").alias("speaker_num"), w.cast(WORDS).alias("words"))
+    gathered = placed.groupBy(key, "_out").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    return gathered.select(key, F.col("_out").alias("seg_idx"), F.get("s", F.lit(0))["speaker_num"].alias("speaker_num"), F.flatten(F.transform("s", lambda x: x["words"])).alias("words"))
 
 
 def align_speakers(words: DataFrame, turns: DataFrame, key: str = "meeting_id", *, bucket_secs: float = BUCKET_SECS) -> DataFrame:

@@ -66,6 +66,11 @@ def choose_pivots(people: DataFrame, *, most: int = PIVOTS, sample: int = PIVOT_
     return units[chosen]
 
 
+def _cells(known: DataFrame, most: int, block: int) -> int:
+    """Pivots for a table: cells far smaller than a block only cost tasks."""
+    return max(1, min(most, 4 * known.count() // block))
+
+
 def _place(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``rows`` (id, v, rank) with the nearest pivot ``cell`` (-1 for a zero vector, which has no direction) and the angle to it."""
 
@@ -129,10 +134,12 @@ def nearest_person(queries: DataFrame, people: DataFrame, *, query_id: str = "qu
     rank = F.col("rank").cast("long") if earlier else F.lit(None).cast("long")
     known = people.select(F.col("id").cast("long").alias("id"), F.col(person_vector).alias("v"), rank.alias("rank")).filter("v is not null")
     asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v"), rank.alias("rank")).filter("v is not null")
-    centres = choose_pivots(known.select("id", "v"), most=pivots)
+    centres = choose_pivots(known.select("id", "v"), most=_cells(known, pivots, block))
     if not len(centres):  # no person has a direction: one cell
         size = known.select(F.size("v")).first()
-        centres = np.eye(1, size[0] if size else 1)
+        if size is None:
+            return known.sparkSession.createDataFrame([], "query_id long, person_id long, distance double")
+        centres = np.eye(1, size[0])
     p, q = _blocked(_place(known, centres), block), _blocked(_place(asked, centres), block)
     needed = written(block_pairs(q, p, centres, others_only=others_only, earlier=earlier, max_distance=max_distance).filter("needed").select("q_block", "p_block"))
     pair = F.struct("q_block", "p_block").alias("pair")
@@ -164,7 +171,7 @@ def share_skipped(queries: DataFrame, people: DataFrame, *, query_id: str = "que
     """One row: distances of the full product, those that ``nearest_person`` computes, and the share it skips."""
     known = people.select(F.col("id").cast("long").alias("id"), F.col(person_vector).alias("v"), F.lit(None).cast("long").alias("rank")).filter("v is not null")
     asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(None).cast("long").alias("rank")).filter("v is not null")
-    centres = choose_pivots(known.select("id", "v"), most=pivots)
+    centres = choose_pivots(known.select("id", "v"), most=_cells(known, pivots, block))
     p, q = _blocked(_place(known, centres), block), _blocked(_place(asked, centres), block)
     pairs = block_pairs(q, p, centres, others_only=others_only, earlier=False, max_distance=max_distance)
     every, done = F.sum(F.col("n_q") * F.col("n_p")), F.coalesce(F.sum(F.when(F.col("needed"), F.col("n_q") * F.col("n_p"))), F.lit(0))

@@ -15,40 +15,67 @@ from parley.operators.relational import percentile_nearest_rank
 OPS = ("match", "sub", "del", "ins")
 
 
-def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
-    """(op, ref place, hyp place) of a least-cost alignment, -1 for none.
+def _rows(a: np.ndarray, b: np.ndarray, cost: np.ndarray, way: np.ndarray | None = None) -> np.ndarray:
+    """The cost row after the words ``a``, from the row before them; ``way`` takes the directions (0 pair, 1 del, 2 ins) of every row.
+
+    Rows are kept without their place, so that insertions are a running minimum.
+    """
+    steps = np.arange(len(b) + 1, dtype=np.int32)
+    for i, word in enumerate(a):
+        pair = cost[:-1] + (b != word)
+        best = cost + 1
+        np.minimum(best[1:], pair, out=best[1:])
+        new = np.minimum.accumulate(best - steps) + steps
+        if way is not None:
+            way[i, 0] = 1
+            way[i, 1:] = np.where(new[1:] == pair, 0, np.where(new[1:] == cost[1:] + 1, 1, 2))
+        cost = new
+    return cost
+
+
+def align_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Directions (0 pair, 1 del, 2 ins) of a least-cost alignment of two code arrays, in order.
 
     On equal cost a pairing comes before a deletion, and that before an
-    insertion. Two cost rows are kept, and one byte of direction for each cell;
-    a row is computed at once, insertions as a running minimum.
+    insertion, seen from the end. Going forward, one cost row is kept for every
+    square root of the reference's length; going back, the directions of the
+    rows between two kept ones are made again, up to the column that the path has reached. So memory
+    grows with the length times its square root, and the result is that of the whole matrix.
     """
-    codes: dict[str, int] = {}
-    a, b = (np.array([codes.setdefault(w, len(codes)) for w in side], dtype=np.int32) for side in (ref, hyp))
     m, n = len(a), len(b)
-    way = np.empty((m + 1, n + 1), dtype=np.uint8)
-    way[0, :], way[:, 0] = 2, 1
-    steps = np.arange(n + 1, dtype=np.int32)
-    cost = steps.copy()
-    for i in range(1, m + 1):
-        pair = cost[:-1] + (b != a[i - 1])
-        drop = cost + 1
-        best = drop.copy()
-        best[1:] = np.minimum(pair, drop[1:])
-        cost = np.minimum.accumulate(best - steps) + steps
-        way[i, 1:] = np.where(cost[1:] == pair, 0, np.where(cost[1:] == drop[1:], 1, 2))
+    every = max(1, int(m**0.5))
+    cost, kept = np.arange(n + 1, dtype=np.int32), []
+    for lo in range(0, m, every):
+        kept.append(cost)
+        if lo + every < m:
+            cost = _rows(a[lo : lo + every], b, cost)
     out, i, j = [], m, n
-    while i or j:
-        step = way[i, j]
-        if i and j and step == 0:
-            i, j = i - 1, j - 1
+    for block in range(len(kept) - 1, -1, -1):
+        lo = block * every
+        way = np.empty((i - lo, j + 1), dtype=np.uint8)
+        _rows(a[lo:i], b[:j], kept[block][: j + 1], way)
+        while i > lo:
+            step = way[i - lo - 1, j]
+            out.append(step)
+            i -= step != 2
+            j -= step != 1
+    out += [2] * j
+    return np.array(out[::-1], dtype=np.uint8)
+
+
+def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
+    """(op, ref place, hyp place) of the alignment of two word lists, -1 for none."""
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(w, len(codes)) for w in side], dtype=np.int32) for side in (ref, hyp))
+    out, i, j = [], 0, 0
+    for step in align_codes(a, b).tolist():
+        if step == 0:
             out.append(("match" if a[i] == b[j] else "sub", i, j))
-        elif i and (step == 1 or not j):
-            i -= 1
-            out.append(("del", i, -1))
         else:
-            j -= 1
-            out.append(("ins", -1, j))
-    return out[::-1]
+            out.append(("del", i, -1) if step == 1 else ("ins", -1, j))
+        i += step != 2
+        j += step != 1
+    return out
 
 
 def align_pairs(pairs: DataFrame, key: str, ref: Column, hyp: Column) -> DataFrame:

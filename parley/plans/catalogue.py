@@ -349,9 +349,8 @@ def _(x: Frames) -> DataFrame:
 @query("j18_active_index", "words", """
 select meeting_id, p as at, ((select count(*) from words w where w.meeting_id = u.meeting_id and w.start <= p) - 1)::int as active from (select distinct meeting_id from words) u, (select unnest([0, 86400, 864000, 8640000]) as p)""")
 def _(x: Frames) -> DataFrame:
-    starts = x.words.groupBy("meeting_id").agg(F.sort_array(F.collect_list("start")).alias("s"))
-    each = starts.withColumn("at", F.explode(F.array(*[F.lit(p) for p in (0, 86400, 864000, 8640000)])))
-    return each.select("meeting_id", "at", timeline.active_index(F.col("s"), F.col("at")).alias("active"))
+    points = x.words.select("meeting_id").distinct().withColumn("at", F.explode(F.array(*[F.lit(p) for p in (0, 86400, 864000, 8640000)])))
+    return timeline.active_place(points, x.words, "meeting_id", "at", "start", "word_idx").select("meeting_id", "at", "active")
 
 
 @query("j21_any_overlap", "turns", """
@@ -478,12 +477,38 @@ def voice_turns(x: Frames) -> DataFrame:
     return x.table("embeddings").select((k % 5).alias("meeting_id"), k.alias("turn_idx"), (k * 3.0).alias("start"), (k * 3.0 + 1 + k % 3).alias("end"), (k % 20).cast("int").alias("speaker_num"), "embedding")
 
 
-@query("t10_merge_speakers")
+def _merged(weight: str) -> str:
+    """Clusters of a meeting's speakers, merged pair by pair from the closest on (the last of equals), and each speaker's group."""
+    return f"""
+turns as (select vec_id % 5 as meeting_id, vec_id as turn_idx, vec_id * 3.0 as start, vec_id * 3.0 + 1 + vec_id % 3 as "end", (vec_id % 20)::int as speaker_num, embedding as v from embeddings),
+long as (select *, row_number() over (partition by meeting_id, speaker_num order by "end" - start desc, turn_idx) as n from turns where "end" - start >= 1.5),
+dims as (select meeting_id, speaker_num, unnest(v)::double as c, generate_subscripts(v, 1) as i from long where n <= 3),
+mean as (select meeting_id, speaker_num, i, avg(c)::float::double as c from dims group by all),
+voice as (select meeting_id, speaker_num, list(c order by i) as v from mean group by all),
+mass as (select meeting_id, speaker_num, {weight} as w from turns group by all),
+merging as (select 0 as step, meeting_id, row_number() over (partition by meeting_id order by speaker_num) as id, v, w::double as w, [speaker_num] as members from voice join mass using (meeting_id, speaker_num)
+  union all select m.step + 1, m.meeting_id, m.id, case when m.id = p.a then list_transform(range(1, len(p.va) + 1), lambda k: ((p.va[k] * p.wa + p.vb[k] * p.wb) / (p.wa + p.wb))::float::double) else m.v end,
+    case when m.id = p.a then p.wa + p.wb else m.w end, case when m.id = p.a then p.both else m.members end
+  from merging m join (select x.meeting_id, x.id as a, y.id as b, x.v as va, y.v as vb, x.w as wa, y.w as wb, list_concat(x.members, y.members) as both,
+      row_number() over (partition by x.meeting_id order by round(list_cosine_similarity(x.v, y.v), 12) desc, x.id desc, y.id desc) as n
+    from merging x join merging y on x.meeting_id = y.meeting_id and x.id < y.id where round(list_cosine_similarity(x.v, y.v), 12) >= 0.2) p on p.meeting_id = m.meeting_id and p.n = 1 and p.b <> m.id),
+ended as (select *, max(step) over (partition by meeting_id) as last from merging),
+placed as (select meeting_id, members, (row_number() over (partition by meeting_id order by id) - 1)::int as grp from ended where step = last),
+groups as (select meeting_id, unnest(members) as speaker_num, grp from placed)"""
+
+
+@query("t10_merge_speakers", None, "with recursive" + _merged('sum("end" - start)') + """,
+known as (select t.*, (t.start + t."end") / 2 as mid, grp from turns t left join groups using (meeting_id, speaker_num)),
+near as (select o.meeting_id, o.turn_idx, k.grp, row_number() over (partition by o.meeting_id, o.turn_idx order by abs(o.mid - k.mid), k.turn_idx) as n from known o join known k on o.meeting_id = k.meeting_id and o.grp is null and k.grp is not null),
+labelled as (select k.meeting_id, k.turn_idx, k.start, k."end", coalesce(k.grp, n.grp, -1 - k.speaker_num) as grp from known k left join near n on n.meeting_id = k.meeting_id and n.turn_idx = k.turn_idx and n.n = 1),
+total as (select meeting_id, grp, (row_number() over (partition by meeting_id order by sum("end" - start) desc, min(turn_idx)) - 1)::int as speaker_num from labelled group by meeting_id, grp)
+select meeting_id, turn_idx, start::double as start, "end"::double as "end", speaker_num from labelled join total using (meeting_id, grp)""")
 def _(x: Frames) -> DataFrame:
     return voices.merge_speakers(voice_turns(x), threshold=0.2)
 
 
-@query("t9_agglomerate")
+@query("t9_agglomerate", None, "with recursive" + _merged("1") + """
+select meeting_id, speaker_num, grp as "group" from groups""")
 def _(x: Frames) -> DataFrame:
     centroids = voices.speaker_centroids(voice_turns(x)).withColumn("weight", F.lit(1.0))
     return voices.cluster_speakers(centroids, threshold=0.2)
@@ -604,18 +629,42 @@ def _(x: Frames) -> DataFrame:
     return psv.run_lines(runs).groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("e3_wer")
+#: Cells of the cost matrix of ``pairs`` (a, r, h) along its diagonals: least cost, the kinds of steps that lead there, the step itself, and the same of the cell to the left.
+_GRID = """
+grid as (select a, 0 as d, 0 as i, 0 as j, 0 as c, 0 as s, 0 as x, 0 as n, '' as op, null::int as lc, null::int as ls, null::int as lx, null::int as ln from pairs
+  union all select a, d, i, j, case op when 'ins' then bc + 1 when 'del' then ac + 1 else pc end, case op when 'ins' then bs when 'del' then "as" else ps + (op = 'sub')::int end,
+    case op when 'ins' then bx when 'del' then ax + 1 else px end, case op when 'ins' then bn + 1 when 'del' then an else pn end, op, bc, bs, bx, bn
+  from (select *, case when pc <= least(coalesce(ac, 1000000), coalesce(bc, 1000000)) + 1 then case when same then 'match' else 'sub' end when ac <= coalesce(bc, 1000000) then 'del' else 'ins' end as op
+    from (select g.*, p.r[g.i] = p.h[g.j] as same, lc + (case when p.r[g.i] = p.h[g.j] then 0 else 1 end) as pc from (
+      select a, d + 1 as d, i + di as i, j + 1 - di as j, max(c) filter (where di = 1) as ac, max(s) filter (where di = 1) as "as", max(x) filter (where di = 1) as ax, max(n) filter (where di = 1) as an,
+        max(lc) filter (where di = 1) as lc, max(ls) filter (where di = 1) as ps, max(lx) filter (where di = 1) as px, max(ln) filter (where di = 1) as pn,
+        max(c) filter (where di = 0) as bc, max(s) filter (where di = 0) as bs, max(x) filter (where di = 0) as bx, max(n) filter (where di = 0) as bn
+      from grid, (select unnest([0, 1]) as di) group by all) g join pairs p on p.a = g.a and g.i <= len(p.r) and g.j <= len(p.h))))"""
+
+
+@query("e3_wer", None, """with recursive words as (select item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s'']', ' ', 'g'), '\\s+'), lambda w: w <> '') as w from benchmark),
+pairs as (select x.item_id as a, x.w as r, y.w as h from words x join words y on y.item_id = x.item_id + 1),""" + _GRID + """
+select a, len(r)::int as n_ref, (len(r) - s - x)::bigint as n_match, s::bigint as n_sub, x::bigint as n_del, n::bigint as n_ins, round(case when len(r) > 0 then c / len(r) when len(h) = 0 then 0 else 1 end, 6) as wer from pairs join grid using (a) where i = len(r) and j = len(h)""")
 def _(x: Frames) -> DataFrame:
     b = x.table("benchmark")
     pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("ref")).join(b.select((F.col("item_id") - 1).alias("a"), F.col("text").alias("hyp")), "a")
     return wer.word_error_rate(pairs, "a", F.col("ref"), F.col("hyp")).withColumn("wer", F.round("wer", 6))
 
 
-@query("e4_compare_transcripts")
+@query("e4_compare_transcripts", None, """with recursive texts as (select item_id as a, string_split(text, ' ') as rt, string_split(regexp_replace(text, 'the ', '', 'g'), ' ') as ht from benchmark),
+pairs as (select a, list_transform(rt, lambda w: regexp_replace(lower(w), '[^\\p{L}\\p{N}\\s'']', '', 'g')) as r, list_transform(ht, lambda w: regexp_replace(lower(w), '[^\\p{L}\\p{N}\\s'']', '', 'g')) as h from texts),""" + _GRID + """,
+path as (select a, i, j, op from pairs join grid using (a) where i = len(r) and j = len(h)
+  union all select g.a, g.i, g.j, g.op from path p join grid g on g.a = p.a and g.i = p.i - (p.op <> 'ins')::int and g.j = p.j - (p.op <> 'del')::int where p.op <> ''),
+near as (select a, abs((i - 1) * 0.5 - ((j - 1) * 0.5 + 0.1)) as s, abs((i - 1) * 0.5 - (j - 1) * 0.5) as e from path where op = 'match'),
+stats as (select a, avg(s) as mean_start_error, max(s) as max_start_error, quantile_disc(s, 0.95) as p95_start_error, avg(e) as mean_end_error, max(e) as max_end_error, quantile_disc(e, 0.95) as p95_end_error from near group by 1),
+kinds as (select a, count(*) filter (where op = 'match') as n_match, count(*) filter (where op = 'sub') as n_sub, count(*) filter (where op = 'del') as n_del, count(*) filter (where op = 'ins') as n_ins from path group by 1)
+select a as item_id, len(r)::int as n_ref, len(h)::int as n_hyp, n_match, n_sub, n_del, n_ins, """ + ", ".join(f"round({c}::double, 6) as {c}" for c in ("mean_start_error", "max_start_error", "p95_start_error", "mean_end_error", "max_end_error", "p95_end_error")) + """,
+  round((n_sub + n_del + n_ins) / len(r), 6) as wer from pairs join kinds using (a) join stats using (a)""")
 def _(x: Frames) -> DataFrame:
+    near = {c: F.round(c, 6) for c in ("mean_start_error", "max_start_error", "p95_start_error", "mean_end_error", "max_end_error", "p95_end_error", "wer")}
     timed = lambda c, shift: F.transform(F.split(c, " "), lambda w, i: F.struct(w.alias("text"), (i * 0.5 + shift).cast("double").alias("start"), (i * 0.5 + 0.4).cast("double").alias("end")))
     pairs = x.table("benchmark").select("item_id", timed("text", 0.0).alias("ref"), timed(F.regexp_replace("text", "the ", ""), 0.1).alias("hyp"))
-    return wer.compare_transcripts(pairs, "item_id", "ref", "hyp")
+    return wer.compare_transcripts(pairs, "item_id", "ref", "hyp").withColumns(near)
 
 
 @query("x1_flatten_tree", None, """
@@ -667,7 +716,8 @@ def _(x: Frames) -> DataFrame:
 + a as (select meeting_id, count(*) filter (where start <= 864000) - 1 as active from words group by 1)
 select meeting_id, word_idx, case when word_idx < active then 'past' when word_idx = active then 'active' else 'future' end as status from words join a using (meeting_id)""")
 def _(x: Frames) -> DataFrame:
-    at = x.words.groupBy("meeting_id").agg(timeline.active_index(F.sort_array(F.collect_list("start")), F.lit(864000.0)).alias("active"))
+    points = x.words.select("meeting_id").distinct().withColumn("at", F.lit(864000.0))
+    at = timeline.active_place(points, x.words, "meeting_id", "at", "start", "word_idx")
     return x.words.join(at, "meeting_id").select("meeting_id", "word_idx", timeline.playback_status(F.col("word_idx"), F.col("active")).alias("status"))
 
 

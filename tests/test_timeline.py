@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import timeline
+from parley.operators import talk, timeline
 from parley.schema import WORDS
 
 
@@ -183,3 +184,65 @@ def test_words_kept_shows_lost_and_added_words(spark):
     segments = spark.createDataFrame([(1, [word, word]), (1, [word]), (2, [word]), (4, [word])], "meeting_id int, words array<struct<text:string,start:double,end:double>>")
     found = {tuple(r) for r in timeline.words_kept(words, segments).collect()}
     assert found == {(1, 3, 3), (2, 2, 1), (3, 1, 0), (4, 0, 1)}
+
+
+def plain_fold(segments):
+    """Sliver absorption segment by segment, with all words at hand."""
+    stop = lambda w: w[0][-1:] in ".?!"
+    out, i = [], 0
+    while i < len(segments):
+        speaker, words = segments[i]
+        if out and i + 1 < len(segments) and out[-1][0] is not None and out[-1][0] == segments[i + 1][0] != speaker and 0 < len(words) <= 5 and words[-1][2] - words[0][1] <= 2.0:
+            near = out[-1][1][-2:] + words + segments[i + 1][1][:2]
+            if not any(map(stop, near)) and all(y[1] - x[2] <= 0.5 for x, y in zip(near, near[1:], strict=False)):
+                out[-1] = (out[-1][0], out[-1][1] + words + segments[i + 1][1])
+                i += 2
+                continue
+        out.append((speaker, list(words)))
+        i += 1
+    return out
+
+
+def test_sliver_fold_equals_the_plain_one_and_is_linear(spark):
+    """Random short segments of one meeting, most of them slivers of each other; 10,000 in one meeting take seconds."""
+    draw = random.Random(6)
+
+    def meeting(n):
+        at, segments = 0.0, []
+        for _ in range(n):
+            words = []
+            for _ in range(draw.choice([0, 1, 1, 2, 3, 7])):
+                at += draw.choice([0.0, 0.1, 0.1, 0.7])
+                words.append((draw.choice(["a", "b", "c", "end.", "d"]), at, at + 0.2))
+                at += 0.2
+            segments.append((draw.choice([0, 0, 1, None]), words))
+        return segments
+
+    meetings = [meeting(40) for _ in range(30)] + [meeting(10_000)]
+    rows = spark.createDataFrame([(m, i, p, w) for m, segments in enumerate(meetings) for i, (p, w) in enumerate(segments)], f"meeting_id int, seg_idx int, speaker_num int, words {WORDS}").repartition(3)
+    began = time.perf_counter()
+    got = timeline.absorb_slivers(rows).collect()
+    assert time.perf_counter() - began < 60
+    for m, segments in enumerate(meetings):
+        own = sorted((r for r in got if r.meeting_id == m), key=lambda r: r.seg_idx)
+        assert [(r.speaker_num, [tuple(w) for w in r.words]) for r in own] == plain_fold(segments) and [r.seg_idx for r in own] == list(range(len(own)))
+
+
+def test_hits_of_a_long_segment(spark):
+    """A segment of 1 MB with overlapping hits over word ends, against a search from every offset."""
+    draw = random.Random(2)
+    words = [draw.choice(["a", "aa", "aaa", "b", "Aé", "漢a"]) for _ in range(300_000)]
+    rows = spark.createDataFrame([(1, 0, [(w, 0.0, 0.0) for w in words]), (1, 1, []), (2, 0, None)], f"meeting_id int, seg_idx int, words {WORDS}")
+    began = time.perf_counter()
+    got = talk.find_matches(rows, " a a ", ["meeting_id", "seg_idx"]).collect()
+    assert time.perf_counter() - began < 60
+    text = "".join(w.lower() + " " for w in words)
+    places = [k for k, w in enumerate(words) for _ in range(len(w) + 1)]
+    assert [(r.at, r["from"], r["to"]) for r in got] == [(i, places[i], places[i + 2]) for i in range(len(text)) if text.startswith("a a", i)]
+
+
+def test_active_place(spark):
+    points = spark.createDataFrame([(1, 0.5), (1, 1.0), (1, 9.0), (2, 3.0)], "meeting_id int, at double")
+    items = spark.createDataFrame([(1, 0, 1.0), (1, 1, 1.0), (1, 2, 4.0)], "meeting_id int, place int, start double")
+    got = timeline.active_place(points, items, "meeting_id", "at", "start", "place").collect()
+    assert {(r.meeting_id, r.at): r.active for r in got} == {(1, 0.5): -1, (1, 1.0): 1, (1, 9.0): 2, (2, 3.0): -1}

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -38,10 +39,20 @@ def test_alignment_equals_full_matrix():
 
 
 def test_alignment_of_long_texts():
-    a = [f"w{i % 997}" for i in range(6000)]
-    b = [w if i % 100 else "x" for i, w in enumerate(a)]
-    ops = [op for op, _, _ in wer.align(a, b)]
-    assert ops.count("sub") == 60 and ops.count("match") == 5940
+    """25,000 words against 25,000: a transcript with every 100th word another, every 250th missing and every 333rd doubled."""
+    draw = np.random.default_rng(1)
+    a = draw.integers(0, 997, 25_000).astype(np.int32)
+    b = [x for i, w in enumerate(a) for x in (() if i % 250 == 7 else (1000 if i % 100 == 0 else w, w) if i % 333 == 5 else (1000 if i % 100 == 0 else w,))]
+    b = np.resize(np.array(b, dtype=np.int32), 25_000)
+    tracemalloc.start()
+    began = time.perf_counter()
+    steps = wer.align_codes(a, b)
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert (steps != 2).sum() == (steps != 1).sum() == 25_000
+    at_a, at_b = np.cumsum(steps != 2) - 1, np.cumsum(steps != 1) - 1
+    same = (steps == 0) & (a[np.maximum(at_a, 0)] == b[np.maximum(at_b, 0)])
+    assert 24_600 < same.sum() < 24_800
 
 
 @pytest.mark.parametrize(
