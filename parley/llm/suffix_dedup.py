@@ -45,7 +45,7 @@ from parley.llm.common import bucketed, columns, discard, durable, mix, powers,
 
 THRESHOLD = 200
 #: Bytes of text that are worked on at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _PLACE = np.uint64((1 << 24) - 1)
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
