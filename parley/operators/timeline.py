@@ -259,3 +259,7 @@ def transcribe(windows: DataFrame, decode, key: str = "meeting_id") -> DataFrame
     return shifted.withColumn("word_idx", (F.row_number().over(order) - 1).cast("int")).select(key, "word_idx", "text", "start", "end")
 
 
+def transcribe_runs(runs: DataFrame, decode, key: str = "meeting_id", *, most_secs: float = WINDOW_SECS) -> DataFrame:
+    """Speech runs (key, run_idx, start, end) with their words: runs are packed into windows, each window is decoded once, and its words go back to the runs they start in."""
+    windows = pack_runs(runs, key, most_secs=most_secs).groupBy(key, "window_idx").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return words_to_runs(transcribe(windows, decode, key), runs, key)

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import strings, times, vectors
 from parley.operators import relational, talk, timeline, voices, wer
-from parley.operators.numbering import new_folder
+from parley.operators.numbering import new_folder, written
 from parley.plans import ingest
 from parley.plans.catalogue import BUCKET, query, voice_turns
 from parley.plans.frames import Frames
-from parley.schema import derive_segments, words_text
+from parley.schema import derive_segments, words_end, words_start, words_text
 from parley.sources import psv, seed, sinks, snapshot
 from parley.sources.versions import TableSet
+from parley.streaming import arrivals
 
 
 # --- alignment folds --------------------------------------------------------------
@@ -171,9 +173,18 @@ def _(x: Frames) -> DataFrame:
     return relational.find_one(x.bodies, 7)
 
 
-@query("f12_short_query", None, "select conv_id as meeting_id, turn::int as seg_idx, 0 as at, 0 as \"from\", 0 as \"to\" from conversations where length(trim(' h ')) >= 2")
+@query("f12_short_query", "talk", """
++ t as (select meeting_id, seg_idx, array_to_string(list_transform(texts, lambda w: lower(w) || ' '), '') as s from talk),
+q as (select unnest([' h ', ' HE ', ' e']) as query)
+select query, count(*) filter (where length(trim(query)) >= 2 and contains(s, lower(trim(query)))) as segments from q, t group by 1""")
 def _(x: Frames) -> DataFrame:
-    return talk.find_matches(x.talk, " h ", ["meeting_id", "seg_idx"])
+    """One letter finds nothing; two letters find all segments that have them."""
+    out = None
+    for q in (" h ", " HE ", " e"):
+        keys = ["meeting_id", "seg_idx"]
+        part = talk.find_matches(x.talk, q, keys).select(*keys).distinct().agg(F.lit(q).alias("query"), F.count(F.lit(1)).alias("segments"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("o11_segments_in_order", "meetings", """
@@ -289,10 +300,15 @@ def _(x: Frames) -> DataFrame:
 # --- sources and sinks --------------------------------------------------------------------
 
 
-@query("src3_targets", None, "select * from (values ('', 'file:/l'), ('big-box', 'file:/b'), ('jdbc:x://h/d', 'jdbc:x://h/d')) as t(name, url)")
+@query("src3_targets", None, """
+select lower(replace(r_name, ' ', '-')) as target, 'file:/' || r_regionkey as url from region
+union all select 'jdbc:x://h/' || n_nationkey, 'jdbc:x://h/' || n_nationkey from nation union all select '', 'file:/0' from region where r_regionkey = 0""")
 def _(x: Frames) -> DataFrame:
-    known = {"DATABASE_URL_LOCAL": "file:/l", "DATABASE_URL_BIG_BOX": "file:/b"}
-    return x.spark.createDataFrame([(n, snapshot.resolve_target(n or None, known)) for n in ("", "big-box", "jdbc:x://h/d")], "name string, url string")
+    """Targets named by the regions, one of them the local one; URLs by the nations."""
+    places = [tuple(r) for r in x.table("region").select("r_name", "r_regionkey").collect()]  # a dimension of names
+    known = {f"DATABASE_URL_{n.replace(' ', '_')}": f"file:/{k}" for n, k in places} | {"DATABASE_URL_LOCAL": "file:/0"}
+    asked = [n.lower().replace(" ", "-") for n, _ in places] + [f"jdbc:x://h/{r.n_nationkey}" for r in x.table("nation").select("n_nationkey").collect()] + [""]
+    return x.spark.createDataFrame([(n, snapshot.resolve_target(n or None, known)) for n in asked], "target string, url string")
 
 
 @query("src4_redact_url", None, "select c_custkey, case when c_custkey % 3 = 0 then c_name else 'db://u' || c_custkey || ':***@h/d' end as url from customer")
@@ -429,3 +445,84 @@ def _(x: Frames) -> DataFrame:
     end = F.coalesce(F.try_element_at("words", F.lit(-1))["end"], F.lit(0.0))
     runs = x.talk.select(F.col("meeting_id").cast("string").alias("file"), F.col("seg_idx").alias("run_idx"), F.lit(0.0).alias("start"), end.alias("end"), "words")
     return psv.run_lines(runs)
+
+
+# --- files ---------------------------------------------------------------------------------
+
+
+@query("src13_wav", None, """
+with x as (select vec_id, unnest(embedding)::double as v from embeddings)
+select vec_id, 16000 as sample_rate, count(*) as n, sum(greatest(-32768, least(32767, round_even(v * 32768, 0))))::bigint as total from x group by 1""")
+def _(x: Frames) -> DataFrame:
+    """Vectors are written as one WAV file each, and read back."""
+    folder = new_folder(x.spark)
+    waves = x.table("embeddings").select(F.concat(F.lit("v"), F.col("vec_id") % 10, F.lit("/"), F.col("vec_id"), F.lit(".wav")).alias("path"), F.col("embedding").alias("samples"))
+    written(sinks.write_files(snapshot.encode_wav(waves), folder))
+    read = snapshot.decode_wav(snapshot.audio_files(x.spark, folder))
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, v: a + F.round(v * 32768).cast("long"))
+    return read.select(F.regexp_extract("path", "/(\\d+)\\.wav$", 1).cast("long").alias("vec_id"), "sample_rate", F.size("samples").cast("long").alias("n"), total.alias("total"))
+
+
+@query("src14_checked_files", None, """
+select 'p/' || page_id || '.html' as path, case when page_id = (select min(page_id) from pages) then 'differs' when page_id = (select max(page_id) from pages) then 'unknown' else 'ok' end as status from pages
+union all select 'p/none.html', 'missing'""")
+def _(x: Frames) -> DataFrame:
+    """Pages are written as files; the first is damaged afterwards, the last is not in the manifest, which names one more."""
+    folder, name = new_folder(x.spark), F.concat(F.lit("p/"), F.col("page_id"), F.lit(".html")).alias("path")
+    pages = x.table("pages")
+    ends = pages.agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).first()
+    manifest = written(sinks.write_files(pages.select(name, F.concat(F.coalesce("html", F.lit("")), F.lit("\n")).cast("binary").alias("content")), folder))
+    written(sinks.write_files(pages.filter(F.col("page_id") == ends.a).select(name, F.lit(b"damaged").alias("content")), folder))
+    held = manifest.filter(F.col("path") != f"p/{ends.b}.html").select("path", "sha256").unionByName(x.spark.createDataFrame([("p/none.html", "0")], "path string, sha256 string"))
+    return snapshot.check_files(snapshot.audio_files(x.spark, folder), held, folder)
+
+
+@query("t8_transcribe", "talk", """
++ runs as (select meeting_id, seg_idx as run_idx, row_number() over (partition by meeting_id order by seg_idx) as k, seg_idx * 40.0::double as start, seg_idx * 40.0::double + 1 + len(texts) % 30 as "end" from talk),
+fold as (select meeting_id, run_idx, k, start, "end", 0 as window_idx, start as begin from runs where k = 1
+  union all select n.meeting_id, n.run_idx, n.k, n.start, n."end", case when n."end" - f.begin > 120 then f.window_idx + 1 else f.window_idx end, case when n."end" - f.begin > 120 then n.start else f.begin end
+  from fold f join runs n on n.meeting_id = f.meeting_id and n.k = f.k + 1),
+windows as (select meeting_id, window_idx, min(start) as start, max("end") as "end" from fold group by all),
+words as (select meeting_id, window_idx, start + i as t0, 'w' || i as text from (select *, unnest(range(0, floor("end" - start)::bigint + 1)) as i from windows)),
+placed as (select w.meeting_id, r.run_idx, w.t0, w.text from words w asof join runs r on r.meeting_id = w.meeting_id and r.start <= w.t0)
+select r.meeting_id, r.run_idx, count(t0) as n, coalesce(string_agg(text, ' ' order by t0), '') as text, round(min(t0), 3) as first, round(max(t0) + 0.32, 3) as last from runs r left join placed p using (meeting_id, run_idx) group by all""")
+def _(x: Frames) -> DataFrame:
+    """The recogniser says one word each second of a window."""
+
+    def decode(batches):
+        for batch in batches:
+            batch = batch.assign(i=[range(int(b - a) + 1) for a, b in zip(batch["start"], batch["end"], strict=True)]).explode("i")
+            yield batch.assign(token=" w" + batch["i"].astype(str), ts=batch["i"].astype(float), i=batch["i"].astype("int32"))[["meeting_id", "window_idx", "i", "token", "ts"]]
+
+    begin = F.col("seg_idx") * F.lit(40.0)
+    runs = x.talk.select("meeting_id", F.col("seg_idx").alias("run_idx"), begin.alias("start"), (begin + 1 + F.size("words") % 30).alias("end"))
+    found = timeline.transcribe_runs(runs, decode)
+    w = F.col("words")
+    return found.select("meeting_id", "run_idx", F.size(w).cast("long").alias("n"), words_text(w).alias("text"), F.round(words_start(w), 3).alias("first"), F.round(words_end(w), 3).alias("last"))
+
+
+@query("st3_arrivals", None, "select event_id, event_type, value * 2 as doubled, k::int as k from events, (select unnest([1, 2]) as k) where value >= 20")
+def _(x: Frames) -> DataFrame:
+    """Events arrive as files in two lots, with repeated rows; the second lot's batch breaks off once, with a part of its rows written."""
+    folder, schema = new_folder(x.spark), "event_id long, event_type string, value double"
+    events = x.table("events").select("event_id", "event_type", "value")
+
+    def handle(rows: DataFrame) -> DataFrame:
+        return rows.filter("value >= 20").select("event_id", "event_type", (F.col("value") * 2).alias("doubled"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+
+    def broken(rows: DataFrame) -> DataFrame:
+        handle(rows).filter("k = 1").write.mode("overwrite").parquet(f"{folder}/out/results/batch=1")
+        raise RuntimeError("broken off")
+
+    def run(how) -> None:
+        arrivals.ingest_arrivals(x.spark, f"{folder}/in", schema, "event_id", f"{folder}/out", f"{folder}/checkpoint", how).awaitTermination()
+
+    lots = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    events.filter(lots == 0).write.mode("append").json(f"{folder}/in")
+    run(handle)
+    events.filter((lots == 1) | (F.col("event_type") == "click")).write.mode("append").json(f"{folder}/in")
+    try:
+        run(broken)
+    except StreamingQueryException:
+        run(handle)
+    return arrivals.arrived(x.spark, f"{folder}/out")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,8 +45,10 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     exists; a repeated task writes the same bytes again. ``folder`` is a URI that Arrow's file systems know, or a local path.
     """
 
+    place = re.sub(r"^file:/(?!/)", "file:///", folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(folder)
+        files, root = fs.FileSystem.from_uri(place)
         for batch in batches:
             paths, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for path, content in zip(paths, contents, strict=True):

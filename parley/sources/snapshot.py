@@ -108,8 +108,8 @@ def id_list(spark: SparkSession, text: str) -> DataFrame:
 
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 and content of audio files; decoding is left to a seam."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
+    """path, sha256 and content of the files of a folder, at any depth (Spark passes over files without a byte); decoding is left to a seam."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def verified_audio(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -118,6 +118,37 @@ def verified_audio(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest.select("path", F.col("sha256").alias("_want")), "path").withColumn("content", F.when(F.col("sha256") == F.col("_want"), F.col("content")).otherwise(wrong)).drop("_want")
 
 
+def check_files(files: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
+    """path (below ``folder``) and status of all files and manifest rows: ok, differs, missing or unknown."""
+    tail = F.regexp_extract("path", "(?:^|/)" + re.escape(folder.rstrip("/").rpartition("/")[2]) + "/(.*)$", 1)
+    found = files.select(tail.alias("path"), F.col("sha256").alias("_found"))
+    status = F.when(F.col("_found").isNull(), "missing").when(F.col("_want").isNull(), "unknown").when(F.col("_found") == F.col("_want"), "ok").otherwise("differs")
+    return found.join(manifest.select("path", F.col("sha256").alias("_want")), "path", "full").select("path", status.alias("status"))
+
+
+def encode_wav(waves: DataFrame, *, rate: int = 16_000) -> DataFrame:
+    """path, content: 16-bit PCM files of one channel from path and samples (floats in -1..1, clipped)."""
+    import pandas as pd
+
+    def run(batches):
+        import io
+        import wave
+
+        import numpy as np
+
+        for batch in batches:
+            out = []
+            for path, samples in zip(batch["path"], batch["samples"], strict=True):
+                held = io.BytesIO()
+                with wave.open(held, "wb") as w:
+                    w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+                    w.writeframes(np.clip(np.round(np.asarray(samples, dtype=np.float64) * 32768), -32768, 32767).astype("<i2").tobytes())
+                out.append((path, held.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return waves.select("path", "samples").mapInPandas(run, "path string, content binary")
+
+
 def decode_wav(files: DataFrame) -> DataFrame:
     """path, sample_rate, samples (floats in -1..1, first channel) of 16-bit PCM files."""
     import pandas as pd

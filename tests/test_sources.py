@@ -9,7 +9,7 @@ from parley.plans.ingest import Batch, ingest, ingest_into
 from parley.schema import WORDS
 from parley.sources import psv, sinks, snapshot
 from parley.sources.versions import TableSet
-from parley.streaming.arrivals import ingest_arrivals
+from parley.streaming.arrivals import arrived, ingest_arrivals
 
 PSV = """# a comment
 start_sec|end_sec|event_type|event_data
@@ -155,7 +155,61 @@ def test_stream_is_idempotent(spark, tmp_path):
     run()
     (source / "2.json").write_text('{"id":"a","n":1}\n{"id":"b","n":2}\n')
     run()
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+    assert sorted(r.id for r in arrived(spark, str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_broken_batches_leave_nothing_and_are_taken_again(spark, tmp_path):
+    """Keys make two rows or none; batches break off before, within and after their writes, and stand as if nothing had happened."""
+    source, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    source.mkdir()
+    calls = []
+
+    def handle(rows):
+        calls.append(sorted(r.id for r in rows.collect()))
+        return rows.filter("n > 0").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+
+    def run(how):
+        ingest_arrivals(spark, str(source), "id string, n int", "id", out, cp, how, most_files=1).awaitTermination()
+
+    def shown():
+        rows = arrived(spark, out)
+        return None if rows is None else sorted((r.id, r.k) for r in rows.collect())
+
+    def broken(rows):
+        handle(rows).limit(1).write.mode("overwrite").parquet(f"{out}/results/batch=1")  # a part of the rows is there
+        raise RuntimeError("broken")
+
+    assert shown() is None
+    (source / "1.json").write_text('{"id":"a","n":1}\n{"id":"z","n":0}\n')
+    run(handle)
+    first = [("a", 1), ("a", 2)]
+    assert shown() == first
+    (source / "2.json").write_text('{"id":"a","n":1}\n{"id":"b","n":2}\n{"id":"z","n":5}\n')
+    for how in (broken, broken):
+        with pytest.raises(Exception, match="broken"):
+            run(how)
+        assert shown() == first
+    run(handle)
+    assert shown() == [*first, ("b", 1), ("b", 2)] and calls == [["a", "z"], ["b"], ["b"], ["b"]]  # z made no rows and stays handled
+    (source / "3.json").write_text('{"id":"c","n":1}\n')
+    run(handle)
+    assert shown()[-2:] == [("c", 1), ("c", 2)] and calls[-1] == ["c"]
+
+
+def test_files_with_a_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(f"d{i % 3}/f{i}.bin", bytes([i]) * (i * 1000 + 1)) for i in range(20)], "path string, content binary").repartition(3)
+    folder = f"{tmp_path}/files"
+    manifest = sinks.write_files(rows, folder)
+    assert manifest.count() == 20 and manifest.count() == 20  # written again, the same
+    (tmp_path / "files/d1/f4.bin").write_bytes(b"damaged")
+    (tmp_path / "files/d2/f5.bin").unlink()
+    (tmp_path / "files/d0/other.bin").write_bytes(b"x")
+    status = {r.path: r.status for r in snapshot.check_files(snapshot.audio_files(spark, folder), manifest_table(spark, rows), folder).collect()}
+    assert {p: s for p, s in status.items() if s != "ok"} == {"d1/f4.bin": "differs", "d2/f5.bin": "missing", "d0/other.bin": "unknown"} and len(status) == 21
+
+
+def manifest_table(spark, rows):
+    return rows.select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def test_collect_words_keeps_order(spark):
