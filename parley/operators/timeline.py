@@ -8,7 +8,9 @@ decisions run once per meeting on Arrow batches.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -179,24 +181,22 @@ def is_wobble(before: Column, sliver: Column, after: Column) -> Column:
     return (F.size(sliver) > 0) & (F.size(sliver) <= SLIVER_WORDS) & (span <= SLIVER_SECS) & calm & gaps_within(near)
 
 
-def _fold_slivers(rows: pd.DataFrame) -> list[int]:
-    """Output place of each of a meeting's ordered segments; the state is the open segment's speaker and its last words."""
+def _fold_slivers(speakers: list[int | None], sizes: list[int], heads: list[list[tuple]], tails: list[list[tuple]]) -> list[int]:
+    """Output place of each of a meeting's ordered segments; words are (start, end, ends a sentence). The state is the open segment's speaker and its last words."""
     out, last, speaker, tail, skip = [], -1, None, [], False
-    words = lambda parts: list(zip(*(x.tolist() for x in parts), strict=True))  # noqa: E731  (start, end, ends a sentence) of each word
-    segments = [(None if pd.isna(own) else int(own), n, words(parts[:3]), words(parts[3:])) for own, n, *parts in rows.itertuples(index=False)]
-    for i, (own, n, head, end) in enumerate(segments):
+    for i, (own, n, head) in enumerate(zip(speakers, sizes, heads, strict=True)):
         if skip:
             skip = False
             out.append(last)
             continue
-        if i and i + 1 < len(segments) and speaker is not None and segments[i + 1][0] == speaker and own != speaker and 0 < n <= SLIVER_WORDS and head[-1][1] - head[0][0] <= SLIVER_SECS:
-            near = tail + head + segments[i + 1][2][:PUNCTUATION_WORDS]
+        if i and i + 1 < len(sizes) and speaker is not None and speakers[i + 1] == speaker and own != speaker and 0 < n <= SLIVER_WORDS and head[-1][1] - head[0][0] <= SLIVER_SECS:
+            near = tail + head + heads[i + 1][:PUNCTUATION_WORDS]
             if not any(stop for *_, stop in near) and all(y[0] - x[1] <= MAX_GAP_SECS for x, y in zip(near, near[1:], strict=False)):
-                tail = (tail + head + segments[i + 1][3])[-PUNCTUATION_WORDS:]
+                tail = (tail + head + tails[i + 1])[-PUNCTUATION_WORDS:]
                 skip = True
                 out.append(last)
                 continue
-        last, speaker, tail = last + 1, own, end
+        last, speaker, tail = last + 1, own, tails[i]
         out.append(last)
     return out
 
@@ -205,24 +205,29 @@ def absorb_slivers(segments: DataFrame, key: str = "meeting_id") -> DataFrame:
     """Segments (key, seg_idx, speaker_num, words) with wobbles merged into the speaker around them.
 
     A left fold: a merged segment's new tail is what the next step sees. The
-    fold gets a few words of each segment, of which it needs no more than the
-    longest sliver's and the last of the one before, and only marks where segments go; words are gathered by these marks.
+    fold looks at a few words of each segment, no more than the longest
+    sliver's and the last of the one before, and marks where segments go; a merged
+    segment's words are those of its parts as they lie one after the other. One meeting is one group.
     """
-    w = F.col("words")
-    edge = lambda words, kind: [F.coalesce(F.transform(words, lambda x: f(x)), F.array().cast(t)).alias(f"_{kind}{k}") for k, (f, t) in enumerate(((lambda x: x["start"], "array<double>"), (lambda x: x["end"], "array<double>"), (lambda x: F.coalesce(strings.ends_sentence(x["text"]), F.lit(False)), "array<boolean>")))]
-    last = F.slice(w, F.greatest(F.size(w) - (PUNCTUATION_WORDS - 1), F.lit(1)), PUNCTUATION_WORDS)
-    brief = segments.select(key, "seg_idx", F.col("speaker_num").cast("int").alias("_speaker"), F.size(w).alias("_n"), *edge(F.slice(w, 1, SLIVER_WORDS), "head"), *edge(last, "tail"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seg_idx", kind="stable")
-        return rows[[key, "seg_idx"]].assign(_out=_fold_slivers(rows.drop(columns=[key, "seg_idx"])))
-
-    kinds = dict(brief.dtypes)
-    marks = brief.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, seg_idx {kinds['seg_idx']}, _out int")
-    placed = segments.join(marks, [key, "seg_idx"])
-    one = F.struct("seg_idx", F.col("speaker_num").cast("int").alias("speaker_num"), w.cast(WORDS).alias("words"))
-    gathered = placed.groupBy(key, "_out").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    return gathered.select(key, F.col("_out").alias("seg_idx"), F.get("s", F.lit(0))["speaker_num"].alias("speaker_num"), F.flatten(F.transform("s", lambda x: x["words"])).alias("words"))
+    w = F.col("words").cast(WORDS)
+    stops = F.transform(w, lambda x: F.coalesce(strings.ends_sentence(x["text"]), F.lit(False)))
+    given = segments.select(key, "seg_idx", F.col("speaker_num").cast("int").alias("speaker_num"), F.coalesce(w, F.array().cast(WORDS)).alias("words"), F.coalesce(stops, F.array().cast("array<boolean>")).alias("_stops"))
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seg_idx").combine_chunks()
+        words, stops = (rows.column(c).combine_chunks() for c in ("words", "_stops"))
+        flat = words.flatten()
+        at = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]).astype(np.int32)
+        each = list(zip(*(flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("start", "end")), stops.flatten().to_pylist(), strict=True))
+        spans = list(zip(at.tolist(), at[1:].tolist(), strict=False))
+        heads, tails = [each[lo : min(hi, lo + SLIVER_WORDS)] for lo, hi in spans], [each[max(lo, hi - PUNCTUATION_WORDS) : hi] for lo, hi in spans]
+        out = np.array(_fold_slivers(rows.column("speaker_num").to_pylist(), [hi - lo for lo, hi in spans], heads, tails), dtype=np.int32)
+        first = np.flatnonzero(np.diff(out, prepend=-1))
+        kept = rows.select([key, "speaker_num"]).take(pa.array(first))
+        merged = pa.ListArray.from_arrays(pa.array(np.append(at[first], at[-1]).astype(np.int32)), flat)
+        return pa.table({key: kept.column(key), "seg_idx": pa.array(np.arange(len(first), dtype=np.int32)), "speaker_num": kept.column("speaker_num"), "words": merged})
+
+    return given.groupBy(key).applyInArrow(fold, f"{key} {dict(given.dtypes)[key]}, seg_idx int, speaker_num int, words {WORDS}")
 
 
 def align_speakers(words: DataFrame, turns: DataFrame, key: str = "meeting_id", *, bucket_secs: float = BUCKET_SECS) -> DataFrame:
