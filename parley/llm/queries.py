@@ -167,6 +167,19 @@ select a.conv_id, a.depth, b.conv_id as parent_conv_id, a.n_convs, a.n_children,
 from known a join sums using (path) left join nodes b on a.depth > 0 and b.path = a.path[1:a.depth - 1]"""
 
 
+#: Every string of 200 bytes, as 400 hexadecimal digits, cut from parts of 500 bytes.
+_OP13_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+part as (select r, k, length(h) // 2 - 200 - k as last, h[2 * k + 1:2 * k + 1000] as p from (select r, h, unnest(range(0, length(h) // 2 - 199, 300)) as k from d)),
+w as (select r, k + i as i, md5(p[2 * i + 1:2 * i + 400]) as s from (select r, k, p, unnest(range(0, least(300, last + 1))) as i from part)),
+twice as (select s from w group by s having count(*) > 1),
+hit as (select r, i, (i - lag(i) over (partition by r order by i) > 200)::int as gap from w semi join twice using (s)),
+run as (select r, min(i) as a, max(i) + 200 as b from (select *, sum(coalesce(gap, 1)) over (partition by r order by i) as run from hit) group by r, run),
+cut as (select *, lag(b, 1, 0) over (partition by r order by a) as before from run),
+kept as (select r, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(d.h[2 * before + 1:2 * a], '' order by a) || any_value(d.h)[2 * max(b) + 1:] as rest from cut join d using (r) group by r)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256 from d left join kept using (r)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
@@ -182,4 +195,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_conversation_trie": op12_conversation_trie,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql(), "op12_conversation_trie": _OP12_SQL}
+ORACLES: dict[str, str] = {"op2_warc": _OP2_SQL, "op10_quality_rules": _op10_sql(), "op12_conversation_trie": _OP12_SQL, "op13_suffix_dedup": _OP13_SQL}
