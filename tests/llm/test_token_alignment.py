@@ -95,5 +95,14 @@ def test_awkward_and_empty(spark, awkward, nothing):
     assert [tuple(r) for r in op.align(short, **FILES).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")]
 
 
+def test_a_byte_level_tokenizer_spells_every_text():
+    pair = op.TokenizerPair(**FILES)
+    assert pair.spells_all
+    draw = random.Random(1)
+    texts = ["".join(chr(draw.choice([draw.randrange(1, 0xD800), draw.randrange(0xE000, 0x110000), draw.randrange(32, 127)])) for _ in range(50)) for _ in range(500)] + [" ".join(WORDS)]
+    for text, ids in zip(texts, pair.a.encode([f" {t}" for t in texts]), strict=True):
+        assert b"".join(pair.bytes_a[i] for i in np.frombuffer(ids, dtype="<u4")) == f" {text}".encode()
+
+
 def test_files_are_those_of_the_contract():
     assert FILES == {"a": public_tokenizers.path("byte_bpe_50k.json"), "b": public_tokenizers.path("piece_bpe_32k.model")}
