@@ -175,12 +175,12 @@ def group_by_meeting(segments: DataFrame, meetings: DataFrame) -> DataFrame:
     """Meetings with their segments in time order (an unknown start counts as 0), recent ones first.
 
     Unknown dates come last, by descending id; equal dates keep the order in
-    which their first segment appears.
+    which their first segment appears, and the lesser meeting id goes first where those are equal.
     """
     entry = F.struct(F.coalesce("start_secs", F.lit(0)).alias("o"), F.col("id"), F.col("text"))
     lists = segments.groupBy(F.col("meeting_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))).alias("segments"), F.min("id").alias("_seen"))
     unknown = F.when(F.col("start_time").isNull(), F.col("id"))
-    return meetings.join(lists, "id").orderBy(F.col("start_time").desc_nulls_last(), unknown.desc_nulls_last(), F.col("_seen")).drop("_seen")
+    return meetings.join(lists, "id").orderBy(F.col("start_time").desc_nulls_last(), unknown.desc_nulls_last(), F.col("_seen"), F.col("id")).drop("_seen")
 
 
 def status_totals(listed: DataFrame) -> DataFrame:

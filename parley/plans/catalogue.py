@@ -219,7 +219,7 @@ def _(x: Frames) -> DataFrame:
     by = W.orderBy(F.col("t").desc_nulls_last(), F.col("b").desc()).rowsBetween(W.unboundedPreceding, -1)
     sizes = keys.groupBy(F.col("start_time").alias("t"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     offsets = sizes.withColumn("before", F.coalesce(F.sum("c").over(by), F.lit(0)))
-    within = W.partitionBy("start_time", "block").orderBy(F.when(F.col("start_time").isNull(), F.col("id")).desc_nulls_last(), "seen")
+    within = W.partitionBy("start_time", "block").orderBy(F.when(F.col("start_time").isNull(), F.col("id")).desc_nulls_last(), "seen", "id")  # ids of several meetings' segments can be equal here
     placed = keys.join(offsets, F.col("start_time").eqNullSafe(F.col("t")) & F.col("block").eqNullSafe(F.col("b")))
     return placed.select((F.col("before") + F.row_number().over(within)).cast("int").alias("place"), "id", "n")
 

@@ -107,3 +107,20 @@ def test_tally(spark):
     rows = spark.createDataFrame([(1, 0, "a", 1.0), (1, 1, "b", 3.0), (1, 2, "c", 1.0), (2, 0, "a", 0.0)], "meeting_id int, seg_idx int, speaker_key string, secs double")
     got = [(r.meeting_id, r.speaker_key, r.share) for r in talk.tally_speakers(rows, F.col("secs")).orderBy("meeting_id", "place").collect()]
     assert got == [(1, "b", 0.6), (1, "a", 0.2), (1, "c", 0.2), (2, "a", 0.0)]
+
+
+def test_group_order_without_ties(spark, tmp_path):
+    # lines (3, 1), (2, 1000001), (1, 2000001) and so on share a segment id: their meetings go by id
+    import __spark_entry__
+
+    keys = [k for d in range(1, 60) for k in (d + 2000000, d, d + 1000000) if (d % 7) and k % 7]
+    day = lambda k: f"2024-01-{1 + k % 1000000 % 28:02d}"
+    spark.createDataFrame([(k, 1, day(k), "") for k in keys], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string").withColumn("o_orderdate", F.to_timestamp("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, 3 - k // 1000000, 1.0) for k in keys], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 1)], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    got = __spark_entry__.queries()["o10_group_order"](spark, str(tmp_path)).orderBy("place").collect()
+    want = sorted(keys, key=lambda k: (-int(day(k)[-2:]), (3 - k // 1000000) * 1000000 + k, k))
+    assert [(r.place, r.id) for r in got] == list(enumerate(want, 1))
+    segments = spark.createDataFrame([(k, 5, 1.0, "") for k in range(40, 0, -1)], "meeting_id long, id long, start_secs double, text string")
+    meetings = spark.createDataFrame([(k, None) for k in range(40, 0, -1)], "id long, start_time timestamp").withColumn("start_time", F.lit("2024-01-01").cast("timestamp"))
+    assert [r.id for r in relational.group_by_meeting(segments, meetings).collect()] == list(range(1, 41))
