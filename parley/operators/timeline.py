@@ -90,8 +90,9 @@ def nearest(points: DataFrame, anchors: DataFrame, key: str, at: str, order: str
     sole = anchors.groupBy(key, F.col(at).alias("_at")).agg(F.min_by(F.struct(F.col(at).alias("at"), F.col(order).alias("order"), F.col(value).alias("value")), order).alias("_a"))
     both = points.withColumn("_at", F.col(at)).withColumn("_a", F.lit(None).cast(sole.schema["_a"].dataType)).withColumn("_point", F.lit(True)).unionByName(sole.withColumn("_point", F.lit(False)), allowMissingColumns=True)
     before = W.partitionBy(key).orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(key).orderBy("_at").rangeBetween(0, W.unboundedFollowing)
-    found = both.withColumn("_b", F.last("_a", ignorenulls=True).over(before)).withColumn("_f", F.first("_a", ignorenulls=True).over(after)).filter("_point")
+    # from the latest on, as a frame that ends with the partition is read again for every row
+    after = W.partitionBy(key).orderBy(F.col("_at").desc()).rangeBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("_b", F.last("_a", ignorenulls=True).over(before)).withColumn("_f", F.last("_a", ignorenulls=True).over(after)).filter("_point")
     gap = lambda c: F.abs(F.col(f"{c}.at") - F.col("_at"))
     pick = F.when(F.col("_f").isNull(), F.col("_b.value")).when(F.col("_b").isNull(), F.col("_f.value")).when((gap("_f") < gap("_b")) | (gap("_f") == gap("_b")) & (F.col("_f.order") < F.col("_b.order")), F.col("_f.value")).otherwise(F.col("_b.value"))
     return found.withColumn(value, pick).drop("_at", "_a", "_point", "_b", "_f")

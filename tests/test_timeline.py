@@ -246,3 +246,14 @@ def test_active_place(spark):
     items = spark.createDataFrame([(1, 0, 1.0), (1, 1, 1.0), (1, 2, 4.0)], "meeting_id int, place int, start double")
     got = timeline.active_place(points, items, "meeting_id", "at", "start", "place").collect()
     assert {(r.meeting_id, r.at): r.active for r in got} == {(1, 0.5): -1, (1, 1.0): 1, (1, 9.0): 2, (2, 3.0): -1}
+
+
+def test_nearest_reads_no_frame_again(spark):
+    # a frame up to the partition's end is read again for every row: quadratic in a meeting's rows
+    points = spark.createDataFrame([(m, i, i * 0.7) for m in (1, 2) for i in range(40)], "meeting_id int, p int, mid double")
+    anchors = spark.createDataFrame([(1, k, float(k // 2 * 5 % 31), k * 10) for k in range(12)], "meeting_id int, turn_idx int, mid double, grp int")
+    got = timeline.nearest(points, anchors, "meeting_id", "mid", "turn_idx", "grp")
+    held = anchors.collect()
+    want = {(m, i): min(held, key=lambda a: (abs(a.mid - i * 0.7), a.turn_idx)).grp if m == 1 else None for m in (1, 2) for i in range(40)}
+    assert {(r.meeting_id, r.p): r.grp for r in got.collect()} == want
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
