@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 _BASE = 0x9E6C63D0876A9A99 | 1
 _MASK = (1 << 64) - 1
-_tables: dict[str, np.ndarray] = {}
+_held: dict[str, dict] = {}
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
@@ -91,17 +91,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def held(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker between tasks. What others kept goes: workers are reused by the tasks of other operators."""
+    for other in [k for k in _held if k != owner]:
+        del _held[other]
+    return _held.setdefault(owner, {})
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        size = 1 << max(20, int(n).bit_length())
+    tables = held("word hashes")
+    if len(tables.get("up", ())) < n:
+        size = 1 << max(19, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1
-            _tables[name] = np.cumprod(table, dtype=np.uint64)
-    return _tables["up"][:n], _tables["down"]
+            tables[name] = np.cumprod(table, dtype=np.uint64)
+    return tables["up"][:n], tables["down"]
 
 
-def groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters together; a longer text stands alone."""
     first = size = 0
     for i, t in enumerate(texts):

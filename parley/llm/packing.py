@@ -28,10 +28,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import columns, durable
+from parley.llm.common import columns, durable, held
 
 CAPACITY = 1024
-_encoders: dict[str, Encoder] = {}
 
 
 #: How a byte-level tokenizer with its standard pattern cuts a text; ids never cross a cut.
@@ -85,9 +84,10 @@ class Encoder:
 
 
 def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    encoders = held("encoders")
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

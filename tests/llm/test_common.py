@@ -32,3 +32,25 @@ def test_bucketed_rows_stay_where_they_are(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SelectedBucketsCount: 4 out of 4" in plan and held.inputFiles()[0].startswith(common.shared_folder(spark))
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_workers_keep_only_the_last_operators_things():
+    from parley.llm import packing
+    from parley.llm.queries import tokenizer_files
+
+    own = packing._encoder(tokenizer_files()["tokenizer"])
+    assert packing._encoder(tokenizer_files()["tokenizer"]) is own and list(common._held) == ["encoders"]
+    up, _ = common.powers(10)
+    assert list(common._held) == ["word hashes"] and common.powers(10)[0].base is up.base
+    assert list(common.groups(["x" * (1 << 18)] * 2)) == [(0, 1), (1, 2)]
+
+
+def test_pipeline_stages_send_small_batches(spark):
+    import corpus_pipeline
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == corpus_pipeline.BATCH_ROWS == 1000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
