@@ -140,12 +140,16 @@ def psv_time(secs: Column) -> Column:
 
 def parse_psv_time(text: Column) -> Column:
     """Seconds of ``H:MM:SS.ss``; a wrong number of parts or a part that is no number is an error."""
-    p = F.split(text, ":")
+    return parts_secs(text, F.split(text, ":"))
+
+
+def parts_secs(text: Column, p: Column) -> Column:
+    """``parse_psv_time`` of a text whose parts ``p`` are there: a column that is read here, where an expression would be worked out at each use."""
     num = lambda k: F.get(p, F.lit(k)).try_cast("double")
-    secs = num(0) * 3600 + num(1) * 60 + num(2)
-    good = half_up(secs * 100) / 100
-    wrong = lambda why: F.raise_error(F.concat(F.lit(f"invalid timestamp ({why}): "), text)).cast("double")
-    return F.when(text.isNull(), None).when(F.size(p) != 3, wrong("expected H:MM:SS.ss")).when(secs.isNull(), wrong("not a number")).otherwise(good)
+    good = half_up((num(0) * 3600 + num(1) * 60 + num(2)) * 100) / 100  # null where a part is no number
+    why = F.when(F.size(p) != 3, "expected H:MM:SS.ss").otherwise("not a number")
+    wrong = F.raise_error(F.concat(F.lit("invalid timestamp ("), why, F.lit("): "), text)).cast("double")
+    return F.when(text.isNull(), None).when(F.size(p) != 3, wrong).otherwise(F.coalesce(good, wrong))
 
 
 def segment_secs(duration_text: Column, words: Column) -> Column:

@@ -25,11 +25,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Events of lines (file, line_no, line): start, end, event_type, event_data. Data may hold pipes; an unknown type is an error."""
     kept = lines.withColumn("line", strings.trim_all(F.col("line"))).filter((F.col("line") != "") & ~F.col("line").startswith("#") & (F.col("line") != HEADER))
-    p = F.split("line", "\\|", 4)
     fail = lambda why: F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(f": {why}: "), F.col("line"))).cast("string")
+    # step by step: a step's columns are worked out once, however often the next one reads them
+    cut = kept.select("file", "line_no", "line", F.split("line", "\\|", 4).alias("_p"))
+    p = F.col("_p")
     kind = F.when(F.size(p) < 4, fail("expected four fields")).when(p[2].isin("text", "meta", "vad"), p[2]).otherwise(fail("unknown event type"))
-    shaped = kept.select("file", "line_no", kind.alias("event_type"), F.get(p, 0).alias("_s"), F.get(p, 1).alias("_e"), F.get(p, 3).alias("event_data"))
-    return shaped.select("file", "line_no", times.parse_psv_time(F.col("_s")).alias("start"), F.when(F.col("event_type") != "meta", times.parse_psv_time(F.col("_e"))).alias("end"), "event_type", "event_data")
+    shaped = cut.select("file", "line_no", kind.alias("event_type"), F.get(p, 0).alias("_s"), F.get(p, 1).alias("_e"), F.get(p, 3).alias("event_data"))
+    parts = shaped.select("*", F.split("_s", ":").alias("_sp"), F.split("_e", ":").alias("_ep"))
+    start, end = times.parts_secs(F.col("_s"), F.col("_sp")), F.when(F.col("event_type") != "meta", times.parts_secs(F.col("_e"), F.col("_ep")))
+    return parts.select("file", "line_no", start.alias("start"), end.alias("end"), "event_type", "event_data")
 
 
 def segments(events: DataFrame) -> DataFrame:

@@ -223,3 +223,10 @@ def test_write_text_keeps_what_is_there(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         sinks.write_text(spark, str(tmp_path / "a" / "t.txt"), "other")
     assert (tmp_path / "a" / "t.txt").read_text(encoding="utf-8") == "häß\n"
+
+
+def test_psv_times_are_split_once(spark):
+    lines = spark.createDataFrame([("f", 2, "0:00:01.00|0:00:01.50|text|a|b"), ("f", 1, '0:00:00.00||meta|{"begin_speaker":"unlabeled"}')], "file string, line_no int, line string")
+    events = psv.parse_lines(lines)
+    assert [(r.start, r.end, r.event_data) for r in events.orderBy("line_no").collect()] == [(0.0, None, '{"begin_speaker":"unlabeled"}'), (1.0, 1.5, "a|b")]
+    assert events._jdf.queryExecution().optimizedPlan().toString().count(", :, ") == 2
